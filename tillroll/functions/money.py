@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillroll.functions.text import BLANK, INLINE_BLANK, ascii_digits, strip, unify_line_ends
+from tillroll.functions.text import BLANK, INLINE_BLANK, ascii_digits, let, strip, unify_line_ends
 from tillroll.options import Options
 
 # The two number grammars (see Options).
@@ -81,11 +81,15 @@ def unmark(marked: Column) -> Column:
     return F.translate(marked, _MARKS, "")
 
 
-def round_money(x: Column) -> Column:
+def round_money(value: Column) -> Column:
     """Two decimals, judged on the exact binary value: a value printed as 2.675 lies just
     below the half and gives 2.67. Spark's round works on the printed digits, which only
     differ where exactly three decimals end in 5; there the sign of the exact product
     200 * x - (nearest odd integer) decides, computed without error by splitting x in two."""
+    return let(value, _rounded)
+
+
+def _rounded(x: Column) -> Column:
     printed_half = (
         (F.abs(x) < 9e15)
         & (F.round(x, 3) == x)

@@ -21,23 +21,23 @@ READ_VIA = "read via "
 def extract_receipts(texts: DataFrame, options: Options = Options()) -> DataFrame:
     """One receipt per (source_file, text). A blank text gives a row with a warning only.
     Other columns of the input are kept."""
-    readable = texts.withColumn("_text", F.when(~is_blank(F.col("text")), F.col("text")))
-    # Each of these columns is used several times below; kept apart, it is evaluated once.
-    cut = readable.withColumn("_lines", fields.cut_text(F.col("_text"), options))
-    priced = cut.withColumn("_priced", fields.money_lines(F.col("_lines")))
-    found = priced.withColumns(
-        {
-            "vendor": fields.vendor(F.col("_lines")),
-            "date": dates.find_date(F.col("_text"), options),
-            "_labelled": fields.labelled_total(F.col("_priced")),
-            "tax": fields.labelled_tax(F.col("_priced")),
-            "currency": money.currency(F.col("_text"), options),
-            "line_items": F.coalesce(fields.line_items(F.col("_priced")), _no_items()),
-        }
+    text = F.when(~is_blank(F.col("text")), F.col("text"))
+    readable = evaluate_once(
+        texts, _text=text, _lines=fields.cut_text(text, options)
+    )
+    priced = evaluate_once(readable, _priced=fields.money_lines(F.col("_lines")))
+    found = evaluate_once(
+        priced,
+        vendor=fields.vendor(F.col("_lines")),
+        date=dates.find_date(F.col("_text"), options),
+        _labelled=fields.labelled_total(F.col("_priced")),
+        tax=fields.labelled_tax(F.col("_priced")),
+        currency=money.currency(F.col("_text"), options),
+        line_items=F.coalesce(fields.line_items(F.col("_priced")), _no_items()),
     )
-    totalled = found.withColumn(
-        "total",
-        F.coalesce(F.col("_labelled"), fields.largest_amount(F.col("_text"), options)),
+    totalled = evaluate_once(
+        found.drop("_lines", "_priced"),
+        total=F.coalesce(F.col("_labelled"), fields.largest_amount(F.col("_text"), options)),
     )
     fell_back = F.col("_labelled").isNull() & F.col("total").isNotNull()
     missing = fields.missing_fields(F.col("vendor"), F.col("date"), F.col("total"))
@@ -55,7 +55,15 @@ def extract_receipts(texts: DataFrame, options: Options = Options()) -> DataFram
             "extraction_failed": F.lit(False),
         }
     )
-    return done.drop("_text", "_lines", "_priced", "_labelled")
+    return done.drop("_text", "_labelled")
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row however often they are used or filtered on.
+    A plain projection would be merged into its readers and into pushed-down filters, and its
+    patterns would run once for each of them."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def read_receipts(texts: DataFrame, options: Options = Options()) -> DataFrame:
