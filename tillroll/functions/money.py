@@ -91,9 +91,9 @@ def round_money(value: Column) -> Column:
 
 def _rounded(x: Column) -> Column:
     printed_half = (
-        (F.abs(x) < 9e15)
+        (F.abs(x) < 4e13)
         & (F.round(x, 3) == x)
-        & (F.abs(F.round(x * 1000.0).cast("bigint")) % 10 == 5)
+        & (F.abs(x).cast("decimal(20,3)") * 1000 % 10 == 5)
     )
     shifted = x * 134217729.0
     high = shifted - (shifted - x)
