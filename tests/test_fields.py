@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.functions import dates, fields, money
-from tillroll.functions.text import clean_text, has_letters, lines, strip
+from tillroll.functions.text import clean_text, has_letters, lines, strip, unify
 from tillroll.operators.extract import extract_receipts, read_receipts
 from tillroll.options import Options
 
@@ -40,18 +40,24 @@ AMOUNTS = {
 @pytest.mark.parametrize("grammar", ["whole", "split"])
 def test_amounts(spark, grammar):
     options = Options(amount_grammar=grammar)
-    got = values(spark, list(AMOUNTS), lambda t: money.amounts(t, options))
+    got = values(spark, list(AMOUNTS), lambda t: money.amounts(unify(t), options))
     assert got == [v[grammar == "split"] for v in AMOUNTS.values()]
 
 
 def test_symbols_special_to_patterns(spark):
     options = Options(currency_symbols=("^", "]", "-", "kr"))
-    got = values(spark, ["^5", "] 6", "-7", "kr 8", "a9", "$1"], lambda t: money.amounts(t, options))
+    got = values(spark, ["^5", "] 6", "-7", "kr 8", "a9", "$1"], lambda t: money.amounts(unify(t), options))
     assert got == [[5.0], [6.0], [7.0], [8.0], [], []]
     found = values(spark, ["x kr", "]", "r", "^]"], lambda t: money.currency(t, options))
     assert found == ["kr", "]", None, "^"]
 
 
+def test_symbols_that_are_letters(spark, texts):
+    df = extract_receipts(texts({"a": "Shop\nAmount due 5.00\n2 Tee 7"}), Options(currency_symbols=("e",)))
+    row = df.head()
+    assert (row.total, row.vendor, [tuple(i) for i in row.line_items]) == (5.0, "Shop", [("2 Te", 7.0)])
+
+
 LABELLED = {
     "Subtotal 8.00\nTax 0.50\nTOTAL 8.50": (8.5, 0.5),
     "Sub total 8.00": (8.0, None),
@@ -113,13 +119,13 @@ DATES = {
 
 
 def test_dates(spark):
-    got = values(spark, list(DATES), lambda t: dates.find_date(t, Options()))
+    got = values(spark, list(DATES), lambda t: dates.find_date(unify(t), Options()))
     assert dict(zip(DATES, got)) == DATES
 
 
 def test_dates_day_first(spark):
     written = ["07/08/2026", "25/12/2026", "12-25-2026", "2026-01-05", "13/14/2026"]
-    got = values(spark, written, lambda t: dates.find_date(t, Options(date_dayfirst=True)))
+    got = values(spark, written, lambda t: dates.find_date(unify(t), Options(date_dayfirst=True)))
     assert got == ["2026-08-07", "2026-12-25", "2026-12-25", "2026-01-05", None]
 
 
@@ -150,6 +156,8 @@ ITEMS = {
     "5.00": [],
     "5kg rice  ₱ 99.00": [("5kg rice", 99.0)],
     "Item -\xa05.00": [("Item", 5.0)],
+    "Item -\xa0$5.00": [("Item -\xa0", 5.0)],
+    "Item\t-\t$5.00": [("Item", 5.0)],
     "1,234 bolts $5": [("1,234 bolts", 5.0)],
     "Tea .... £2": [("Tea", 2.0)],
     "ab 1.00\ncd 2.00 3\n": [("ab", 1.0), ("cd", 2.0)],
@@ -195,7 +203,7 @@ def test_blanks_and_lines(spark):
     assert values(spark, ["\x1c a b \x85", "　"], strip) == ["a b", ""]
     assert values(spark, [" a \t\xa0 b ", "a b", " \n", None], clean_text) == ["a b", "a b", None, None]
     text = "a\r\nb\n\n c \x1d d\x0be"
-    assert values(spark, [text], lines) == [["a", "b", "c", "d", "e"]]
+    assert values(spark, [text], lambda t: lines(unify(t))) == [["a", "b", "c", "d", "e"]]
     assert values(spark, ["a1b", "ab2c", "é漢ß", "a"], lambda t: has_letters(t, 3)) == [False, True, True, False]
 
 

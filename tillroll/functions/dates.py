@@ -1,4 +1,4 @@
-"""Dates in free text."""
+"""Dates in unified text (see `text.unify`)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Receipt fields out of one text.
+"""Receipt fields out of one unified text (see `text.unify`).
 
 `cut_text` finds the lines and their money, `money_lines` labels the lines that hold any; the
 other functions pick from these two."""
@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillroll.functions import money
-from tillroll.functions.text import contains_any, has_letters, let, lines, rstrip
+from tillroll.functions.text import contains_any, has_letters, let, lines
 from tillroll.options import Options
 
 # Words that label an amount, and words no vendor line may hold.
@@ -19,7 +19,7 @@ SUBTOTAL = "subtotal"
 GRAND_TOTAL = "grand total"
 VENDOR_SKIP = ("receipt", "invoice", "tax invoice", "order", "date", "time")
 VENDOR_LINES = 6
-DESCRIPTION_ENDS = " .:-\t"
+DESCRIPTION_ENDS = " .:-"
 
 # Warning texts.
 FALLBACK_TOTAL = "total not labelled; used largest amount on receipt"
@@ -32,14 +32,17 @@ def cut_text(text: Column, options: Options) -> Column:
     return lines(money.cut_lines(text, options))
 
 
-def money_lines(cut: Column) -> Column:
+def money_lines(cut: Column, options: Options) -> Column:
     """One struct per line with money: which labels the line holds, and its parts. Lines
     without money have no say in totals, tax or items, whatever they hold."""
 
     def scan(line: Column) -> Column:
         parts = money.cut_parts(line)
+        # Marks lie around symbols and numbers, so they split a label only if it has letters
+        # that are symbols.
+        words = money.unmark(line) if money.symbols_may_be_letters(options) else line
         labels = let(
-            F.lower(money.unmark(line)),
+            F.lower(words),
             lambda low: F.struct(
                 contains_any(low, TOTAL_LABELS).alias("total"),
                 contains_any(low, TAX_LABELS).alias("tax"),
@@ -79,12 +82,16 @@ def vendor(cut: Column) -> Column:
     """First of the top lines that has letters, no money and none of the skip words."""
 
     def name_or_null(line: Column) -> Column:
-        plain = F.when(~money.has_money(line), money.unmark(line))
-        return let(
-            plain,
-            lambda p: F.when(has_letters(p, 3) & ~contains_any(F.lower(p), VENDOR_SKIP), p),
+        plain = money.unmark(line)
+        usable = ~money.has_money(line) & has_letters(line, 3)
+        return F.when(
+            usable,
+            let(plain, lambda p: F.when(~let(F.lower(p), skipped), p)),
         )
 
+    def skipped(low: Column) -> Column:
+        return contains_any(low, VENDOR_SKIP)
+
     top = F.transform(F.slice(cut, 1, VENDOR_LINES), name_or_null)
     return F.get(F.array_compact(top), F.lit(0))
 
@@ -96,11 +103,13 @@ def line_items(priced: Column) -> Column:
     )
 
     def item(s: Column) -> Column:
-        before, symbol = money.unmark(F.get(s["parts"], F.lit(0))), F.get(s["parts"], F.lit(1))
+        before, symbol = F.get(s["parts"], F.lit(0)), F.get(s["parts"], F.lit(1))
         # Without a symbol the blanks before the number belong to the number.
-        before = F.when(symbol == "", rstrip(before)).otherwise(before)
+        before = F.when(symbol == "", F.rtrim(before, F.lit(" \xa0"))).otherwise(before)
         return F.struct(
-            F.trim(before, F.lit(DESCRIPTION_ENDS)).alias("description"),
+            let(before, lambda b: F.trim(money.unmark(b), F.lit(DESCRIPTION_ENDS))).alias(
+                "description"
+            ),
             _amount(s).alias("amount"),
         )
 

@@ -1,11 +1,11 @@
-"""Money in text: the amount grammar, scanning, rounding and printing."""
+"""Money in unified text (see `text.unify`): the amount grammar, scanning, rounding, printing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillroll.functions.text import BLANK, INLINE_BLANK, ascii_digits, let, strip, unify_line_ends
+from tillroll.functions.text import BLANK, INLINE_BLANK, ascii_digits, let
 from tillroll.options import Options
 
 # The two number grammars (see Options).
@@ -26,6 +26,10 @@ def symbol_class(options: Options) -> str:
     return "[" + "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in chars) + "]"
 
 
+def symbols_may_be_letters(options: Options) -> bool:
+    return any(c.isalpha() for c in "".join(options.currency_symbols))
+
+
 def currency(text: Column, options: Options) -> Column:
     """First configured symbol, in configured order, that occurs in the text."""
     return F.coalesce(
@@ -34,8 +38,8 @@ def currency(text: Column, options: Options) -> Column:
 
 
 def parse_amount(raw: Column) -> Column:
-    """Digits with commas and a point, blanks around them -> number."""
-    return F.translate(ascii_digits(strip(raw)), ",", "").try_cast("double")
+    """Digits with commas and a point, blanks before them -> number."""
+    return ascii_digits(raw, without=", \xa0\n").try_cast("double")
 
 
 def amounts(text: Column, options: Options) -> Column:
@@ -56,7 +60,7 @@ def cut_lines(text: Column, options: Options) -> Column:
     goes back from the end of each line to the last mark that is money."""
     symbol, number = symbol_class(options), NUMBERS[options.amount_grammar]
     marked = F.regexp_replace(
-        unify_line_ends(text),
+        text,
         F.lit(f"(?:({symbol})({INLINE_BLANK}*))?({number})"),
         F.lit(f"{_OPEN}$1{_SYMBOL}$2$3{_CLOSE}"),
     )
@@ -78,7 +82,8 @@ def cut_parts(cut_line: Column) -> Column:
 
 
 def unmark(marked: Column) -> Column:
-    return F.translate(marked, _MARKS, "")
+    has_mark = F.contains(marked, F.lit(_OPEN)) | F.contains(marked, F.lit(_CUT))
+    return F.when(has_mark, F.translate(marked, _MARKS, "")).otherwise(marked)
 
 
 def round_money(value: Column) -> Column:

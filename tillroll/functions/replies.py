@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillroll.functions.text import BLANK, ascii_digits, let, strip
+from tillroll.functions.text import ANY_BLANK, ascii_digits, let, strip
 
 # Texts, outcome names, number prefixes and the spelling of numbers.
 NO_ERROR_DETAIL = "no error detail returned"
@@ -18,7 +18,7 @@ NUMBER = (
     f"(?i)^[+-]?(?:(?:{_DIGITS}(?:\\.(?:{_DIGITS})?)?|\\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
     "|inf|infinity|nan)$"
 )
-FENCE = f"(?i)^{BLANK}*```(?:json)?{BLANK}*|(?<!{BLANK}){BLANK}*```{BLANK}*\\z"
+FENCE = f"(?i)^{ANY_BLANK}*```(?:json)?{ANY_BLANK}*|(?<!{ANY_BLANK}){ANY_BLANK}*```{ANY_BLANK}*\\z"
 _EMPTY_ERRORS = ("", "0", "false", "[]")
 
 

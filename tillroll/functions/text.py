@@ -18,10 +18,17 @@ BLANKS = (
 )
 LINE_ENDS = "\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029"
 
-BLANK = f"[{BLANKS}]"
-NOT_BLANK = f"[^{BLANKS}]"
-INLINE_BLANK = "[" + "".join(c for c in BLANKS if c not in LINE_ENDS) + "]"
-LONG_BLANK = f"{BLANK}{{2,}}|[{BLANKS.replace(' ', '')}]"
+# Patterns over every kind of blank are slow: each character goes through a chain of tests. So
+# texts are unified first (see `unify`) and patterns only meet three kinds: a space (which also
+# stands for a tab), a no-break space (any other blank inside a line) and a newline.
+OTHER_BLANKS = "".join(c for c in BLANKS if c not in " \t" + LINE_ENDS)
+BLANK = "[ \xa0\n]"
+INLINE_BLANK = "[ \xa0]"
+
+# For texts that must stay as they are.
+ANY_BLANK = (
+    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 
 # Every decimal digit of Unicode next to the ASCII digit of the same value.
 _DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
@@ -38,30 +45,29 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
-def rstrip(c: Column) -> Column:
-    return F.rtrim(c, F.lit(BLANKS))
-
-
 def is_blank(c: Column) -> Column:
-    return F.coalesce(~F.rlike(c, F.lit(NOT_BLANK)), F.lit(True))
+    return F.coalesce(~F.rlike(c, F.lit(f"[^{ANY_BLANK[1:]}")), F.lit(True))
 
 
-def clean_text(c: Column) -> Column:
-    """Runs of blanks become one space, the ends are trimmed, nothing left becomes null.
-    A single space is not matched, so most values pass through untouched."""
-    return F.nullif(F.trim(F.regexp_replace(c, F.lit(LONG_BLANK), F.lit(" "))), F.lit(""))
+def unify(text: Column) -> Column:
+    """One character per kind of blank; a two-character line end leaves a blank line behind."""
+    return F.translate(
+        text,
+        "\t" + OTHER_BLANKS + LINE_ENDS,
+        " " + "\xa0" * len(OTHER_BLANKS) + "\n" * len(LINE_ENDS),
+    )
 
 
-def unify_line_ends(text: Column) -> Column:
-    """Every line end becomes a newline; a two-character end leaves a blank line behind."""
-    return F.translate(text, LINE_ENDS, "\n" * len(LINE_ENDS))
+def clean_text(c: Column) -> Column:
+    """Runs of blanks become one space, the ends are trimmed, nothing left becomes null."""
+    spaced = F.translate(c, BLANKS, " " * len(BLANKS))
+    return F.nullif(F.trim(F.regexp_replace(spaced, F.lit(" {2,}"), F.lit(" "))), F.lit(""))
 
 
-def lines(text: Column) -> Column:
-    """Trimmed lines of a text without the blank ones."""
-    return F.filter(
-        F.transform(F.split(unify_line_ends(text), "\n"), strip), lambda line: line != ""
-    )
+def lines(unified: Column) -> Column:
+    """Trimmed lines of a unified text without the blank ones."""
+    trimmed = F.transform(F.split(unified, "\n"), lambda line: F.trim(line, F.lit(" \xa0")))
+    return F.filter(trimmed, lambda line: line != "")
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
@@ -76,5 +82,6 @@ def has_letters(c: Column, n: int) -> Column:
     return F.rlike(c, F.lit(r"\p{L}" + r"[^\p{L}]*\p{L}" * (n - 1)))
 
 
-def ascii_digits(c: Column) -> Column:
-    return F.translate(c, _OTHER_DIGITS, _SAME_DIGITS)
+def ascii_digits(c: Column, without: str = "") -> Column:
+    """Digits of any script as ASCII digits; the characters of `without` are left out."""
+    return F.translate(c, _OTHER_DIGITS + without, _SAME_DIGITS)

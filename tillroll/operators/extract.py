@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tillroll.functions import dates, fields, money
-from tillroll.functions.text import is_blank, lines, strip
+from tillroll.functions.text import is_blank, lines, strip, unify
 from tillroll.operators.normalize import normalize
 from tillroll.options import Options
 
@@ -21,11 +21,11 @@ READ_VIA = "read via "
 def extract_receipts(texts: DataFrame, options: Options = Options()) -> DataFrame:
     """One receipt per (source_file, text). A blank text gives a row with a warning only.
     Other columns of the input are kept."""
-    text = F.when(~is_blank(F.col("text")), F.col("text"))
     readable = evaluate_once(
-        texts, _text=text, _lines=fields.cut_text(text, options)
+        texts, _text=F.when(~is_blank(F.col("text")), unify(F.col("text")))
     )
-    priced = evaluate_once(readable, _priced=fields.money_lines(F.col("_lines")))
+    cut = evaluate_once(readable, _lines=fields.cut_text(F.col("_text"), options))
+    priced = evaluate_once(cut, _priced=fields.money_lines(F.col("_lines"), options))
     found = evaluate_once(
         priced,
         vendor=fields.vendor(F.col("_lines")),
@@ -108,14 +108,14 @@ def choose_text(candidates: DataFrame) -> DataFrame:
 
 def receipt_lines(texts: DataFrame) -> DataFrame:
     """Long form: one row per non-blank line, numbered from 1."""
-    return texts.select("source_file", F.posexplode(lines(F.col("text"))).alias("pos", "line")).select(
+    return texts.select("source_file", F.posexplode(lines(unify(F.col("text")))).alias("pos", "line")).select(
         "source_file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
     )
 
 
 def text_amounts(texts: DataFrame, options: Options = Options()) -> DataFrame:
     """Long form: one row per money amount in a text, numbered from 1."""
-    found = money.amounts(F.col("text"), options)
+    found = money.amounts(unify(F.col("text")), options)
     return texts.select("source_file", F.posexplode(found).alias("pos", "amount")).select(
         "source_file", (F.col("pos") + 1).cast("bigint").alias("amount_no"), "amount"
     )

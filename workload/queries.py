@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import dates, fields, money
 from tillroll.functions import replies as reply_functions
-from tillroll.functions.text import clean_text
+from tillroll.functions.text import clean_text, unify
 from tillroll.operators import duplicates, extract, replies, report, reuse, review, uploads
 from tillroll.operators.normalize import TAX_OVER_TOTAL, normalize
 from tillroll.options import Options
@@ -141,8 +141,8 @@ def document_amounts_split(spark, sf_dir):
 
 def _from_lines(spark, sf_dir, **columns):
     texts = receipt_texts(spark, sf_dir)
-    cut = texts.withColumn("lines", fields.cut_text(F.col("text"), Options()))
-    priced = cut.withColumn("priced", fields.money_lines(F.col("lines")))
+    cut = texts.withColumn("lines", fields.cut_text(unify(F.col("text")), Options()))
+    priced = cut.withColumn("priced", fields.money_lines(F.col("lines"), Options()))
     return priced.select("source_file", *[c.alias(name) for name, c in columns.items()])
 
 
@@ -170,13 +170,13 @@ def total_fallback(spark, sf_dir):
 @query
 def date(spark, sf_dir):
     texts = receipt_texts(spark, sf_dir)
-    found = texts.select("source_file", dates.find_date(F.col("text"), Options()).alias("date"))
+    found = texts.select("source_file", dates.find_date(unify(F.col("text")), Options()).alias("date"))
     return found.withColumn("date_typed", F.try_to_date("date"))
 
 
 @query
 def date_dayfirst(spark, sf_dir):
-    found = dates.find_date(F.col("text"), Options(date_dayfirst=True))
+    found = dates.find_date(unify(F.col("text")), Options(date_dayfirst=True))
     return receipt_texts(spark, sf_dir).select("source_file", found.alias("date"))
 
 
