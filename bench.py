@@ -46,8 +46,8 @@ def main() -> None:
     texts = stage(receipt_texts(spark, SF_DIR).repartition(int(CPUS)), "texts")
     rows = texts.count()
     fixture_sec = time.time() - start
-    answers = stage(inputs.responses(spark, SF_DIR), "responses")
-    mixed = stage(inputs.mixed_keys(spark, SF_DIR), "mixed")
+    answers = stage(inputs.responses(spark, SF_DIR).repartition(int(CPUS)), "responses")
+    mixed = stage(inputs.mixed_keys(spark, SF_DIR).repartition(int(CPUS)), "mixed")
     tables = tempfile.mkdtemp(prefix="run-")
 
     def resolved():

@@ -6,6 +6,8 @@ its keys, so nothing is ever a duplicate of a duplicate."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,14 @@ DUPLICATE_OF = "duplicate of "
 
 
 def fingerprint(vendor: Column, date: Column, total: Column) -> Column:
-    """32 hex digits for (vendor, date, total), null unless all three are present. Each part
-    has a fixed width before they are joined, so that parts cannot run into each other."""
-    parts = [
-        F.md5(F.lower(strip(vendor))),
-        F.md5(date),
-        # Adding 0.0 makes -0.0 and 0.0 one value.
-        (round_money(total) + 0.0).cast("string"),
-    ]
+    """32 hex digits for (vendor, date, total to cents), null unless all three are present. The
+    lengths go first, so that the parts cannot run into each other."""
+    name = F.lower(strip(vendor))
+    cents = F.when(F.abs(total) < 4e13, F.rint(round_money(total) * 100.0).cast("bigint").cast("string"))
+    amount = F.coalesce(cents, total.cast("string"))
     present = (vendor != "") & (date != "") & total.isNotNull() & ~F.isnan(total)
-    return F.when(present, F.md5(F.concat(*parts)))
+    parts = (F.length(name), F.length(date), name, date, amount)
+    return F.when(present, F.md5(F.concat_ws(" ", *[part.cast("string") for part in parts])))
 
 
 def duplicate_key(receipts: DataFrame) -> Column:
@@ -84,15 +84,12 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     that comes first among the open rows of its hash and of its fingerprint is an original and
     settles every other row with one of its keys. Each round works on written tables and only
     on what is still open; no bound on the number of rounds is assumed."""
-    spark = receipts.sparkSession
-    keyed = receipts.select(
-        "source_file",
-        F.nullif(F.col("content_hash"), F.lit("")).alias("h"),
-        fingerprint(F.col("vendor"), F.col("date"), F.col("total")).alias("f"),
-    )
+    h = F.nullif(F.col("content_hash"), F.lit(""))
+    f = fingerprint(F.col("vendor"), F.col("date"), F.col("total"))
     # Of the rows that agree in both keys only the first can be an original.
     open_rows = stage(
-        keyed.where("h is not null or f is not null")
+        receipts.select("source_file", h.alias("h"), f.alias("f"))
+        .where("h is not null or f is not null")
         .groupBy("h", "f")
         .agg(F.min("source_file").alias("source_file"), F.count(F.lit(1)).alias("n")),
         "open",
@@ -101,15 +98,7 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     while not open_rows.isEmpty():
         judged = open_rows
         for key in ("h", "f"):
-            firsts = (
-                open_rows.where(F.col(key).isNotNull())
-                .groupBy(key)
-                .agg(
-                    F.min("source_file").alias(f"first_{key}"),
-                    F.sum("n").alias(f"n_{key}"),
-                )
-                .withColumn("_size", F.col(f"n_{key}"))
-            )
+            firsts = _first_of_open(open_rows, key)
             judged = join_facts(judged, firsts, key, "_size", "source_file", hot_rows)
         is_first = [
             F.coalesce(F.col(f"first_{key}") == F.col("source_file"), F.lit(True))
@@ -117,32 +106,19 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
         ]
         judged = stage(judged.withColumn("is_original", is_first[0] & is_first[1]), "judged")
         originals = judged.where("is_original")
-        settled.append(originals.select("source_file", "h", "f"))
-        rest = judged.where("not is_original").select("source_file", "h", "f", "n")
+        settled.append(originals.select("source_file", "h", "f", "n_h", "n_f"))
+        rest = judged.where("not is_original").drop("first_h", "first_f", "is_original")
         for key in ("h", "f"):
             taken = originals.where(F.col(key).isNotNull()).select(
                 key, F.col(f"n_{key}").alias("_size"), F.lit(True).alias(f"taken_{key}")
             )
             rest = join_facts(rest, taken, key, "_size", "source_file", hot_rows)
         still_open = rest.where("taken_h is null and taken_f is null")
-        open_rows = stage(still_open.select("source_file", "h", "f", "n"), "open")
+        open_rows = stage(still_open.drop("taken_h", "taken_f"), "open")
 
-    originals = _union(settled, spark)
-    joined = receipts.withColumns(
-        {
-            "_h": F.nullif(F.col("content_hash"), F.lit("")),
-            "_f": fingerprint(F.col("vendor"), F.col("date"), F.col("total")),
-        }
-    )
+    joined = receipts.withColumns({"h": h, "f": f})
     for key in ("h", "f"):
-        sizes = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-        facts = (
-            originals.where(F.col(key).isNotNull())
-            .select(key, F.col("source_file").alias(f"original_{key}"))
-            .join(sizes, key)
-            .withColumnRenamed(key, f"_{key}")
-        )
-        joined = join_facts(joined, facts, f"_{key}", "_size", "source_file", hot_rows)
+        joined = _join_originals(joined, settled, key, hot_rows)
     # An original further down the list was not registered yet when this row was judged.
     earlier = [
         F.when(F.col(f"original_{key}") < F.col("source_file"), F.col(f"original_{key}"))
@@ -151,13 +127,26 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     return _with_original(joined, F.coalesce(*earlier), receipts.columns)
 
 
-def _union(frames: list[DataFrame], spark) -> DataFrame:
-    if not frames:
-        return spark.createDataFrame([], "source_file string, h string, f string")
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+def _first_of_open(open_rows: DataFrame, key: str) -> DataFrame:
+    """First open file of every key. The number of all rows of a key is counted in the first
+    round, when all are open, and stays with the rows."""
+    keyed = open_rows.where(F.col(key).isNotNull()).groupBy(key)
+    first = F.min("source_file").alias(f"first_{key}")
+    if f"n_{key}" in open_rows.columns:
+        return keyed.agg(first, F.max(f"n_{key}").alias("_size"))
+    counted = keyed.agg(first, F.sum("n").alias(f"n_{key}"))
+    return counted.withColumn("_size", F.col(f"n_{key}"))
+
+
+def _join_originals(rows: DataFrame, settled: list[DataFrame], key: str, hot_rows: int) -> DataFrame:
+    """Add `original_<key>`, the one original that registered the row's key."""
+    if not settled:
+        return rows.withColumn(f"original_{key}", F.lit(None).cast("string"))
+    originals = reduce(DataFrame.unionByName, settled).where(F.col(key).isNotNull())
+    facts = originals.select(
+        key, F.col("source_file").alias(f"original_{key}"), F.col(f"n_{key}").alias("_size")
+    )
+    return join_facts(rows, facts, key, "_size", "source_file", hot_rows)
 
 
 def _with_original(joined: DataFrame, original: Column, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tillroll.functions import replies as r
-from tillroll.operators.extract import as_receipts
+from tillroll.operators.extract import as_receipts, evaluate_once
 from tillroll.operators.normalize import normalize
 from tillroll.operators.skew import HOT_ROWS, join_facts
 
@@ -25,31 +25,39 @@ class SystemicFailure(RuntimeError):
 def parse_replies(replies: DataFrame, engine: str = "ai_vision") -> DataFrame:
     """(source_file, reply[, content_hash]) -> receipts. A reply that is no JSON object gives a
     row with a warning; that is a result, not a failure."""
+    return as_receipts(_read_replies(replies, engine))
+
+
+def _read_replies(replies: DataFrame, engine: str) -> DataFrame:
+    """As `parse_replies`, with the other columns of the input kept."""
     if "content_hash" not in replies.columns:
         replies = replies.withColumn("content_hash", F.lit(None).cast("string"))
-    parsed = (
-        replies.withColumn("_clean", r.without_fence(F.col("reply")))
-        .withColumn("_json", r.parsed_json(F.col("_clean")))
-        .withColumn("_object", F.when(r.is_object(F.col("_json")), F.col("_json")))
+    clean = evaluate_once(replies, _clean=r.without_fence(F.col("reply")))
+    parsed = evaluate_once(clean, _json=r.parsed_json(F.col("_clean")))
+    value = F.when(r.is_object(F.col("_json")), F.col("_json"))
+    warning = F.when(F.col("_json").isNull(), F.lit(NOT_JSON)).when(
+        F.col("_object").isNull(), F.lit(NOT_OBJECT)
     )
-    value = F.col("_object")
-    warning = F.when(F.col("_json").isNull(), F.lit(NOT_JSON)).when(value.isNull(), F.lit(NOT_OBJECT))
-    return as_receipts(
-        parsed.select(
-            "source_file",
-            *[r.clean_string(value, f"$.{name}").alias(name) for name in ("vendor", "date", "currency")],
-            *[
-                r.clean_number(F.try_variant_get(value, f"$.{name}", "string")).alias(name)
-                for name in ("total", "tax")
-            ],
-            F.coalesce(r.clean_items(value), F.array().cast(schemas.LINE_ITEMS)).alias("line_items"),
-            F.lit(engine).alias("engine"),
-            F.array_compact(F.array(warning)).alias("warnings"),
-            "content_hash",
-            F.lit(None).cast("string").alias("duplicate_of"),
-            F.lit(False).alias("extraction_failed"),
-        )
+    read = evaluate_once(
+        evaluate_once(parsed, _object=value),
+        **{n: r.clean_string(F.col("_object"), f"$.{n}") for n in ("vendor", "date", "currency")},
+        **{
+            n: r.clean_number(F.try_variant_get("_object", f"$.{n}", "string"))
+            for n in ("total", "tax")
+        },
+        line_items=F.coalesce(
+            r.clean_items(F.col("_object")), F.array().cast(schemas.LINE_ITEMS)
+        ),
     )
+    done = read.withColumns(
+        {
+            "engine": F.lit(engine),
+            "warnings": F.array_compact(F.array(warning)),
+            "duplicate_of": F.lit(None).cast("string"),
+            "extraction_failed": F.lit(False),
+        }
+    )
+    return done.drop("_clean", "_json", "_object")
 
 
 def classify_responses(responses: DataFrame) -> DataFrame:
@@ -99,25 +107,19 @@ def stop_if_systemic(scoped: DataFrame) -> None:
 
 def receipts_from_responses(scoped: DataFrame, engine: str = "ai_vision") -> DataFrame:
     """Normalised receipts of resolved files; a failed file keeps its row and says why."""
-    if "content_hash" not in scoped.columns:
-        scoped = scoped.withColumn("content_hash", F.lit(None).cast("string"))
     done = F.col("outcome") == r.DONE
-    parsed = parse_replies(scoped.where(done), engine)
     why = F.when(F.col("status").isNull(), F.lit(NOT_RENDERED)).otherwise(
         F.concat(F.lit(FILE_FAILED), _detail())
     )
-    none = {name: F.lit(None).cast("string") for name in ("vendor", "date", "currency", "duplicate_of")}
-    none |= {name: F.lit(None).cast("double") for name in ("total", "tax")}
-    failed = scoped.where(~done).withColumns(
+    # A file without success has no reply, so reading it leaves all fields empty.
+    replies = scoped.withColumn("reply", F.when(done, F.col("reply")))
+    read = _read_replies(replies, engine).withColumns(
         {
-            **none,
-            "line_items": F.array().cast(schemas.LINE_ITEMS),
-            "engine": F.lit(engine),
-            "warnings": F.array(why),
-            "extraction_failed": F.lit(True),
+            "warnings": F.when(done, F.col("warnings")).otherwise(F.array(why)),
+            "extraction_failed": ~done,
         }
     )
-    return normalize(parsed.unionByName(as_receipts(failed)))
+    return normalize(as_receipts(read))
 
 
 def _detail():

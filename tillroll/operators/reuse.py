@@ -22,30 +22,28 @@ _STORED_SCHEMA = (
 )
 
 
-def latest_per_hash(cache: DataFrame) -> DataFrame:
-    """The cache is append-only; the latest run counts."""
-    kept = [c for c in cache.columns if c not in ("content_hash", "run_id")]
-    return (
-        cache.groupBy("content_hash")
-        .agg(F.max_by(F.struct(*kept), F.struct("run_id", "source_file")).alias("stored"))
-        .select("content_hash", *[f"stored.{c}" for c in kept])
-    )
-
-
 def reuse_cached(files: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Receipts of the files whose bytes are known, under the name they arrive with.
 
-    Many files may have the same bytes: the stored row is looked up once per hash of this
-    batch and joined back without gathering the files of one hash in one task."""
+    The cache is append-only; of the rows of one hash the latest run counts. Only hashes of
+    this batch are looked at, once each, and joined back without gathering the files of one
+    hash in one task."""
+    kept = [c for c in STORED if c != "source_file"]
     sizes = files.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_size"))
-    stored = latest_per_hash(cache).drop("source_file")
-    known = sizes.join(stored, "content_hash").withColumn("_known", F.lit(True))
+    latest = F.max_by(F.struct(*kept), F.struct("run_id", "source_file"))
+    known = (
+        cache.join(sizes, "content_hash")
+        .groupBy("content_hash")
+        .agg(latest.alias("stored"), F.max("_size").alias("_size"))
+        .select("content_hash", "_size", "stored.*", F.lit(True).alias("_known"))
+    )
     arrived = files.select("source_file", "content_hash")
     joined = join_facts(arrived, known, "content_hash", "_size", "source_file", hot_rows)
+    earlier = F.coalesce("warnings", F.array().cast("array<string>"))
     return as_receipts(
         joined.where("_known").withColumns(
             {
-                "warnings": F.array_prepend(F.coalesce("warnings", F.array().cast("array<string>")), F.lit(FROM_CACHE)),
+                "warnings": F.array_prepend(earlier, F.lit(FROM_CACHE)),
                 "duplicate_of": F.lit(None).cast("string"),
                 "extraction_failed": F.lit(False),
             }

@@ -298,7 +298,8 @@ w as (select *, min(source_file) over (partition by content_hash) first_file fro
 select source_file, content_hash, nullif(first_file, source_file) duplicate_of from w""",
     "fingerprint": f"""{_TRUTH}
 select source_file, case when not blank
-  then md5(md5(lower(vendor))||md5("date")||cast(total as varchar)) end fingerprint from t""",
+  then md5(concat_ws(' ', length(vendor), length("date"), lower(vendor), "date",
+    cast(round(total*100) as bigint))) end fingerprint from t""",
     "mark_duplicates": f"""{_TRUTH}
 select source_file, duplicate_of, array_to_string(warnings,'; ') warnings from m""",
     "mark_duplicates_any": """
