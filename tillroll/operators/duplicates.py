@@ -55,9 +55,9 @@ def first_files(keyed: DataFrame, key: str) -> DataFrame:
 def mark_duplicates(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mark duplicates where the fields follow from the bytes, as with rule extraction.
 
-    The input is read twice, once for the keys and once for the rows; pass a written table
-    (see `sources.shared.stage`) rather than a plan that extracts again."""
-    keyed = receipts.withColumn("_key", duplicate_key(receipts))
+    The input is written once together with its keys. Counting then reads the keys only, and
+    its shuffle serves both ways of the join."""
+    keyed = stage(receipts.withColumn("_key", duplicate_key(receipts)), "keyed")
     firsts = first_files(keyed.select("_key", "source_file"), "_key")
     joined = join_facts(keyed, firsts, "_key", "rows_of_key", "source_file", hot_rows)
     original = F.when(F.col("first_file") != F.col("source_file"), F.col("first_file"))
@@ -66,8 +66,9 @@ def mark_duplicates(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def duplicates_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(source_file, content_hash, duplicate_of) by bytes alone."""
-    firsts = first_files(files.select("content_hash", "source_file"), "content_hash")
-    joined = join_facts(files, firsts, "content_hash", "rows_of_key", "source_file", hot_rows)
+    hashed = stage(files.select("source_file", "content_hash"), "hashed")
+    firsts = first_files(hashed, "content_hash")
+    joined = join_facts(hashed, firsts, "content_hash", "rows_of_key", "source_file", hot_rows)
     return joined.select(
         "source_file",
         "content_hash",
@@ -84,12 +85,14 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     that comes first among the open rows of its hash and of its fingerprint is an original and
     settles every other row with one of its keys. Each round works on written tables and only
     on what is still open; no bound on the number of rounds is assumed."""
-    h = F.nullif(F.col("content_hash"), F.lit(""))
-    f = fingerprint(F.col("vendor"), F.col("date"), F.col("total"))
+    keys = {
+        "h": F.nullif(F.col("content_hash"), F.lit("")),
+        "f": fingerprint(F.col("vendor"), F.col("date"), F.col("total")),
+    }
+    keyed = stage(receipts.withColumns(keys), "keyed")
     # Of the rows that agree in both keys only the first can be an original.
     open_rows = stage(
-        receipts.select("source_file", h.alias("h"), f.alias("f"))
-        .where("h is not null or f is not null")
+        keyed.where("h is not null or f is not null")
         .groupBy("h", "f")
         .agg(F.min("source_file").alias("source_file"), F.count(F.lit(1)).alias("n")),
         "open",
@@ -116,7 +119,7 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
         still_open = rest.where("taken_h is null and taken_f is null")
         open_rows = stage(still_open.drop("taken_h", "taken_f"), "open")
 
-    joined = receipts.withColumns({"h": h, "f": f})
+    joined = keyed
     for key in ("h", "f"):
         joined = _join_originals(joined, settled, key, hot_rows)
     # An original further down the list was not registered yet when this row was judged.
@@ -165,7 +168,7 @@ def across_runs(receipts: DataFrame, seen: DataFrame, hot_rows: int = HOT_ROWS)
 
     `seen` holds one row per key: (key, source_file) of the first file. Rows keep their key in
     a column `key` for `new_keys`."""
-    keyed = receipts.withColumn("key", duplicate_key(receipts))
+    keyed = stage(receipts.withColumn("key", duplicate_key(receipts)), "keyed")
     within = (
         keyed.where(F.col("key").isNotNull())
         .groupBy("key")

@@ -24,7 +24,8 @@ def join_facts(
     """Left join `facts`, one row per `key`, onto `rows`.
 
     `size` names the facts column with the number of rows of that key; it is not returned.
-    The largest groups are joined by a broadcast and need no shuffle on their key; for the
+    `facts` is read by both ways of the join: give it as grouping over a written table, whose
+    shuffle is then shared. The largest groups are joined by a broadcast and need no shuffle on their key; for the
     shuffled rest, rows already served (or without a key) are spread by `row_id`."""
     added = [c for c in facts.columns if c not in (key, size)]
     fact = F.struct(*added)
@@ -34,8 +35,10 @@ def join_facts(
         .limit(hot_groups)
         .select(F.col(key).alias("_hot_key"), fact.alias("_hot"))
     )
+    # The coalesce keeps a filter on the joined key from being pushed below the grouping, which
+    # would make its shuffle differ from the one the hot groups come from.
     cold = facts.where(F.col(key).isNotNull()).select(
-        F.concat(F.lit("="), key).alias("_cold_key"), fact.alias("_cold")
+        F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("_cold_key"), fact.alias("_cold")
     )
     served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     open_key = F.when(

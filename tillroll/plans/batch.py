@@ -17,13 +17,12 @@ from tillroll.sources.store import ReviewStore
 
 
 def extract_batch(arrived: DataFrame, options: Options = Options(), limit: int | None = None) -> DataFrame:
-    """Extract and mark one batch. Extraction is written once, the marking reads it twice."""
+    """Extract and mark one batch. Marking writes what was extracted and works on that."""
     if limit is not None:
         arrived = preview(arrived, limit)
     receipts = build_engine(options)(arrived, options)
     if not options.deduplicate:
         return receipts
-    receipts = stage(receipts, "receipts")
     # Rules give equal fields for equal bytes; replies need not.
     if options.engine == "rule_based":
         return duplicates.mark_duplicates(receipts)
@@ -44,7 +43,7 @@ def process_batch(
     With `across_runs`, documents of earlier runs are known too (rule extraction only)."""
     started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
     if across_runs and options.engine == "rule_based":
-        receipts = stage(build_engine(options)(arrived, options), "receipts")
+        receipts = build_engine(options)(arrived, options)
         earlier = store.read("seen_keys").where(F.col("run_id") < run_id)
         marked = stage(duplicates.across_runs(receipts, earlier), "marked")
         store.write_run("seen_keys", duplicates.new_keys(marked), run_id)
@@ -82,7 +81,7 @@ def process_responses(
     ).where("source_file > first_file").drop("first_file")
     repeated = stage(repeated, "repeated")
     first = own.join(repeated.select("source_file"), "source_file", "left_anti")
-    receipts = stage(known.unionByName(first).unionByName(repeated), "receipts")
+    receipts = known.unionByName(first).unionByName(repeated)
     marked = duplicates.mark_duplicates_any(receipts) if options.deduplicate else receipts
     store.write_run("receipts", review.flag_for_review(marked), run_id)
     store.write_run("cache", stored.drop("run_id"), run_id)

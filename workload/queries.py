@@ -359,7 +359,7 @@ def mark_duplicates(spark, sf_dir):
 
 @query
 def mark_duplicates_any(spark, sf_dir):
-    rows = stage(inputs.mixed_keys(spark, sf_dir), "mixed")
+    rows = inputs.mixed_keys(spark, sf_dir)
     return duplicates.mark_duplicates_any(rows).select("source_file", "duplicate_of", _joined("warnings"))
 
 
