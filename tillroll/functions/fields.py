@@ -81,16 +81,13 @@ def largest_amount(text: Column, options: Options) -> Column:
 def vendor(cut: Column) -> Column:
     """First of the top lines that has letters, no money and none of the skip words."""
 
+    def is_noise(low: Column) -> Column:
+        return contains_any(low, VENDOR_SKIP)
+
     def name_or_null(line: Column) -> Column:
-        plain = money.unmark(line)
         usable = ~money.has_money(line) & has_letters(line, 3)
-        return F.when(
-            usable,
-            let(plain, lambda p: F.when(~let(F.lower(p), skipped), p)),
-        )
-
-    def skipped(low: Column) -> Column:
-        return contains_any(low, VENDOR_SKIP)
+        name = F.when(usable, money.unmark(line))
+        return let(name, lambda n: F.when(~let(F.lower(n), is_noise), n))
 
     top = F.transform(F.slice(cut, 1, VENDOR_LINES), name_or_null)
     return F.get(F.array_compact(top), F.lit(0))

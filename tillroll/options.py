@@ -14,7 +14,7 @@ AMOUNT_GRAMMARS = ("whole", "split")
 @dataclass(frozen=True)
 class Options:
     """`amount_grammar` says how a long number without thousands commas is read:
-    "whole" reads 1234.56 as one amount; "split" reads digits in groups of at most three,
+    "whole" reads $1234.56 as one amount; "split" reads digits in groups of at most three,
     so that the same text gives 123 and 4.56."""
 
     engine: str = "rule_based"
