@@ -76,7 +76,8 @@ def shard(
 
     Only ids, sizes and hashes are shuffled, never texts. Sizes per range (at most
     about twice shards x ranges_per_shard rows) are the one thing collected."""
-    sized = _sized(docs, id_col, text_col)
+    # Written once, without the texts: every later step reads these four columns only.
+    sized = stage(_sized(docs, id_col, text_col), "sizes")
     ranges = shards * ranges_per_shard
     bounds = splitters(sized, ranges)
     placed = sized.withColumn("_range", _place(F.col("_key"), bounds))
@@ -89,7 +90,7 @@ def shard(
         counts = F.array(*[F.lit(pieces.get(i, 1)).cast("int") for i in range(max(pieces) + 1)])
         n = F.coalesce(F.get(counts, F.col("_range")), F.lit(1))
         piece = F.pmod(F.xxhash64("doc_id", "_key"), n).cast("int")
-    parts = placed.withColumn("_piece", piece)
+    parts = stage(placed.withColumn("_piece", piece), "pieces")
     cells = (
         parts.groupBy("_range", "_piece")
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -105,14 +106,20 @@ def shard(
     cell = docs.sparkSession.createDataFrame(table, "_r int, _p int, _bytes long, _rows long")
     order = Window.partitionBy("_range", "_piece").orderBy("_key", "doc_id", "size", "text_crc32")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed_rows = parts.withColumns({"_run": F.sum("size").over(upto), "_row": F.row_number().over(order)})
     # A row goes to the shard in which its middle byte lies, so sizes differ by a row at most.
-    middle = (F.col("_bytes") + F.sum("size").over(upto)) * 2 - F.col("size")
+    middle = (F.col("_bytes") + F.col("_run")) * 2 - F.col("size")
     to = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(2 * max(total, 1)))))
     dealt = stage(
-        parts.join(F.broadcast(cell), (F.col("_range") == F.col("_r")) & (F.col("_piece") == F.col("_p")))
-        .withColumn("shard", to.cast("int"))
-        .withColumn("_index", F.col("_rows") + F.row_number().over(order) - 1)
-        .select("doc_id", "size", "text_crc32", "shard", "_index", F.col("_range").alias("range_no")),
+        placed_rows.join(F.broadcast(cell), (F.col("_range") == F.col("_r")) & (F.col("_piece") == F.col("_p")))
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            to.cast("int").alias("shard"),
+            (F.col("_rows") + F.col("_row") - 1).alias("_index"),
+            F.col("_range").alias("range_no"),
+        ),
         "shards",
     )
     first = dealt.groupBy(F.col("shard").alias("_s")).agg(F.min("_index").alias("_first"))
