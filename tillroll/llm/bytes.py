@@ -40,12 +40,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `size` bytes each."""
+def chunks(offsets: np.ndarray, size: int = CHUNK, most_rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `size` bytes each, and at most `most_rows` rows."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + most_rows, n)
         yield first, last
         first = last
 
