@@ -109,10 +109,12 @@ def fit(
     of bounded size."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # The ids are ranked alone; the window keeps no more than the asked rows of each task.
+    ids = rows.where(F.col("lang").isNotNull()).select("lang", "id")
+    # Twice the share that is asked for goes on to be ranked, so no language fills a task.
+    share = ids.groupBy(F.col("lang").alias("_of")).agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("_share"))
+    u = (F.xxhash64("id") / float(1 << 63) + 1) / 2
     chosen = (
-        rows.where(F.col("lang").isNotNull())
-        .select("lang", "id")
+        ids.join(F.broadcast(share), (F.col("lang") == F.col("_of")) & ((u < F.col("_share")) | (F.col("_share") > 0.5)))
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= per_language)
         .select(F.col("id").alias("_id"), F.col("lang").alias("_lang"))
