@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import chat, language, quality, sharding, simhash, suffixes
+from tillroll.llm import chat, decontaminate, language, licenses, quality, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16).select(
         "doc_id",
@@ -53,6 +57,11 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language.remainder(F.col("doc_id"), 3) == 1
@@ -65,6 +74,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_chat_format": op4_chat_format,
     "op6_repeats": op6_repeats,
+    "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
+    "op9_licenses": op9_licenses,
     "op10_language": op10_language,
 }
