@@ -22,10 +22,12 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillroll.llm.blocks import block_of, even_blocks
+
 RESULTS = "n_tokens long, ids string, decoded binary"
 _NO_RANK = 1 << 30
 _BYTES = "ISO-8859-1"
@@ -105,35 +107,23 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def _even_blocks(spark: SparkSession, n: int) -> Column:
-    """n numbers that a shuffle over n partitions puts into a partition each."""
-    found = (
-        spark.range(40 * n + 1000)
-        .groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-        .agg(F.min("id").cast("int").alias("id"))
-        .orderBy("p")
-        .collect()
-    )
-    return F.array(*[F.lit(r["id"]) for r in found])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """The other columns of `docs` with n_tokens, ids (decimal, joined by spaces) and decoded,
     the bytes that the ids stand for. A block's texts and words are one task's memory: give
-    `blocks` (by default the shuffle partitions) for tens of megabytes each."""
+    `blocks` (by default the shuffle partitions) for tens of megabytes each. Equal texts are
+    told apart by their id, so copies spread over the blocks."""
     spark = docs.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = RankTable(ranks)
     added = ("n_tokens", "ids", "decoded")
     others = [c for c in docs.columns if c not in (text_col, *added)]
-    labels = _even_blocks(spark, n)
     named = docs.select(
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         *[F.col(f"`{c}`").alias(f"_other_{i}") for i, c in enumerate(others)],
     )
-    at = F.pmod(F.xxhash64("text", *[c for c in named.columns[1:2]]), F.size(labels)).cast("int")
+    block = block_of(F.xxhash64("text", F.col(f"_other_{others.index(id_col)}")), even_blocks(spark, n))
     # This shuffle serves both the gathering of the words and the texts themselves.
-    texts = named.withColumn("block", F.get(labels, at)).repartition(n, "block")
+    texts = named.withColumn("block", block).repartition(n, "block")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = split_pattern(pattern)

@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.llm.bytes import chunks, mix, padded, utf8
+from tillroll.llm.blocks import block_of, even_blocks, pack, unpack
+from tillroll.llm.bytes import chunks, mix, padded, utf8, xxhash64
 from tillroll.sources.shared import stage
 
 MATCH = 50
@@ -36,7 +36,10 @@ SIDE = MATCH - GRAM
 BATCH = 400_000
 BUCKETS_PER_TASK = 8
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
-ROUND_COLUMNS = "bucket int, doc long, open boolean, keys binary"
+# Rows of a round: packed entries of a bucket, or packed (document, key) pairs of a block of
+# documents, settled or open.
+ENTRIES, SETTLED, OPEN, STRINGS = range(4)
+ROUND_COLUMNS = "bucket int, kind int, block int, packed binary"
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -142,221 +145,244 @@ def _merged(a: Entries, b: Entries) -> Entries:
     return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
-def _pack(entries: Entries) -> bytes:
-    """Entries by their bytes' places, which the shuffle's compression takes well."""
-    planes = np.stack([entries[0], entries[1], entries[2].view(np.uint64)])
-    return planes.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes()
-
-
-def _unpack(blob: bytes) -> Entries:
-    planes = np.frombuffer(blob, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)
-    whole = np.ascontiguousarray(planes).view(np.uint64).reshape(3, -1)
-    return whole[0], whole[1], whole[2].view(np.int64)
-
-
-def _by_doc(doc: np.ndarray, keys: np.ndarray, is_open: bool) -> pa.RecordBatch:
-    """One row per document with its keys."""
-    order = np.argsort(doc, kind="stable")
-    doc, keys = doc[order], keys[order]
-    first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
-    offsets = np.append(first, len(doc)).astype(np.int32) * 8
-    blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
-    ids = doc[first]
-    to = (ids & 0x7FFFFFFF).astype(np.int32)
+def _rows(to: np.ndarray, columns: tuple[np.ndarray, ...], kind: int, labels: np.ndarray | None = None) -> pa.RecordBatch:
+    """One packed row per value of `to`, which is a bucket, or the place of a block's label."""
+    order = np.lexsort((columns[0], to))
+    to, columns = to[order], tuple(c[order] for c in columns)
+    first = np.flatnonzero(np.diff(to, prepend=-1))
+    last = np.append(first[1:], len(to))
+    at = to[first].astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(to), pa.array(ids), pa.array(np.full(len(ids), is_open)), blob], ["bucket", "doc", "open", "keys"]
+        [
+            pa.array(at),
+            pa.array(np.full(len(at), kind, np.int32)),
+            pa.array(at if labels is None else labels[at]),
+            pa.array([pack(tuple(c[i:j] for c in columns)) for i, j in zip(first, last, strict=True)], pa.binary()),
+        ],
+        ["bucket", "kind", "block", "packed"],
     )
 
 
-def _deal(parts: Iterator[Entries], buckets: int, by: int) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregated entries by bucket. Of a context that several documents of the batch have
-    only the smallest goes on; the others are settled here, so a context that a third of all
-    documents share costs one entry per batch."""
-    held, size = [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        entries, settled = _sorted(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-        if len(settled[0]):
-            yield _by_doc(*settled, False)
-        to = (mix(entries[by]) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((entries[by], to))
-        to, entries = to[order], tuple(x[order] for x in entries)
-        first = np.flatnonzero(np.diff(to, prepend=-1))
-        last = np.append(first[1:], len(to))
-        blobs = [_pack(tuple(x[i:j] for x in entries)) for i, j in zip(first, last, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(to[first]), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.bool_()), pa.array(blobs, pa.binary())],
-            ["bucket", "doc", "open", "keys"],
-        )
-
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size >= BATCH:
-            yield from flush()
-            held, size = [], 0
-    if size:
-        yield from flush()
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feed what arrives to the family of this task; gives (document, its settled or open keys)."""
-    family, held, size = IndexFamily(), [], 0
-
-    def feed() -> Iterator[pa.RecordBatch]:
-        for doc, keys in family.add(tuple(np.concatenate(x) for x in zip(*held, strict=True))):
-            yield _by_doc(doc, keys, False)
-
-    for batch in batches:
-        packed = batch.column(1).is_null()
-        if packed.false_count:
-            yield batch.filter(pc.invert(packed))
-        for blob in batch.column(3).filter(packed):
-            held.append(_unpack(blob.as_buffer()))
-            size += len(held[-1][0])
-            if size >= BATCH:
-                yield from feed()
-                held, size = [], 0
-    if size:
-        yield from feed()
-    doc, keys = family.open_entries()
-    if len(doc):
-        yield _by_doc(doc, keys, True)
+class Deal:
+    """How entries and results are spread: entries over buckets, results over blocks."""
+
+    def __init__(self, spark, per_task: int = BUCKETS_PER_TASK):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.labels = even_blocks(spark, n)
+        self.buckets, self.n = per_task * n, n
 
+    def block(self, doc):
+        return block_of(F.coalesce(F.xxhash64(doc), F.lit(0).cast("long")), self.labels)
 
-def _round(spread: DataFrame) -> DataFrame:
-    return spread.repartition("bucket").mapInArrow(_scan, ROUND_COLUMNS)
+    def pairs(self, doc: np.ndarray, keys: np.ndarray, kind: int) -> pa.RecordBatch:
+        return _rows(xxhash64(doc) % self.n, (doc, keys), kind, np.array(self.labels, np.int32))
 
+    def entries(self, parts: Iterator[Entries], by: int, kind: int) -> Iterator[pa.RecordBatch]:
+        """Pre-aggregated entries by bucket. Of a context that several documents of the batch
+        have only the smallest goes on; the others are settled here, so a context that a third
+        of all documents share costs one entry per batch."""
+        held, size = [], 0
 
-def _keys_by_doc(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy(F.col("doc").alias(f"_{name}_doc")).agg(F.collect_list("keys").alias(name))
+        def flush() -> Iterator[pa.RecordBatch]:
+            entries, settled = _sorted(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(settled[0]):
+                yield self.pairs(*settled, kind)
+            yield _rows((mix(entries[by]) % np.uint64(self.buckets)).astype(np.int64), entries, ENTRIES)
 
+        for part in parts:
+            held.append(part)
+            size += len(part[0])
+            if size >= BATCH:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def scan(self, batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+        """Feed what arrives to the family of this task; gives its settled and open pairs."""
+        family, held, size, done = IndexFamily(), [], 0, []
 
-def _has_key(row: np.ndarray, keys: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Which (row, key) pairs are in the rows' lists of packed keys."""
-    joined = [b"".join(x.as_py() for x in v.values) if v.is_valid else b"" for v in lists]
-    wanted = np.frombuffer(b"".join(joined), np.uint64)
-    owner = np.repeat(np.arange(len(joined)), [len(x) // 8 for x in joined])
-    # Rows are told apart by adding a multiple of an odd number; equal sums of other pairs are
-    # as unlikely as equal hashes.
-    salt = lambda r: mix(r.astype(np.uint64) + np.uint64(1))
-    return np.isin(keys + salt(row), wanted + salt(owner))
+        def feed() -> None:
+            done.extend(family.add(tuple(np.concatenate(x) for x in zip(*held, strict=True))))
 
+        def settled() -> pa.RecordBatch:
+            return self.pairs(*(np.concatenate(x) for x in zip(*done, strict=True)), kind)
 
-def repeated_strings(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(settled, open): packed contexts by document, from (doc_id long, text)."""
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            if (kinds != ENTRIES).any():
+                yield batch.filter(pa.array(kinds != ENTRIES))
+            for blob in batch.column(3).filter(pa.array(kinds == ENTRIES)):
+                entries = unpack(blob.as_buffer(), 3)
+                held.append((entries[0], entries[1], entries[2].view(np.int64)))
+                size += len(held[-1][0])
+                if size >= BATCH:
+                    feed()
+                    held, size = [], 0
+                    if sum(len(d[0]) for d in done) >= 4 * BATCH:
+                        yield settled()
+                        done.clear()
+        if size:
+            feed()
+        if done:
+            yield settled()
+        doc, keys = family.open_entries()
+        if len(doc):
+            yield self.pairs(doc, keys, OPEN)
+
+    def round(self, spread: DataFrame, kind: int) -> DataFrame:
+        return spread.repartition("bucket").mapInArrow(lambda batches: self.scan(batches, kind), ROUND_COLUMNS)
+
+
+def _salt(doc: np.ndarray) -> np.ndarray:
+    """Pairs are told apart by adding this to the key; equal sums of different pairs are as
+    unlikely as equal hashes."""
+    return mix(doc.view(np.uint64) + np.uint64(1))
+
+
+class Pairs:
+    """The (document, key) pairs of one block and kind."""
+
+    def __init__(self, packed: pa.Table, kind: int):
+        blobs = [b.as_py() for k, b in zip(packed.column("kind").to_pylist(), packed.column("packed"), strict=True) if k == kind]
+        both = np.concatenate([unpack(b, 2) for b in blobs], axis=1) if blobs else np.zeros((2, 0), np.uint64)
+        self.docs = np.unique(both[0].view(np.int64))
+        self.sums = np.sort(both[1] + _salt(both[0]))
+
+    def hold(self, doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.sums):
+            return np.zeros(len(doc), bool)
+        sums = keys + _salt(doc)
+        return self.sums[np.minimum(np.searchsorted(self.sums, sums), len(self.sums) - 1)] == sums
+
+
+def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and which of them are null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(column.is_null())
+
+
+def repeated_strings(docs: DataFrame, deal: Deal) -> DataFrame:
+    """Settled and open contexts, packed by block, from (doc_id long, text, ...)."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Entries]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            ids, null = _ids(batch.column(0))
             for i, j in chunks(offsets):
                 s = Suffixes(data, offsets[i : j + 1])
                 at = s.anchors()
+                row = i + s.row(at)
+                at, row = at[~null[row]], row[~null[row]]
                 if len(at):
-                    yield s.gram[at], s.contexts(at), ids[i + s.row(at)]
+                    yield s.gram[at], s.contexts(at), ids[row]
 
-    spread = docs.mapInArrow(lambda batches: _deal(entries(batches), buckets, 0), ROUND_COLUMNS)
-    # Written once: both what is settled and what is open are read from it.
-    found = stage(_round(spread), "suffixes")
-    return found.where("not open"), found.where("open")
+    spread = docs.select("doc_id", "text").mapInArrow(lambda batches: deal.entries(entries(batches), 0, SETTLED), ROUND_COLUMNS)
+    # Written once: the second round and the cut both read it.
+    return stage(deal.round(spread, SETTLED), "suffixes")
 
 
-def open_strings(docs: DataFrame, opened: DataFrame, buckets: int) -> DataFrame:
-    """Settled strings by document, for the contexts that stayed open."""
-    rows = docs.join(_keys_by_doc(opened, "open_keys").hint("shuffle_hash"), F.col("doc_id") == F.col("_open_keys_doc"))
+def open_strings(texts: DataFrame, found: DataFrame, deal: Deal) -> DataFrame:
+    """Settled strings, packed by block, for the contexts that stayed open."""
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Entries]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids, lists = batch.column(0).to_numpy(), batch.column(2)
-            for i, j in chunks(offsets):
-                s = Suffixes(data, offsets[i : j + 1])
-                at = s.anchors()
-                row = s.row(at)
-                hit = _has_key(row, s.contexts(at), lists.slice(i, j - i))
-                at, row = at[hit], row[hit]
-                first = np.maximum(at - SIDE, s.starts[row])
-                last = np.minimum(at, s.ends[row] - MATCH)
-                n = np.maximum(last - first + 1, 0)
-                place = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                if len(place):
-                    yield np.zeros(len(place), np.uint64), s.strings(place), ids[i + s.row(place)]
-
-    spread = rows.select("doc_id", "text", "open_keys").mapInArrow(
-        lambda batches: _deal(entries(batches), buckets, 1), ROUND_COLUMNS
-    )
-    return _round(spread).where("not open")
+    def entries(left: pa.Table, opened: Pairs) -> Iterator[Entries]:
+        data, offsets = utf8(left.column("text"))
+        ids, null = _ids(left.column("doc_id"))
+        touched = np.isin(ids, opened.docs) & ~null
+        for i, j in chunks(offsets):
+            if not touched[i:j].any():
+                continue
+            s = Suffixes(data, offsets[i : j + 1])
+            at = s.anchors()
+            row = s.row(at)
+            hit = touched[i + row] & opened.hold(ids[i + row], s.contexts(at))
+            at, row = at[hit], row[hit]
+            first = np.maximum(at - SIDE, s.starts[row])
+            last = np.minimum(at, s.ends[row] - MATCH)
+            n = np.maximum(last - first + 1, 0)
+            place = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            if len(place):
+                yield np.zeros(len(place), np.uint64), s.strings(place), ids[i + s.row(place)]
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        opened = Pairs(right, OPEN)
+        rows = list(deal.entries(entries(left, opened), 1, STRINGS)) if len(opened.docs) else []
+        return pa.Table.from_batches(rows, _ROUND_SCHEMA)
+
+    opened = found.where(F.col("kind") == OPEN).repartition(deal.n, "block")
+    spread = texts.groupBy("block").cogroup(opened.groupBy("block")).applyInArrow(work, ROUND_COLUMNS)
+    return deal.round(spread, STRINGS).where(F.col("kind") == STRINGS)
+
+
+_ROUND_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("packed", pa.binary())])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The other columns of `docs` with n_bytes, kept (binary) and spans, the removed runs as
-    [start, end) byte offsets. Columns named like the results are replaced."""
+    [start, end) byte offsets. Columns named like the results are replaced. The texts of a
+    block, one part in spark.sql.shuffle.partitions of all, meet their results in one task."""
     added = ("n_bytes", "kept", "spans")
     others = [c for c in docs.columns if c not in (id_col, text_col, *added)]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_other_{i}") for i, c in enumerate(others)])
-    known = base.where("doc_id is not null")
-    texts = known.select("doc_id", "text")
-    buckets = BUCKETS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled, opened = repeated_strings(texts, buckets)
-    strings = open_strings(texts, opened, buckets)
-    joined = known.join(
-        _keys_by_doc(settled, "contexts").hint("shuffle_hash"), F.col("doc_id") == F.col("_contexts_doc"), "left"
-    ).join(_keys_by_doc(strings, "strings").hint("shuffle_hash"), F.col("doc_id") == F.col("_strings_doc"), "left")
-    columns = ["doc_id", "text", "contexts", "strings", *[f"_other_{i}" for i in range(len(others))]]
-    none = F.lit(None).cast("array<binary>")
-    every = joined.select(columns).unionByName(
-        base.where("doc_id is null").withColumns({"contexts": none, "strings": none}).select(columns)
+    deal = Deal(docs.sparkSession)
+    base = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"),
+        *[F.col(f"`{c}`").alias(f"_other_{i}") for i, c in enumerate(others)],
     )
+    # This shuffle serves both the second round and the cut.
+    texts = base.withColumn("block", deal.block(F.col("doc_id"))).repartition(deal.n, "block")
+    found = repeated_strings(base, deal)
+    strings = open_strings(texts, found, deal)
+    settled = found.where(F.col("kind") == SETTLED).unionByName(strings).repartition(deal.n, "block")
     results = StructType.fromDDL("n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
-    kind = StructType([every.schema["doc_id"], *every.schema.fields[4:], *results.fields])
-    cut = every.mapInArrow(_cut, kind)
+    kind = StructType([f for f in base.schema.fields if f.name != "text"] + results.fields)
+    cut = texts.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_cut, kind)
     names = [F.col("doc_id").alias(id_col), *[F.col(f"_other_{i}").alias(c) for i, c in enumerate(others)]]
     return cut.select(*names, *added)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        contexts, strings = batch.column(2), batch.column(3)
-        touched = np.asarray(contexts.is_valid()) | np.asarray(strings.is_valid())
-        kept, spans = [], []
-        for i, j in chunks(offsets):
-            at = offsets[i : j + 1]
-            if not touched[i:j].any():
-                kept += [data[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
-                spans += [[]] * (j - i)
+def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    contexts, strings = Pairs(right, SETTLED), Pairs(right, STRINGS)
+    data, offsets = utf8(left.column("text"))
+    ids, null = _ids(left.column("doc_id"))
+    in_contexts, in_strings = np.isin(ids, contexts.docs) & ~null, np.isin(ids, strings.docs) & ~null
+    kept, spans = [], []
+    for i, j in chunks(offsets):
+        at = offsets[i : j + 1]
+        if not (in_contexts[i:j] | in_strings[i:j]).any():
+            kept += [data[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
+            spans += [[]] * (j - i)
+            continue
+        s = Suffixes(data, at)
+        gone = np.zeros(len(s.buf) + 1, np.int32)
+        place = s.anchors()
+        row = s.row(place)
+        hit = in_contexts[i + row] & contexts.hold(ids[i + row], s.contexts(place))
+        np.add.at(gone, np.maximum(place[hit] - SIDE, s.starts[row[hit]]), 1)
+        np.add.at(gone, np.minimum(place[hit] + MATCH, s.ends[row[hit]]), -1)
+        n = np.where(in_strings[i:j], np.maximum(s.ends - s.starts - MATCH + 1, 0), 0)
+        place = np.repeat(s.starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if len(place):
+            hit = strings.hold(ids[i + s.row(place)], s.strings(place))
+            np.add.at(gone, place[hit], 1)
+            np.add.at(gone, place[hit] + MATCH, -1)
+        removed = np.cumsum(gone[:-1]) > 0
+        for a, b in zip(s.starts, s.ends, strict=True):
+            flags = removed[a:b]
+            if not flags.any():
+                kept.append(s.buf[a:b].tobytes())
+                spans.append([])
                 continue
-            s = Suffixes(data, at)
-            gone = np.zeros(len(s.buf) + 1, np.int32)
-            place = s.anchors()
-            row = s.row(place)
-            hit = _has_key(row, s.contexts(place), contexts.slice(i, j - i))
-            np.add.at(gone, np.maximum(place[hit] - SIDE, s.starts[row[hit]]), 1)
-            np.add.at(gone, np.minimum(place[hit] + MATCH, s.ends[row[hit]]), -1)
-            n = np.where(np.asarray(strings.slice(i, j - i).is_valid()), np.maximum(s.ends - s.starts - MATCH + 1, 0), 0)
-            place = np.repeat(s.starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            if len(place):
-                hit = _has_key(s.row(place), s.strings(place), strings.slice(i, j - i))
-                np.add.at(gone, place[hit], 1)
-                np.add.at(gone, place[hit] + MATCH, -1)
-            removed = np.cumsum(gone[:-1]) > 0
-            for a, b in zip(s.starts, s.ends, strict=True):
-                flags = removed[a:b]
-                if not flags.any():
-                    kept.append(s.buf[a:b].tobytes())
-                    spans.append([])
-                    continue
-                kept.append(s.buf[a:b][~flags].tobytes())
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                *batch.columns[4:],
-                pa.array(np.diff(offsets)),
-                pa.array(kept, pa.binary()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ],
-            [batch.schema.names[0], *batch.schema.names[4:], "n_bytes", "kept", "spans"],
-        )
+            kept.append(s.buf[a:b][~flags].tobytes())
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+            spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
+    others = [n for n in left.column_names if n not in ("text", "block")]
+    return pa.table(
+        [
+            *[left.column(n) for n in others],
+            pa.array(np.diff(offsets)),
+            pa.array(kept, pa.binary()),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ],
+        names=[*others, "n_bytes", "kept", "spans"],
+    )
