@@ -2,7 +2,7 @@
 
 Texts are dealt over blocks. The words of each block, each once, are gathered by word, so a
 word is encoded once for all texts: a fold over its bytes merges the pair with the lowest rank
-until none is left, with the ranks in a literal map. The encoded words go back to the blocks
+until none is left, with the ranks in literal maps. The encoded words go back to the blocks
 that have them, where the texts are put together. Decoding looks up the bytes of every id in a
 literal array and concatenates them.
 
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,18 +42,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankTable:
-    """The ranks as literals: token -> id, and id -> token."""
+    """The ranks as literals: token -> id, and id -> token. A literal map is searched from its
+    start, so the ranks lie in one small map per hash bucket."""
+
+    BUCKETS = 1 << 16
 
     def __init__(self, ranks: dict[bytes, int]):
         names = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         of_id = [""] * (max(names.values()) + 1)
+        maps: list[dict[str, int]] = [{} for _ in range(self.BUCKETS)]
         for token, rank in names.items():
             of_id[rank] = token
-        self.to_id = F.from_json(F.lit(json.dumps(names)), "map<string,int>")
+            maps[xxhash.xxh64_intdigest(token.encode(), 42) % self.BUCKETS][token] = rank
+        self.to_id = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
         self.to_bytes = F.from_json(F.lit(json.dumps(of_id)), "array<string>")
 
     def rank(self, token: Column) -> Column:
-        return F.coalesce(F.try_element_at(self.to_id, token), F.lit(_NO_RANK))
+        bucket = F.get(self.to_id, F.pmod(F.xxhash64(token), F.lit(self.BUCKETS)).cast("int"))
+        return F.coalesce(F.try_element_at(bucket, token), F.lit(_NO_RANK))
 
 
 def encode_word(word: Column, table: RankTable) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, decontaminate, language, licenses, quality, sharding, simhash, suffixes
+from tillroll.llm import bpe, chat, decontaminate, language, licenses, pitman_yor, quality, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = language.remainder(F.col("doc_id"), 7) != 2
+    return pitman_yor.score(table(spark, sf_dir, "documents"), train)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_chat_format": op4_chat_format,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_repeats": op6_repeats,
     "op7_decontaminate": op7_decontaminate,
     "op8_shards": op8_shards,
