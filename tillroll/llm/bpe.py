@@ -22,7 +22,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,66 +41,71 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankTable:
-    """The ranks as literals: token -> id, and id -> token. A literal map is searched from its
-    start, so the ranks lie in one small map per hash bucket."""
+    """The ranks as literals. A pair of ids leads to the id of both joined, which is its rank;
+    a literal map is searched from its start, so the pairs lie in one small map per bucket."""
 
-    BUCKETS = 1 << 16
+    BUCKETS = 262_139
 
     def __init__(self, ranks: dict[bytes, int]):
-        names = {token.decode("latin-1"): rank for token, rank in ranks.items()}
-        of_id = [""] * (max(names.values()) + 1)
-        maps: list[dict[str, int]] = [{} for _ in range(self.BUCKETS)]
-        for token, rank in names.items():
-            of_id[rank] = token
-            maps[xxhash.xxh64_intdigest(token.encode(), 42) % self.BUCKETS][token] = rank
-        self.to_id = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        of_id = [""] * (max(ranks.values()) + 1)
+        maps: list[dict[int, int]] = [{} for _ in range(self.BUCKETS)]
+        for token, rank in ranks.items():
+            of_id[rank] = token.decode("latin-1")
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pair = left << 20 | right
+                    maps[pair % self.BUCKETS][pair] = rank
+        self.pairs = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
         self.to_bytes = F.from_json(F.lit(json.dumps(of_id)), "array<string>")
 
-    def rank(self, token: Column) -> Column:
-        bucket = F.get(self.to_id, F.pmod(F.xxhash64(token), F.lit(self.BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, token), F.lit(_NO_RANK))
+    def rank(self, left: Column, right: Column) -> Column:
+        pair = F.shiftleft(left.cast("bigint"), 20) + right
+        found = F.try_element_at(F.get(self.pairs, (pair % self.BUCKETS).cast("int")), pair.cast("string"))
+        return F.coalesce(found, F.lit(_NO_RANK))
 
 
 def encode_word(word: Column, table: RankTable) -> Column:
-    """array<int>: the ids of one word."""
+    """array<int>: the ids of one word. The state of the fold are the ids of the parts and, for
+    each part, the rank of its pair with the next one."""
     as_bytes = F.decode(F.encode(word, "UTF-8"), _BYTES)
-    parts = F.filter(F.split(as_bytes, ""), lambda b: b != "")
+    chars = F.filter(F.split(as_bytes, ""), lambda b: b != "")
+    parts = F.transform(chars, lambda b: F.get(table.of_byte, F.ascii(b)))
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def neighbours(p: Column) -> Column:
-        n = F.size(p) - 1
-        return F.zip_with(F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: table.rank(F.concat(a, b)))
+    def with_ranks(p: Column) -> Column:
+        """A part past the end is null and so has no rank."""
+        return F.struct(p.alias("p"), F.transform(p, lambda x, i: table.rank(x, F.get(p, i + 1))).alias("r"))
 
     def merge(state: Column) -> Column:
         """The pair with the lowest rank, the first of equals, becomes one part; only the ranks
         of its two new pairs are looked up."""
         p, r = state["p"], state["r"]
 
-        def at(i: Column) -> Column:
-            n = F.size(p)
-            joined = F.concat(F.get(p, i - 1), F.get(p, i))
-            before = F.when(i > 1, F.array(table.rank(F.concat(F.get(p, i - 2), joined)))).otherwise(none)
-            after = F.when(i + 1 < n, F.array(table.rank(F.concat(joined, F.get(p, i + 1))))).otherwise(none)
+        def at(m: Column) -> Column:
+            joined = F.get(r, m)
+
+            def new_rank(x: Column, i: Column) -> Column:
+                before = F.when(i == m - 1, table.rank(F.get(p, i), joined)).otherwise(x)
+                return F.when(i == m, table.rank(joined, F.get(p, m + 2))).otherwise(before)
+
+            left = F.filter(p, lambda x, i: i != m + 1)
+            ranks = F.filter(r, lambda x, i: i != m + 1)
             return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(joined), F.slice(p, i + 2, n)).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, n)).alias("r"),
+                F.transform(left, lambda x, i: F.when(i == m, joined).otherwise(x)).alias("p"),
+                F.transform(ranks, new_rank).alias("r"),
             )
 
-        return let(F.array_position(r, F.array_min(r)).cast("int"), at)
-
-    none = F.array().cast("array<int>")
+        return let(F.array_position(r, F.array_min(r)).cast("int") - 1, at)
 
     def step(state: Column, _: Column) -> Column:
         return F.when(F.coalesce(F.array_min(state["r"]), F.lit(_NO_RANK)) < _NO_RANK, merge(state)).otherwise(state)
 
-    start = let(parts, lambda p: F.struct(p.alias("p"), F.when(F.size(p) > 1, neighbours(p)).otherwise(none).alias("r")))
-    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    folded = F.aggregate(rounds, start, step, lambda s: s["p"])
-    # A word that is a token itself needs no merges; the ranks lead to it in any case.
-    tokens = F.when(table.rank(as_bytes) < _NO_RANK, F.array(as_bytes)).otherwise(folded)
-    return F.transform(tokens, table.rank)
+    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+    return F.aggregate(rounds, let(parts, with_ranks), step, lambda s: s["p"])
 
 
 def decode_ids(ids: Column, table: RankTable) -> Column:

@@ -34,7 +34,6 @@ GRAM = 24
 SIDE = MATCH - GRAM
 # Entries that are sorted together: a map task's pre-aggregation, a new batch of a family.
 BATCH = 400_000
-BUCKETS_PER_TASK = 8
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 # Rows of a round: packed entries of a bucket, or packed (document, key) pairs of a block of
 # documents, settled or open.
@@ -145,18 +144,19 @@ def _merged(a: Entries, b: Entries) -> Entries:
     return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
 
-def _rows(to: np.ndarray, columns: tuple[np.ndarray, ...], kind: int, labels: np.ndarray | None = None) -> pa.RecordBatch:
-    """One packed row per value of `to`, which is a bucket, or the place of a block's label."""
+def _rows(to: np.ndarray, columns: tuple[np.ndarray, ...], kind: int, labels: np.ndarray) -> pa.RecordBatch:
+    """One packed row per value of `to`, the place of a label, which names the task of the next
+    shuffle: a bucket of entries, or a block of documents."""
     order = np.lexsort((columns[0], to))
     to, columns = to[order], tuple(c[order] for c in columns)
     first = np.flatnonzero(np.diff(to, prepend=-1))
     last = np.append(first[1:], len(to))
-    at = to[first].astype(np.int32)
+    label = pa.array(labels[to[first]])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(at),
-            pa.array(np.full(len(at), kind, np.int32)),
-            pa.array(at if labels is None else labels[at]),
+            label,
+            pa.array(np.full(len(first), kind, np.int32)),
+            label,
             pa.array([pack(tuple(c[i:j] for c in columns)) for i, j in zip(first, last, strict=True)], pa.binary()),
         ],
         ["bucket", "kind", "block", "packed"],
@@ -166,16 +166,15 @@ def _rows(to: np.ndarray, columns: tuple[np.ndarray, ...], kind: int, labels: np
 class Deal:
     """How entries and results are spread: entries over buckets, results over blocks."""
 
-    def __init__(self, spark, per_task: int = BUCKETS_PER_TASK):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.labels = even_blocks(spark, n)
-        self.buckets, self.n = per_task * n, n
+    def __init__(self, spark):
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.labels = np.array(even_blocks(spark, self.n), np.int32)
 
     def block(self, doc):
-        return block_of(F.coalesce(F.xxhash64(doc), F.lit(0).cast("long")), self.labels)
+        return block_of(F.xxhash64(doc), self.labels.tolist())
 
     def pairs(self, doc: np.ndarray, keys: np.ndarray, kind: int) -> pa.RecordBatch:
-        return _rows(xxhash64(doc) % self.n, (doc, keys), kind, np.array(self.labels, np.int32))
+        return _rows(xxhash64(doc) % self.n, (doc, keys), kind, self.labels)
 
     def entries(self, parts: Iterator[Entries], by: int, kind: int) -> Iterator[pa.RecordBatch]:
         """Pre-aggregated entries by bucket. Of a context that several documents of the batch
@@ -187,7 +186,7 @@ class Deal:
             entries, settled = _sorted(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
             if len(settled[0]):
                 yield self.pairs(*settled, kind)
-            yield _rows((mix(entries[by]) % np.uint64(self.buckets)).astype(np.int64), entries, ENTRIES)
+            yield _rows((mix(entries[by]) % np.uint64(self.n)).astype(np.int64), entries, ENTRIES, self.labels)
 
         for part in parts:
             held.append(part)
