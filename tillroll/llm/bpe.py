@@ -41,29 +41,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankTable:
-    """The ranks as literals. A pair of ids leads to the id of both joined, which is its rank;
-    a literal map is searched from its start, so the pairs lie in one small map per bucket."""
+    """The rank map as literals. A pair of ids leads to the id of both joined, which is its
+    rank. Spark searches a literal map from its start, so the map is laid out over flat arrays
+    without collisions: the pairs of a bucket are moved by the bucket's offset to free slots."""
 
-    BUCKETS = 262_139
+    BUCKETS, SLOTS, SPREAD = 65_521, 1 << 18, 1_000_003
 
     def __init__(self, ranks: dict[bytes, int]):
         of_id = [""] * (max(ranks.values()) + 1)
-        maps: list[dict[int, int]] = [{} for _ in range(self.BUCKETS)]
+        buckets: dict[int, list[tuple[int, int]]] = {}
         for token, rank in ranks.items():
             of_id[rank] = token.decode("latin-1")
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pair = left << 20 | right
-                    maps[pair % self.BUCKETS][pair] = rank
-        self.pairs = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+                    buckets.setdefault(pair % self.BUCKETS, []).append((pair, rank))
+        keys, values, offsets = [-1] * self.SLOTS, [0] * self.SLOTS, [0] * self.BUCKETS
+        free = [True] * self.SLOTS
+        for bucket in sorted(buckets, key=lambda b: -len(buckets[b])):
+            at = [pair % self.SPREAD for pair, _ in buckets[bucket]]
+            if len({a % self.SLOTS for a in at}) < len(at):
+                raise ValueError("two pairs of a bucket share their slot: choose another SPREAD")
+            offset = next(d for d in range(self.SLOTS) if all(free[(a + d) % self.SLOTS] for a in at))
+            offsets[bucket] = offset
+            for a, (pair, rank) in zip(at, buckets[bucket], strict=True):
+                slot = (a + offset) % self.SLOTS
+                free[slot], keys[slot], values[slot] = False, pair, rank
+        self.keys, self.values, self.offsets = (
+            F.from_json(F.lit(json.dumps(x)), kind)
+            for x, kind in ((keys, "array<bigint>"), (values, "array<int>"), (offsets, "array<int>"))
+        )
         self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
         self.to_bytes = F.from_json(F.lit(json.dumps(of_id)), "array<string>")
 
     def rank(self, left: Column, right: Column) -> Column:
         pair = F.shiftleft(left.cast("bigint"), 20) + right
-        found = F.try_element_at(F.get(self.pairs, (pair % self.BUCKETS).cast("int")), pair.cast("string"))
-        return F.coalesce(found, F.lit(_NO_RANK))
+        offset = F.get(self.offsets, (pair % self.BUCKETS).cast("int"))
+        slot = ((pair % self.SPREAD + offset) % self.SLOTS).cast("int")
+        return F.when(F.get(self.keys, slot) == pair, F.get(self.values, slot)).otherwise(F.lit(_NO_RANK))
 
 
 def encode_word(word: Column, table: RankTable) -> Column:
