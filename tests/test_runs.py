@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import extract, report, reuse, review, uploads
 from tillroll.options import Options
+from tillroll.operators.extract import read_receipts
+from tillroll.plans.engines import register_engine
 from tillroll.plans.batch import extract_batch, process_batch, process_responses
 from tillroll.sources import files
 from tillroll.sources.shared import shared_dir
@@ -248,3 +250,44 @@ def test_a_cluster_must_name_its_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)
+
+
+def test_runs_of_other_origins_are_kept(spark, texts, tmp_path):
+    store = ReviewStore(spark, str(tmp_path))
+    process_batch(texts({"r1": CAFE}), store, 0)
+    for origin in ("stream a", "stream b"):
+        run_id = store.run_of(origin, 0)
+        for _ in range(2):  # a retried batch replaces itself
+            assert store.run_of(origin, 0) == run_id
+            process_batch(texts({origin: TECH}), store, run_id, origin=f"{origin}#0")
+    assert {(r.source_file, r.run_id) for r in store.read("receipts").collect()} == {
+        ("r1", 0), ("stream a", 1), ("stream b", 2),
+    }
+    with pytest.raises(ValueError, match="belongs to"):
+        process_batch(texts({"r2": CAFE}), store, 1)
+
+
+def test_across_runs_obeys_and_refuses(spark, texts, tmp_path):
+    store = ReviewStore(spark, str(tmp_path))
+    process_batch(texts({"r1": CAFE}), store, 1, across_runs=True)
+    process_batch(texts({"r1": CAFE, "r0": CAFE}), store, 2, across_runs=True)
+    process_batch(texts({"r5": TECH, "r1": CAFE}), store, 1, across_runs=True)
+    run = process_batch(texts({"r9": CAFE}), store, 3, across_runs=True).head()
+    assert (run.files_processed, run.duplicate_count) == (1, 1)
+    run = process_batch(texts({"s1": CAFE}), store, 4, Options(deduplicate=False), across_runs=True).head()
+    assert run.duplicate_count == 0
+    with pytest.raises(ValueError, match="across_runs"):
+        process_batch(texts({"s2": CAFE}), store, 5, Options(engine="ai"), across_runs=True)
+
+
+def test_equal_hash_of_unequal_texts(spark, tmp_path):
+    rows = [("a", "h1", CAFE), ("b", "h1", ""), ("c", "h2", CAFE)]
+    arrived = spark.createDataFrame(rows, "source_file string, content_hash string, text string")
+    got = {r.source_file: r.duplicate_of for r in extract_batch(arrived).collect()}
+    assert got == {"a": None, "b": "a", "c": "a"}
+
+
+def test_engine_of_the_callers_own(spark, texts, tmp_path):
+    register_engine("shouting", lambda arrived, options: read_receipts(arrived.withColumn("text", F.upper("text")), options))
+    got = extract_batch(texts({"r1": CAFE}), Options(engine="shouting")).head()
+    assert got.vendor == got.vendor.upper()

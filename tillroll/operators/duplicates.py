@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.money import round_money
 from tillroll.functions.text import strip
-from tillroll.operators.skew import HOT_ROWS, join_facts
+from tillroll.operators.skew import LEAST_ROWS, join_salted
 from tillroll.sources.shared import stage
 
 # Fixed value: warning text.
@@ -52,23 +52,23 @@ def first_files(keyed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def mark_duplicates(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_duplicates(receipts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Mark duplicates where the fields follow from the bytes, as with rule extraction.
 
     The input is written once together with its keys. Counting then reads the keys only, and
     its shuffle serves both ways of the join."""
     keyed = stage(receipts.withColumn("_key", duplicate_key(receipts)), "keyed")
     firsts = first_files(keyed.select("_key", "source_file"), "_key")
-    joined = join_facts(keyed, firsts, "_key", "rows_of_key", "source_file", hot_rows)
+    joined = join_salted(keyed, firsts.drop("rows_of_key"), "_key", "source_file", least_rows=least_rows)
     original = F.when(F.col("first_file") != F.col("source_file"), F.col("first_file"))
     return _with_original(joined, original, receipts.columns)
 
 
-def duplicates_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicates_by_hash(files: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(source_file, content_hash, duplicate_of) by bytes alone."""
     hashed = stage(files.select("source_file", "content_hash"), "hashed")
     firsts = first_files(hashed, "content_hash")
-    joined = join_facts(hashed, firsts, "content_hash", "rows_of_key", "source_file", hot_rows)
+    joined = join_salted(hashed, firsts.drop("rows_of_key"), "content_hash", "source_file", least_rows=least_rows)
     return joined.select(
         "source_file",
         "content_hash",
@@ -78,7 +78,7 @@ def duplicates_by_hash(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_duplicates_any(receipts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Mark duplicates where equal bytes may carry different fields, as with model replies.
 
     Which rows are originals depends on all earlier rows, so they are settled in rounds: a row
@@ -102,7 +102,7 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
         judged = open_rows
         for key in ("h", "f"):
             firsts = _first_of_open(open_rows, key)
-            judged = join_facts(judged, firsts, key, "_size", "source_file", hot_rows)
+            judged = join_salted(judged, firsts.drop("_size"), key, "source_file", least_rows=least_rows)
         is_first = [
             F.coalesce(F.col(f"first_{key}") == F.col("source_file"), F.lit(True))
             for key in ("h", "f")
@@ -115,13 +115,13 @@ def mark_duplicates_any(receipts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
             taken = originals.where(F.col(key).isNotNull()).select(
                 key, F.col(f"n_{key}").alias("_size"), F.lit(True).alias(f"taken_{key}")
             )
-            rest = join_facts(rest, taken, key, "_size", "source_file", hot_rows)
+            rest = join_salted(rest, taken.drop("_size"), key, "source_file", least_rows=least_rows)
         still_open = rest.where("taken_h is null and taken_f is null")
         open_rows = stage(still_open.drop("taken_h", "taken_f"), "open")
 
     joined = keyed
     for key in ("h", "f"):
-        joined = _join_originals(joined, settled, key, hot_rows)
+        joined = _join_originals(joined, settled, key, least_rows)
     # An original further down the list was not registered yet when this row was judged.
     earlier = [
         F.when(F.col(f"original_{key}") < F.col("source_file"), F.col(f"original_{key}"))
@@ -141,7 +141,7 @@ def _first_of_open(open_rows: DataFrame, key: str) -> DataFrame:
     return counted.withColumn("_size", F.col(f"n_{key}"))
 
 
-def _join_originals(rows: DataFrame, settled: list[DataFrame], key: str, hot_rows: int) -> DataFrame:
+def _join_originals(rows: DataFrame, settled: list[DataFrame], key: str, least_rows: int) -> DataFrame:
     """Add `original_<key>`, the one original that registered the row's key."""
     if not settled:
         return rows.withColumn(f"original_{key}", F.lit(None).cast("string"))
@@ -149,7 +149,7 @@ def _join_originals(rows: DataFrame, settled: list[DataFrame], key: str, hot_row
     facts = originals.select(
         key, F.col("source_file").alias(f"original_{key}"), F.col(f"n_{key}").alias("_size")
     )
-    return join_facts(rows, facts, key, "_size", "source_file", hot_rows)
+    return join_salted(rows, facts.drop("_size"), key, "source_file", least_rows=least_rows)
 
 
 def _with_original(joined: DataFrame, original: Column, columns: list[str]) -> DataFrame:
@@ -163,10 +163,11 @@ def _with_original(joined: DataFrame, original: Column, columns: list[str]) -> D
     return marked.select(*columns)
 
 
-def across_runs(receipts: DataFrame, seen: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def across_runs(receipts: DataFrame, seen: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Mark rows whose key an earlier run has seen, then the repeats within this batch.
 
-    `seen` holds one row per key: (key, source_file) of the first file. Rows keep their key in
+    `seen` holds (key, source_file, run_id) of originals, several per key where a run was
+    repeated or came late. Rows keep their key in
     a column `key` for `new_keys`."""
     keyed = stage(receipts.withColumn("key", duplicate_key(receipts)), "keyed")
     within = (
@@ -174,11 +175,15 @@ def across_runs(receipts: DataFrame, seen: DataFrame, hot_rows: int = HOT_ROWS)
         .groupBy("key")
         .agg(F.min("source_file").alias("first_file"), F.count(F.lit(1)).alias("rows_of_key"))
     )
-    # Only keys of this batch are looked up, one row each.
-    facts = within.join(
-        seen.select("key", F.col("source_file").alias("seen_file")), "key", "left"
-    ).where("rows_of_key > 1 or seen_file is not null")
-    joined = join_facts(keyed, facts, "key", "rows_of_key", "source_file", hot_rows)
+    # Only keys of this batch are looked up, and each gives one row, whatever repeated and late
+    # runs have stored: the file of the earliest run.
+    looked_up = (
+        seen.join(within.select("key"), "key", "left_semi")
+        .groupBy("key")
+        .agg(F.min_by("source_file", F.struct("run_id", "source_file")).alias("seen_file"))
+    )
+    facts = within.join(looked_up, "key", "left").where("rows_of_key > 1 or seen_file is not null")
+    joined = join_salted(keyed, facts.drop("rows_of_key"), "key", "source_file", least_rows=least_rows)
     original = F.coalesce(
         F.col("seen_file"),
         F.when(F.col("first_file") != F.col("source_file"), F.col("first_file")),

@@ -96,13 +96,15 @@ def as_receipts(df: DataFrame) -> DataFrame:
 
 
 def choose_text(candidates: DataFrame) -> DataFrame:
-    """The directly read text if it is long enough, else the recognised one."""
+    """The directly read text if it is long enough, else the recognised one. The hash of the
+    bytes and a read error, where they came along, stay with the row."""
     direct = strip(F.coalesce("direct_text", F.lit("")))
     use_direct = F.length(direct) >= MIN_DIRECT_CHARS
     return candidates.select(
         "source_file",
         F.when(use_direct, direct).otherwise(F.col("ocr_text")).alias("text"),
         F.when(use_direct, F.lit(DIRECT)).otherwise(F.lit(RECOGNISED)).alias("method"),
+        *[c for c in ("content_hash", "read_error") if c in candidates.columns],
     )
 
 

@@ -9,7 +9,7 @@ from tillroll import schemas
 from tillroll.functions import replies as r
 from tillroll.operators.extract import as_receipts, evaluate_once
 from tillroll.operators.normalize import normalize
-from tillroll.operators.skew import HOT_ROWS, join_facts
+from tillroll.operators.skew import LEAST_ROWS, join_salted
 
 # Warning texts and scope names.
 NOT_JSON, NOT_OBJECT = "AI reply was not valid JSON", "AI reply was not a JSON object"
@@ -80,7 +80,7 @@ def resolve_attempts(attempts: DataFrame, *by: str) -> DataFrame:
     return attempts.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
-def failure_scope(resolved: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def failure_scope(resolved: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Add `scope` to the files of runs: a failure before the first success of its run is
     systemic, any later one concerns its file only. A file without status was never sent
     because it could not be rendered, and is not systemic."""
@@ -88,7 +88,7 @@ def failure_scope(resolved: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.min(F.when(F.col("outcome") == r.DONE, F.col("seq"))).alias("_first_done"),
         F.count(F.lit(1)).alias("_size"),
     )
-    joined = join_facts(resolved, firsts, "run_id", "_size", "source_file", hot_rows)
+    joined = join_salted(resolved, firsts.drop("_size"), "run_id", "source_file", least_rows=least_rows)
     early = F.col("_first_done").isNull() | (F.col("seq") < F.col("_first_done"))
     return joined.withColumn(
         "scope",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tillroll.operators.extract import as_receipts
-from tillroll.operators.skew import HOT_ROWS, join_facts
+from tillroll.operators.skew import LEAST_ROWS, join_salted
 
 # Fixed value: warning text.
 FROM_CACHE = "loaded from checkpoint (not re-sent to AI)"
@@ -22,7 +22,7 @@ _STORED_SCHEMA = (
 )
 
 
-def reuse_cached(files: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def reuse_cached(files: DataFrame, cache: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Receipts of the files whose bytes are known, under the name they arrive with.
 
     The cache is append-only; of the rows of one hash the latest run counts. Only hashes of
@@ -38,7 +38,7 @@ def reuse_cached(files: DataFrame, cache: DataFrame, hot_rows: int = HOT_ROWS) -
         .select("content_hash", "_size", "stored.*", F.lit(True).alias("_known"))
     )
     arrived = files.select("source_file", "content_hash")
-    joined = join_facts(arrived, known, "content_hash", "_size", "source_file", hot_rows)
+    joined = join_salted(arrived, known.drop("_size"), "content_hash", "source_file", least_rows=least_rows)
     earlier = F.coalesce("warnings", F.array().cast("array<string>"))
     return as_receipts(
         joined.where("_known").withColumns(

@@ -5,52 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups above HOT_ROWS rows are candidates for the broadcast; at most HOT_GROUPS are taken,
-# which bounds its size. Every group left for the shuffle holds fewer than HOT_ROWS rows or
-# less than one part in HOT_GROUPS of all rows, because HOT_GROUPS groups are at least as large.
-HOT_ROWS = 100_000
-HOT_GROUPS = 1_000
-
-
-def join_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    key: str,
-    size: str,
-    row_id: str,
-    hot_rows: int = HOT_ROWS,
-    hot_groups: int = HOT_GROUPS,
-) -> DataFrame:
-    """Left join `facts`, one row per `key`, onto `rows`.
-
-    `size` names the facts column with the number of rows of that key; it is not returned.
-    `facts` is read by both ways of the join: give it as grouping over a written table, whose
-    shuffle is then shared. The largest groups are joined by a broadcast and need no shuffle on their key; for the
-    shuffled rest, rows already served (or without a key) are spread by `row_id`."""
-    added = [c for c in facts.columns if c not in (key, size)]
-    fact = F.struct(*added)
-    hot = (
-        facts.where(F.col(size) > hot_rows)
-        .orderBy(F.desc(size), F.col(key))
-        .limit(hot_groups)
-        .select(F.col(key).alias("_hot_key"), fact.alias("_hot"))
-    )
-    # The coalesce keeps a filter on the joined key from being pushed below the grouping, which
-    # would make its shuffle differ from the one the hot groups come from.
-    cold = facts.where(F.col(key).isNotNull()).select(
-        F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("_cold_key"), fact.alias("_cold")
-    )
-    served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    open_key = F.when(
-        F.col(key).isNotNull() & F.col("_hot_key").isNull(), F.concat(F.lit("="), key)
-    ).otherwise(F.concat(F.lit("-"), F.coalesce(row_id, F.lit(""))))
-    joined = served.withColumn("_open_key", open_key).join(
-        cold, F.col("_open_key") == F.col("_cold_key"), "left"
-    )
-    picked = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[picked[c].alias(c) for c in added])
-
-
 # Rows are counted per hash bucket of their key, so the table of salts never has more than
 # BUCKETS rows and may be broadcast. A bucket of up to SHARE times the mean keeps one salt.
 BUCKETS = 65_536

@@ -40,7 +40,16 @@ def supported_files(listing: DataFrame) -> DataFrame:
 
 
 def latest_upload(uploads: DataFrame) -> DataFrame:
-    """One row per name: the upload that arrived last, the higher `seq` among equal times."""
-    rest = [c for c in uploads.columns if c != "source_file"]
-    last = F.max_by(F.struct(*rest), F.struct("arrived_at", "seq"))
-    return uploads.groupBy("source_file").agg(last.alias("last")).select("source_file", "last.*")
+    """One row per name: the upload that arrived last, the higher `seq` among equal times.
+
+    Names and times alone are grouped; of the payloads only the winners are kept. Repeated rows
+    with one `seq` stay as they are, one per row."""
+    last = uploads.groupBy(F.col("source_file").alias("_name")).agg(
+        F.max(F.struct("arrived_at", "seq")).alias("_last")
+    )
+    same = (
+        (F.col("source_file").eqNullSafe(F.col("_name")))
+        & F.col("arrived_at").eqNullSafe(F.col("_last.arrived_at"))
+        & F.col("seq").eqNullSafe(F.col("_last.seq"))
+    )
+    return uploads.join(last, same).select("source_file", *[c for c in uploads.columns if c != "source_file"])

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 # Names and defaults a caller may rely on.
 ENGINES = ("rule_based", "ai", "ai_vision")
+OWN_ENGINES: list[str] = []  # names that callers have registered
 OUTPUT_FORMATS = ("csv", "parquet")
 CURRENCY_SYMBOLS = ("$", "£", "€", "₱", "¥")
 AMOUNT_GRAMMARS = ("whole", "split")
@@ -26,7 +27,7 @@ class Options:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "currency_symbols", tuple(self.currency_symbols))
-        _one_of("engine", self.engine, ENGINES)
+        _one_of("engine", self.engine, (*ENGINES, *OWN_ENGINES))
         _one_of("output_format", self.output_format, OUTPUT_FORMATS)
         _one_of("amount_grammar", self.amount_grammar, AMOUNT_GRAMMARS)
         if not self.currency_symbols or not all(self.currency_symbols):

@@ -13,7 +13,7 @@ from tillroll.operators.extract import preview
 from tillroll.options import Options
 from tillroll.plans.engines import build_engine
 from tillroll.sources.shared import stage
-from tillroll.sources.store import ReviewStore
+from tillroll.sources.store import MANUAL, ReviewStore
 
 
 def extract_batch(arrived: DataFrame, options: Options = Options(), limit: int | None = None) -> DataFrame:
@@ -23,8 +23,9 @@ def extract_batch(arrived: DataFrame, options: Options = Options(), limit: int |
     receipts = build_engine(options)(arrived, options)
     if not options.deduplicate:
         return receipts
-    # Rules give equal fields for equal bytes; replies need not.
-    if options.engine == "rule_based":
+    # Rules give equal fields for equal bytes where the hash is that of the text itself; a hash
+    # that arrives with the text, and replies, leave both keys to be tried.
+    if options.engine == "rule_based" and "content_hash" not in arrived.columns:
         return duplicates.mark_duplicates(receipts)
     return duplicates.mark_duplicates_any(receipts)
 
@@ -36,13 +37,18 @@ def process_batch(
     options: Options = Options(),
     started_at: datetime | None = None,
     across_runs: bool = False,
+    origin: str = MANUAL,
 ) -> DataFrame:
     """Run a batch and store it under `run_id`; returns its row of `runs`.
 
-    Every step reads what the step before has written. Repeating a run id replaces the run.
+    Every step reads what the step before has written. Repeating a run id replaces the run of
+    the same origin; a run id of another origin is refused.
     With `across_runs`, documents of earlier runs are known too (rule extraction only)."""
     started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
-    if across_runs and options.engine == "rule_based":
+    if across_runs and options.engine != "rule_based":
+        raise ValueError("across_runs knows the keys of rule extraction only")
+    store.claim(run_id, origin)
+    if across_runs and options.deduplicate:
         receipts = build_engine(options)(arrived, options)
         earlier = store.read("seen_keys").where(F.col("run_id") < run_id)
         marked = stage(duplicates.across_runs(receipts, earlier), "marked")
@@ -62,12 +68,14 @@ def process_responses(
     run_id: int,
     options: Options = Options(engine="ai_vision"),
     started_at: datetime | None = None,
+    origin: str = MANUAL,
 ) -> DataFrame:
     """A run over logged model responses: files (source_file, content_hash) whose bytes have a
     stored result reuse it, the others take theirs from the log, and successes are stored.
 
     Within the run, too, a file reuses the result of an earlier file with the same bytes."""
     started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
+    store.claim(run_id, origin)
     cache = store.read("cache").where(F.col("run_id") < run_id)
     known = stage(reuse.reuse_cached(files, cache), "known")
     open_files = files.join(known.select("source_file"), "source_file", "left_anti")

@@ -1,5 +1,5 @@
 """Engines by name. An engine is a function (DataFrame, Options) -> DataFrame of the receipts
-schema; callers may add their own."""
+schema; callers may add their own with `register_engine`."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from tillroll.operators.replies import (
     resolve_attempts,
     stop_if_systemic,
 )
-from tillroll.options import Options
+from tillroll.options import OWN_ENGINES, Options
 from tillroll.sources.shared import stage
 
 Engine = Callable[[DataFrame, Options], DataFrame]
@@ -38,6 +38,13 @@ ENGINES: dict[str, Engine] = {
 }
 
 
+def register_engine(name: str, engine: Engine) -> None:
+    """Add an engine of the caller's own, or replace one; options accept its name from then on."""
+    ENGINES[name] = engine
+    if name not in OWN_ENGINES:
+        OWN_ENGINES.append(name)
+
+
 def build_engine(options: Options) -> Engine:
     if options.engine not in ENGINES:
         raise ValueError(f"unknown engine: {options.engine}")

@@ -1,10 +1,13 @@
 """The tables of the review service: parquet folders, partitioned by run.
 
 A run overwrites its own partitions and touches no other, so that repeating it changes
-nothing. The review log is append-only; the reviewed state is derived from it."""
+nothing. Every run id belongs to one origin - a caller or one batch of one stream - and is
+claimed by it first, so that no origin replaces another's run. The review log is append-only; the reviewed state is derived from it."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ TABLES = {
 }
 
 
+# Origin of the runs that callers number themselves.
+MANUAL = "manual"
+
+
 class ReviewStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -34,6 +41,60 @@ class ReviewStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _claims(self) -> tuple:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("_claims"))
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _origin(self, run_id: int) -> str | None:
+        folder, files = self._claims()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(run_id))
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, name: str, text: str) -> bool:
+        """Write a small file unless it is there; of two writers one succeeds."""
+        folder, files = self._claims()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+        try:
+            stream = files.create(path, False)
+        except Exception:
+            if files.exists(path):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def claim(self, run_id: int, origin: str = MANUAL) -> None:
+        """Reserve a run id for an origin; raises if it is another origin's."""
+        if not self._create(str(run_id), origin) and self._origin(run_id) != origin:
+            raise ValueError(f"run {run_id} belongs to {self._origin(run_id)}, not to {origin}")
+
+    def run_of(self, origin: str, batch_id: int) -> int:
+        """The run id of a stream's batch: a new one the first time, the same one after that."""
+        owner = f"{origin}#{batch_id}"
+        known = f"batch-{hashlib.md5(owner.encode()).hexdigest()}"
+        folder, files = self._claims()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder, known)
+        if files.exists(path):
+            stream = files.open(path)
+            try:
+                return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        run_id = max([-1, *(int(n) for n in names if n.lstrip("-").isdigit())]) + 1
+        # A claim without its batch file is a try that was cut off; its id is left unused.
+        while not self._create(str(run_id), owner):
+            run_id += 1
+        self._create(known, str(run_id))
+        return run_id
+
     def read(self, table: str) -> DataFrame:
         """A table that was never written is empty."""
         if not self.exists(table):

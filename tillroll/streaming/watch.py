@@ -21,14 +21,18 @@ def watch(
     across_runs: bool = False,
     once: bool = False,
 ) -> StreamingQuery:
-    """Process every trigger's new texts as one run whose id is the batch id.
+    """Process every trigger's new texts as one run.
 
-    The source log in `checkpoint` hands each file out once; a batch that is retried after a
-    failure has the same id and replaces what it had written. `once` works off what is there
+    The source log in `checkpoint` hands each file out once. A run id is claimed in the store
+    for each batch of this checkpoint: a batch that is retried after a failure replaces what it
+    had written, and nothing else does. `once` works off what is there
     and stops."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, store, batch_id, options, across_runs=across_runs)
+        run_id = store.run_of(checkpoint, batch_id)
+        process_batch(
+            batch, store, run_id, options, across_runs=across_runs, origin=f"{checkpoint}#{batch_id}"
+        )
 
     writer = arriving.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": POLL_INTERVAL}

@@ -15,7 +15,7 @@ CREATED_AT = "2026-01-05 00:00:00"
 
 def base_key() -> Column:
     """Order key out of a receipt file name."""
-    return F.substring("source_file", 3, 8).cast("bigint")
+    return F.substring("source_file", 3, 20).cast("bigint")
 
 
 def receipts(spark: SparkSession, sf_dir: str, options=None) -> DataFrame:
@@ -24,7 +24,7 @@ def receipts(spark: SparkSession, sf_dir: str, options=None) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
+    name = F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(".txt"))
     return table(spark, sf_dir, "documents").withColumn("source_file", name)
 
 
@@ -33,7 +33,7 @@ def event_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return review.flag_for_review(
         events.select(
-            F.concat(F.lit("event_"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("source_file"),
+            F.concat(F.lit("event_"), F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("source_file"),
             F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("vendor"),
             F.date_format("ts", "yyyy-MM-dd").alias("date"),
             F.col("value").alias("total"),
@@ -77,7 +77,7 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Replies by order key: what the model wrote, and how often it was asked.
 _REPLY = """
-select o_orderkey k, concat('r_',lpad(cast(o_orderkey as string),8,'0'),'.png') source_file,
+select o_orderkey k, concat('r_',lpad(cast(o_orderkey as string),20,'0'),'.png') source_file,
   case when o_orderkey%11=4 then 'nope'
        when o_orderkey%11=5 then '[1]'
        else concat(
@@ -133,7 +133,7 @@ def mixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     that all have the same bytes and no fields."""
     return spark.sql(
         """
-        with rows as (select o_orderkey k, concat('m_',lpad(cast(o_orderkey as string),8,'0')) n
+        with rows as (select o_orderkey k, concat('m_',lpad(cast(o_orderkey as string),20,'0')) n
                       from {orders}),
         kinds as (select k, n, inline(array(
             struct('a', 'h1', 1D), struct('b', 'h1', 2D), struct('c', 'h2', 2D),

@@ -18,7 +18,7 @@ o as (
     o_totalprice price,
     round(case when o_orderkey%17=0 then o_totalprice+1 else floor(o_totalprice*8)/100.0 end, 2) tax,
     substr('$£€₱¥',cast(o_orderkey%5 as int)+1,1) sym, dearest, coalesce(n,0) n, items,
-    'r_'||lpad(cast(o_orderkey as varchar),8,'0') stem
+    'r_'||lpad(cast(o_orderkey as varchar),20,'0') stem
   from orders join customer on o_custkey=c_custkey left join priced on priced.k=o_orderkey),
 f as (
   select *, stem||'.txt' source_file, 'base' kind, k%13=0 blank from o
@@ -60,7 +60,7 @@ _CREATED_AT = "timestamp '2026-01-05 00:00:00'"
 # Events as processed files.
 _EVENTS = f"""
 with e as (
-  select 'event_'||lpad(cast(event_id as varchar),10,'0') source_file,
+  select 'event_'||lpad(cast(event_id as varchar),20,'0') source_file,
     'user_'||user_id vendor, strftime(ts,'%Y-%m-%d') "date", value total,
     event_type='error' failed, event_id,
     cast(floor(epoch(ts)/900) as bigint) run_id,
@@ -78,7 +78,7 @@ flagged as (select source_file, vendor, "date", total, reason, {_CREATED_AT} cre
 # Replies and attempts by order.
 _REPLIES = """
 with r as (
-  select o_orderkey k, 'r_'||lpad(cast(o_orderkey as varchar),8,'0')||'.png' source_file, c_name,
+  select o_orderkey k, 'r_'||lpad(cast(o_orderkey as varchar),20,'0')||'.png' source_file, c_name,
     strftime(o_orderdate,'%Y-%m-%d') iso, o_totalprice price, o_orderpriority,
     case when o_orderkey%11=4 then 'nope' when o_orderkey%11=5 then '[1]' else concat(
       case when o_orderkey%2=0 then '```json'||chr(10) else '' end,
@@ -144,7 +144,7 @@ def _money_list(text: str, number: str, blanks: str = _CLASS) -> str:
 
 _DOCUMENTS = f"""
 with d as (
-  select *, 'doc_'||lpad(cast(doc_id as varchar),8,'0')||'.txt' source_file,
+  select *, 'doc_'||lpad(cast(doc_id as varchar),20,'0')||'.txt' source_file,
     list_filter(list_transform(regexp_split_to_array(text,'[{_ENDS}]'), lambda x: trim(x,{_CHARS})),
                 lambda x: x <> '') lines
   from documents)
@@ -194,7 +194,7 @@ with n as (select doc_id, 'd'||doc_id||(['.pdf','.PNG','.txt','.docx','.Jpeg',''
            from documents)
 select source_file, case doc_id%7 when 0 then 'pdf' when 2 then 'text' else 'image' end file_kind
 from n where doc_id%7 not in (3,5)""",
-    "content_hash": "select 'doc_'||lpad(cast(doc_id as varchar),8,'0')||'.txt' source_file, md5(text) content_hash from documents",
+    "content_hash": "select 'doc_'||lpad(cast(doc_id as varchar),20,'0')||'.txt' source_file, md5(text) content_hash from documents",
     "latest_upload": """
 select 'user_'||user_id||'.png' source_file, ts arrived_at, event_id seq, value from events
 qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1""",
@@ -202,7 +202,7 @@ qualify row_number() over (partition by user_id order by ts desc, event_id desc)
 with c as (select doc_id, text,
     case when doc_id%3=0 then ' '||source||chr(10) else chr(10)||chr(9)||text||'  ' end direct_text from documents),
 s as (select *, trim(direct_text,{_CHARS}) direct from c)
-select 'doc_'||lpad(cast(doc_id as varchar),8,'0')||'.txt' source_file,
+select 'doc_'||lpad(cast(doc_id as varchar),20,'0')||'.txt' source_file,
   case when length(direct)>=20 then 'pdf_text' else 'pdf_ocr' end "method",
   md5(case when length(direct)>=20 then direct else text end) text_hash from s""",
     "unreadable_rows": f"""{_TRUTH}
@@ -260,7 +260,7 @@ select source_file,
   labelled is null and largest is not null fell_back
 from w left join g using (source_file)""",
     "clean_text_values": f"""
-select 'doc_'||lpad(cast(doc_id as varchar),8,'0')||'.txt' source_file,
+select 'doc_'||lpad(cast(doc_id as varchar),20,'0')||'.txt' source_file,
   md5(nullif(trim(regexp_replace(text,'[{_CLASS}]+',' ','g')),'')) cleaned_hash from documents""",
     "tax_over_total": f"{_TRUTH} select source_file, total, tax from t where over_total",
     "normalized": """
@@ -293,7 +293,7 @@ select o_orderkey, case o_orderkey%8 when 0 then o_totalprice
   when 1 then cast(format('{:.1f}',o_totalprice) as double)
   when 5 then o_orderkey*100.0 when 7 then -100.0-o_orderkey%10 end::double number from orders""",
     "duplicates_by_hash": """
-with d as (select 'doc_'||lpad(cast(doc_id as varchar),8,'0')||'.txt' source_file, md5(text) content_hash from documents),
+with d as (select 'doc_'||lpad(cast(doc_id as varchar),20,'0')||'.txt' source_file, md5(text) content_hash from documents),
 w as (select *, min(source_file) over (partition by content_hash) first_file from d)
 select source_file, content_hash, nullif(first_file, source_file) duplicate_of from w""",
     "fingerprint": f"""{_TRUTH}
@@ -303,7 +303,7 @@ select source_file, case when not blank
     "mark_duplicates": f"""{_TRUTH}
 select source_file, duplicate_of, array_to_string(warnings,'; ') warnings from m""",
     "mark_duplicates_any": """
-with k as (select 'm_'||lpad(cast(o_orderkey as varchar),8,'0') n from orders),
+with k as (select 'm_'||lpad(cast(o_orderkey as varchar),20,'0') n from orders),
 p as (select n, unnest(['a','b','c','d','e','f','z']) part from k),
 d as (select n||'_'||part source_file, case part when 'b' then n||'_a' when 'd' then n||'_c'
    when 'e' then n||'_c' when 'z' then (select min(n)||'_z' from k) end first_file from p),

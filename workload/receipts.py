@@ -22,13 +22,13 @@ t as (select *, concat(vendor,{nl},'Date: ',
    case k%4 when 0 then {iso} when 1 then {slashed} when 2 then {day_month} else {month_day} end,
    {nl},body,{nl},'Subtotal  ',sym,{total},{nl},'Tax  ',sym,{tax},{nl},
    case when k%10=3 then '' else concat('TOTAL  ',sym,{total},{nl}) end) txt from b)
-select concat('r_',lpad(cast(k as {string}),8,'0'),'.txt') source_file,
+select concat('r_',lpad(cast(k as {string}),20,'0'),'.txt') source_file,
   case when k%13=0 then '' else txt end text from t
 union all
-select concat('r_',lpad(cast(k as {string}),8,'0'),'_copy.txt'),
+select concat('r_',lpad(cast(k as {string}),20,'0'),'_copy.txt'),
   case when k%13=0 then '' else txt end from t where k%7=0
 union all
-select concat('r_',lpad(cast(k as {string}),8,'0'),'_scan.txt'),
+select concat('r_',lpad(cast(k as {string}),20,'0'),'_scan.txt'),
   concat(upper(vendor),{nl},{nl},'Date: ',{iso},{nl},'TOTAL  ',sym,{total},{nl})
 from t where k%11=0 and k%10<>3 and k%13<>0
 """
