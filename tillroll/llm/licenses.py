@@ -97,7 +97,7 @@ OTHERS = [
     "Our table has the rights reserved for guests.",
 ]
 UNKNOWN = "unknown"
-OTHER_LINES = 1000
+OTHER_LINES = 500
 LEAST_PROBABILITY = 0.5
 LEAST_SHARE = 0.6
 
@@ -147,13 +147,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", other_l
     rows = [(family, v) for family, ts in TEMPLATES.items() for t in ts for v in _variants(t)]
     rows += [(UNKNOWN, v) for t in OTHERS for v in _variants(t)]
     known = spark.createDataFrame(rows, "family string, line string")
-    others = (
+    plain = (
         docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
         .where(~F.lower("line").rlike("|".join(CUES)))
-        .orderBy(F.xxhash64("line"), "line")
-        .limit(other_lines)
-        .select(F.lit(UNKNOWN).alias("family"), "line")
+        .withColumn("h", F.xxhash64("line"))
     )
+    # One line per hash bucket, found by its hash alone; other_lines hashes are broadcast.
+    chosen = plain.groupBy(F.pmod("h", F.lit(other_lines))).agg(F.min("h").alias("h")).select("h")
+    others = plain.join(F.broadcast(chosen), "h", "left_semi").select(F.lit(UNKNOWN).alias("family"), "line").distinct()
     got = [(r["family"], r["g"]) for r in known.select("family", _grams(_words(F.col("line"))).alias("g")).collect()]
     vocabulary = sorted({g for family, gs in got if family != UNKNOWN for g in gs})
     inside = F.array_intersect(_grams(_words(F.col("line"))), F.array(*[F.lit(v) for v in vocabulary]))
