@@ -34,7 +34,7 @@ SWEEPS, BURN_IN = 4, 1
 THETA, THETA_PARENT = 1.0, 1.0
 SEED = 11
 # Tokens of one map task that are packed together.
-BATCH = 2_000_000
+BATCH = 1_000_000
 # Up to so many customers of a block are seated one by one; then a sixteenth of those seated
 # so far at a time, who find nearly the same tables.
 ONE_BY_ONE = 64
