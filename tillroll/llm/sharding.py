@@ -34,12 +34,11 @@ def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def splitters(sized: DataFrame, ranges: int, sample: int = SAMPLE) -> list[int]:
     """Up to `ranges` - 1 boundaries, quantiles of a sample in which a row's chance grows with
     its size. Drawing by a hash of the row keeps the choice the same when a task is run again."""
-    total = F.sum("size").alias("total")
-    rate = sized.agg(total).select((F.lit(float(sample)) / F.greatest("total", F.lit(1))).alias("_rate"))
+    rate = float(sample) / max(sized.agg(F.sum("size")).first()[0] or 0, 1)
     # -ln(u) / size is an exponential draw with rate `size`; the smallest are the sample.
     u = (F.pmod(F.xxhash64("_key", "doc_id", F.lit(7)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     drawn = (
-        sized.join(F.broadcast(rate), u < F.least(F.lit(1.0), F.col("_rate") * F.col("size")))
+        sized.where(u < F.least(F.lit(1.0), F.lit(rate) * F.col("size")))
         .select("_key")
         .agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 10_000).alias("q"))
     )
