@@ -24,6 +24,11 @@ def test_reply_texts(spark):
         assert row.warnings == [] and row.line_items == [] and not row.extraction_failed
 
 
+def test_last_of_a_repeated_key(spark):
+    row = parsed(spark, ['{"vendor": "a", "total": 1, "vendor": "b", "total": 2}'])[0]
+    assert (row.vendor, row.total, row.warnings) == ("b", 2.0, [])
+
+
 def test_replies_that_are_no_object(spark):
     objects = ["[1]", "5", "null", '"x"', "[]"]
     broken = ["nope", "", "   ", None, '{"a": 1} thanks', '{"a": 1}, {"b": 2}', '{"a": 1}]', '{"a": 1', "{'a': 1}", '```json\n{"a": 1}\n``` bye']

@@ -32,6 +32,8 @@ def _read_replies(replies: DataFrame, engine: str) -> DataFrame:
     """As `parse_replies`, with the other columns of the input kept."""
     if "content_hash" not in replies.columns:
         replies = replies.withColumn("content_hash", F.lit(None).cast("string"))
+    # Of a repeated key the last value counts; the setting is read when the plan is made.
+    replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     clean = evaluate_once(replies, _clean=r.without_fence(F.col("reply")))
     parsed = evaluate_once(clean, _json=r.parsed_json(F.col("_clean")))
     value = F.when(r.is_object(F.col("_json")), F.col("_json"))
