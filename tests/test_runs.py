@@ -87,16 +87,16 @@ def test_review_flow(spark, texts, store):
     flagged, log = store.read("flagged"), store.read("review_log")
     queue = review.review_queue(flagged, log).collect()
     assert [(r.source_file, r.reviewed) for r in queue] == [("c", False), ("b", False)]
-    ids = spark.createDataFrame([(queue[0].item_id,), (queue[0].item_id,), (42,)], "item_id bigint")
+    ids = spark.createDataFrame([(queue[0].item_id,), (queue[0].item_id,), ("42-x",)], "item_id string")
     for _ in range(2):
         known, unknown = review.apply_reviews(flagged, ids, F.current_timestamp())
-        assert known.count() == 1 and [r.item_id for r in unknown.collect()] == [42]
+        assert known.count() == 1 and [r.item_id for r in unknown.collect()] == ["42-x"]
         store.append_reviews(known)
     log = store.read("review_log")
     assert [r.source_file for r in review.review_queue(flagged, log, only_unreviewed=True).collect()] == ["b"]
     assert [r.reviewed for r in review.review_queue(flagged, log).collect()] == [True, False]
     found = {r.item_id: r.source_file for r in review.flagged_by_id(flagged, log, ids).collect()}
-    assert found == {queue[0].item_id: "c", 42: None}
+    assert found == {queue[0].item_id: "c", "42-x": None}
     stats = review.review_stats(store.read("runs"), flagged, log).head()
     assert (stats.files_processed, stats.flagged_items, stats.awaiting_review) == (3, 2, 1)
     assert stats.last_run == store.read("runs").head().started_at

@@ -136,10 +136,11 @@ def explode_items(receipts: DataFrame) -> DataFrame:
 
 
 def preview(texts: DataFrame, n: int) -> DataFrame:
-    """The first n files by name, before any work is done on them."""
+    """The first n files by name, before any work is done on them; they are dealt out again, so
+    that the work does not stay in the one task that found them."""
     if n < 0:
         raise ValueError("n must not be negative")
-    return texts.orderBy("source_file").limit(n)
+    return texts.orderBy("source_file").limit(n).repartition("source_file")
 
 
 def _no_items() -> Column:

@@ -44,8 +44,9 @@ def run_summary(flagged_receipts: DataFrame, *by: str) -> DataFrame:
 
 
 def item_id(run_id: Column, source_file: Column) -> Column:
-    """The same file of the same run has the same id however often the run is repeated."""
-    return F.xxhash64(run_id.cast("bigint"), source_file)
+    """The run and 128 bits of the file's name: the same file of the same run has the same id
+    however often the run is repeated, and a lookup needs to open that run only."""
+    return F.concat(run_id.cast("bigint").cast("string"), F.lit("-"), F.md5(source_file))
 
 
 def flagged_items(flagged_receipts: DataFrame, created_at: Column) -> DataFrame:
@@ -83,10 +84,13 @@ def review_queue(
 
 
 def flagged_by_id(flagged: DataFrame, review_log: DataFrame, ids: DataFrame) -> DataFrame:
-    """Every asked id with its item, or with nulls where the id is unknown."""
-    return ids.select("item_id").distinct().join(
-        with_review_state(flagged, review_log), "item_id", "left"
-    )
+    """Every asked id with its item, or with nulls where the id is unknown. Both tables are
+    reduced to the asked ids first, the items by the run that their ids name."""
+    asked = ids.select("item_id").distinct()
+    of_run = asked.withColumn("run_id", F.split_part("item_id", F.lit("-"), F.lit(1)).try_cast("bigint"))
+    items = flagged.join(of_run, ["run_id", "item_id"], "left_semi")
+    reviews = review_log.join(asked, "item_id", "left_semi")
+    return asked.join(with_review_state(items, reviews), "item_id", "left")
 
 
 def apply_reviews(flagged: DataFrame, ids: DataFrame, reviewed_at: Column) -> tuple[DataFrame, DataFrame]:

@@ -24,11 +24,11 @@ RUNS = (
 )
 
 FLAGGED = (
-    "item_id bigint, source_file string, vendor string, date string, total double, "
+    "item_id string, source_file string, vendor string, date string, total double, "
     "reason string, created_at timestamp, run_id bigint"
 )
 
-REVIEW_LOG = "item_id bigint, reviewed_at timestamp"
+REVIEW_LOG = "item_id string, reviewed_at timestamp"
 
 ALERTS = "text string, flagged_count bigint, run_id bigint"
 
