@@ -140,6 +140,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     `blocks` (by default the shuffle partitions) for tens of megabytes each. Equal texts are
     told apart by their id, so copies spread over the blocks."""
     spark = docs.sparkSession
+    # Printed plans hold their literals in full, and the driver keeps every printed plan.
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = RankTable(ranks)
     added = ("n_tokens", "ids", "decoded")
