@@ -45,7 +45,7 @@ class RankTable:
     rank. Spark searches a literal map from its start, so the map is laid out over flat arrays
     without collisions: the pairs of a bucket are moved by the bucket's offset to free slots."""
 
-    BUCKETS, SLOTS, SPREAD = 65_521, 1 << 18, 1_000_003
+    BUCKETS, SLOTS, SPREAD, RANK_BITS = 65_521, 1 << 18, 1_000_003, 20
 
     def __init__(self, ranks: dict[bytes, int]):
         of_id = [""] * (max(ranks.values()) + 1)
@@ -55,9 +55,9 @@ class RankTable:
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pair = left << 20 | right
+                    pair = (left + 1) << 20 | right + 1
                     buckets.setdefault(pair % self.BUCKETS, []).append((pair, rank))
-        keys, values, offsets = [-1] * self.SLOTS, [0] * self.SLOTS, [0] * self.BUCKETS
+        codes, offsets = [0] * self.SLOTS, [0] * self.BUCKETS
         free = [True] * self.SLOTS
         for bucket in sorted(buckets, key=lambda b: -len(buckets[b])):
             at = [pair % self.SPREAD for pair, _ in buckets[bucket]]
@@ -67,19 +67,20 @@ class RankTable:
             offsets[bucket] = offset
             for a, (pair, rank) in zip(at, buckets[bucket], strict=True):
                 slot = (a + offset) % self.SLOTS
-                free[slot], keys[slot], values[slot] = False, pair, rank
-        self.keys, self.values, self.offsets = (
-            F.from_json(F.lit(json.dumps(x)), kind)
-            for x, kind in ((keys, "array<bigint>"), (values, "array<int>"), (offsets, "array<int>"))
-        )
+                free[slot], codes[slot] = False, pair << self.RANK_BITS | rank
+        self.codes = F.from_json(F.lit(json.dumps(codes)), "array<bigint>")
+        self.offsets = F.from_json(F.lit(json.dumps(offsets)), "array<int>")
         self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
         self.to_bytes = F.from_json(F.lit(json.dumps(of_id)), "array<string>")
 
     def rank(self, left: Column, right: Column) -> Column:
-        pair = F.shiftleft(left.cast("bigint"), 20) + right
+        """The array of one keeps the code from standing twice in the plan, literals and all."""
+        pair = F.shiftleft(left.cast("bigint") + 1, 20) + right + 1
         offset = F.get(self.offsets, (pair % self.BUCKETS).cast("int"))
         slot = ((pair % self.SPREAD + offset) % self.SLOTS).cast("int")
-        return F.when(F.get(self.keys, slot) == pair, F.get(self.values, slot)).otherwise(F.lit(_NO_RANK))
+        code = F.filter(F.array(F.get(self.codes, slot)), lambda c: F.shiftright(c, self.RANK_BITS) == pair)
+        rank = F.get(code, F.lit(0)).bitwiseAND((1 << self.RANK_BITS) - 1)
+        return F.coalesce(rank.cast("int"), F.lit(_NO_RANK))
 
 
 def encode_word(word: Column, table: RankTable) -> Column:
@@ -105,8 +106,9 @@ def encode_word(word: Column, table: RankTable) -> Column:
             joined = F.get(r, m)
 
             def new_rank(x: Column, i: Column) -> Column:
-                before = F.when(i == m - 1, table.rank(F.get(p, i), joined)).otherwise(x)
-                return F.when(i == m, table.rank(joined, F.get(p, m + 2))).otherwise(before)
+                first = F.when(i == m, joined).otherwise(F.get(p, i))
+                second = F.when(i == m, F.get(p, m + 2)).otherwise(joined)
+                return F.when((i == m) | (i == m - 1), table.rank(first, second)).otherwise(x)
 
             left = F.filter(p, lambda x, i: i != m + 1)
             ranks = F.filter(r, lambda x, i: i != m + 1)
