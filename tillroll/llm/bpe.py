@@ -30,6 +30,8 @@ from tillroll.llm.blocks import block_of, even_blocks
 
 RESULTS = "n_tokens long, ids string, decoded binary"
 _NO_RANK = 1 << 30
+# Ids are sent less this number, so that those of up to 65,536 tokens take two bytes.
+_SHORT = 1 << 15
 _BYTES = "ISO-8859-1"
 
 
@@ -136,15 +138,26 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def _decimal(lists: pa.ChunkedArray) -> list[str]:
+    """Every list of ids as decimal numbers with spaces between them."""
+    out: list[str] = []
+    for chunk in lists.chunks:
+        numbers = [str(i + _SHORT) for i in chunk.flatten().to_pylist()]
+        at = chunk.offsets.to_pylist()
+        out += [" ".join(numbers[i - at[0] : j - at[0]]) for i, j in zip(at, at[1:])]
+    return out
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """The other columns of `docs` with n_tokens, ids (decimal, joined by spaces) and decoded,
     the bytes that the ids stand for. A block's texts and words are one task's memory: give
-    `blocks` (by default the shuffle partitions) for tens of megabytes each. Equal texts are
+    `blocks` (by default a third of the shuffle partitions: a word is sent once to every block
+    that has it) for tens of megabytes each. Equal texts are
     told apart by their id, so copies spread over the blocks."""
     spark = docs.sparkSession
     # Printed plans hold their literals in full, and the driver keeps every printed plan.
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
     table = RankTable(ranks)
     added = ("n_tokens", "ids", "decoded")
     others = [c for c in docs.columns if c not in (text_col, *added)]
@@ -173,7 +186,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     written = encoded.select(
         F.explode("blocks").alias("block"),
         "word",
-        F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"),
+        F.transform("ids", lambda i: (i - _SHORT).cast("smallint" if max(ranks.values()) < 2 * _SHORT else "int")).alias("ids"),
         decode_ids(F.col("ids"), table).alias("bytes"),
     )
     # The decoded bytes are nearly always those of the word and then need not be sent.
@@ -184,7 +197,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cut = split_pattern(pattern)
         keys = right.column("word").to_pylist()
-        ids = dict(zip(keys, right.column("ids").to_pylist(), strict=True))
+        ids = dict(zip(keys, _decimal(right.column("ids")), strict=True))
         odd = {k: b for k, b in zip(keys, right.column("bytes").to_pylist(), strict=True) if b is not None}
         joined, counts, decoded = [], [], []
         for text in left.column("text"):
