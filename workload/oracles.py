@@ -39,7 +39,7 @@ u as (
   from f),
 t as (
   select *, coalesce(tax > total, false) over_total,
-    case when blank and source_file <> 'r_00000000.txt' then 'r_00000000.txt'
+    case when blank and source_file <> 'r_00000000000000000000.txt' then 'r_00000000000000000000.txt'
          when not blank and kind<>'base' then stem||'.txt' end duplicate_of,
     case when blank then ['could not read any text'] else list_concat(['read via text'],
       case when fell_back then ['total not labelled; used largest amount on receipt'] else [] end,
