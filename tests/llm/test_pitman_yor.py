@@ -70,3 +70,13 @@ def test_probabilities_add_up_to_one():
     for context in (3, 1, 200):
         every = np.array([(w << 8) | context for w in range(0, 40)], np.uint64)  # 0 stands for all unseen
         assert abs(model.look(every)[1].sum() - 1) < 1e-9
+
+
+def test_every_context_has_its_own_restaurant(spark):
+    # Each of 3,000 words is always followed by a word of its own.
+    dice = random.Random(5)
+    texts = [" ".join(f"a{i} b{i}" for i in dice.sample(range(3000), 1000)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pitman_yor.score(docs, F.col("doc_id") < 36).where("held_out").toPandas()
+    # The second words are all but certain; the first ones have one chance in 3,000.
+    assert got.score.sum() / got.n_tokens.sum() > -2.0
