@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows.
 
-Texts are read as templates: numbers, units after numbers and names (capitalised words inside
-a sentence) become typed placeholders, the other words stay in lower case. Windows of WINDOW
+Texts are read as templates: numbers, units after numbers and names (capitalised words) become
+typed placeholders, the other words stay in lower case. A capitalised word that begins a sentence
+may be a name or not, so there are two forms: INSIDE takes it for a word, ANYWHERE for a name; an
+item is found if either form finds it. Windows of WINDOW
 tokens of the benchmark are hash-joined with those of all documents. The placeholders' fillers
 of a match are then compared: one filler of the item must stand for one filler of the
 document, both ways, or the match is dropped. So an item is found if it was copied, and also
@@ -33,6 +35,7 @@ LEAST_WORDS = 4
 # An item is found from so many of its windows on, or from all if it has fewer.
 LEAST_WINDOWS = 6
 MAP_BITS = 24
+INSIDE, ANYWHERE = 1, 2
 # Words that are a unit when they follow a number.
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams pound pounds lb lbs ounce ounces oz "
@@ -47,6 +50,8 @@ _STOP[[ord(c) for c in ".!?:\n"]] = True
 _JOINT = np.isin(np.arange(256), [ord("."), ord(",")])
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+# Told apart from the other forms' hashes by these.
+_FORM = {INSIDE: np.uint64(0), ANYWHERE: np.uint64(0xA54FF53A5F1D36F1)}
 
 
 def _unit_hashes() -> np.ndarray:
@@ -58,8 +63,23 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
+def _capitals(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which tokens begin with a capital letter of any script."""
+    out = _UPPER[buf[first]]
+    wide = np.flatnonzero(buf[first] >= 0xC3)
+    byte = [np.append(buf, np.zeros(3, np.uint8))[first[wide] + k].astype(np.uint32) for k in range(4)]
+    low = [b & np.uint32(0x3F) for b in byte]
+    two = ((byte[0] & np.uint32(0x1F)) << np.uint32(6)) | low[1]
+    three = ((byte[0] & np.uint32(0x0F)) << np.uint32(12)) | (low[1] << np.uint32(6)) | low[2]
+    four = ((byte[0] & np.uint32(0x07)) << np.uint32(18)) | (low[1] << np.uint32(12)) | (low[2] << np.uint32(6)) | low[3]
+    points, of = np.unique(np.select([byte[0] < 0xE0, byte[0] < 0xF0], [two, three], four), return_inverse=True)
+    out[wide] = np.array([c < 0x110000 and (chr(c).isupper() or chr(c).istitle()) for c in points.tolist()], bool)[of]
+    return out
+
+
 class Templates:
-    """Tokens of some texts: where they stand, their template hashes, and which are slots."""
+    """Tokens of some texts: where they stand, their template hashes, and which are slots; the
+    latter two by form."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.buf, self.starts, ends = padded(data, offsets, 1, 0x0A)
@@ -77,33 +97,33 @@ class Templates:
         stops = np.concatenate([[0], np.cumsum(_STOP[buf])])
         before = np.concatenate([[0], self.last[:-1]])[: len(self.first)]
         begins = stops[self.first] > stops[before]
-        name = _UPPER[buf[self.first]] & ~begins & ~number & ~unit
-        self.slot = number | unit | name
-        self.token = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], words)
+        capital = _capitals(buf, self.first) & ~number & ~unit
+        names = {INSIDE: capital & ~begins, ANYWHERE: capital}
+        self.slot = {form: number | unit | name for form, name in names.items()}
+        self.token = {form: np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], words) for form, name in names.items()}
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, form: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows that hold enough words."""
-        n = len(self.token) - WINDOW + 1
+        n = len(self.first) - WINDOW + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = self.token
+        h = self.token[form]
         for step in (1, 2, 4):
             h = mix(h[:-step] * _STEP + h[step:])
-        words = np.concatenate([[0], np.cumsum(~self.slot)])
+        h = h ^ _FORM[form]
+        words = np.concatenate([[0], np.cumsum(~self.slot[form])])
         at = np.flatnonzero(
             (self.doc[:n] == self.doc[WINDOW - 1 :]) & (words[WINDOW:] - words[:n] >= LEAST_WORDS)
         )
         return at, h[at]
 
-    def fillers(self, at: int) -> list[str]:
-        where = range(at, at + WINDOW)
-        return [
-            self.buf[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace") if self.slot[k] else "" for k in where
-        ]
+    def fillers(self, form: int, at: int) -> list[str]:
+        where, slot = range(at, at + WINDOW), self.slot[form]
+        return [self.buf[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace") if slot[k] else "" for k in where]
 
 
 def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
-    """(id, pos, hash, fillers) of the windows; of those in the bit map only, if one is given."""
+    """(id, form, pos, hash, fillers) of the windows; of those in the bit map only, if one is given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if seen is None else np.unpackbits(seen.value)
@@ -112,25 +132,27 @@ def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for i, j in chunks(offsets):
                 t = Templates(data, offsets[i : j + 1])
-                at, h = t.windows()
-                if bits is not None:
-                    likely = bits[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)] > 0
-                    at, h = at[likely], h[likely]
-                if not len(at):
-                    continue
-                row = t.doc[at]
-                position = at - np.searchsorted(t.doc, row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[i + row]),
-                        pa.array(position.astype(np.int32)),
-                        pa.array(h.view(np.int64)),
-                        pa.array([t.fillers(k) for k in at], pa.list_(pa.string())),
-                    ],
-                    ["id", "pos", "hash", "fillers"],
-                )
-
-    return rows.mapInArrow(work, "id long, pos int, hash long, fillers array<string>")
+                for form in _FORM:
+                    at, h = t.windows(form)
+                    if bits is not None:
+                        likely = bits[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)] > 0
+                        at, h = at[likely], h[likely]
+                    if not len(at):
+                        continue
+                    row = t.doc[at]
+                    position = at - np.searchsorted(t.doc, row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[i + row]),
+                            pa.array(np.full(len(at), form, np.int32)),
+                            pa.array(position.astype(np.int32)),
+                            pa.array(h.view(np.int64)),
+                            pa.array([t.fillers(form, k) for k in at], pa.list_(pa.string())),
+                        ],
+                        ["id", "form", "pos", "hash", "fillers"],
+                    )
+
+    return rows.mapInArrow(work, "id long, form int, pos int, hash long, fillers array<string>")
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,15 +180,16 @@ def contaminated(
     flags[set_bits] = 1
     shared = spark.sparkContext.broadcast(np.packbits(flags))
     found = stage(_windows(_rows(docs, id_col, text_col), shared), "windows")
-    per_hash = items.groupBy("hash").agg(F.collect_list(F.struct("id", "pos", "fillers")).alias("_items"))
+    per_hash = items.groupBy("hash").agg(F.collect_list(F.struct("id", "form", "pos", "fillers")).alias("_items"))
     matched = join_salted(found, per_hash, "hash", "id").select(
         F.col("id").alias("doc_id"), "pos", F.col("fillers").alias("doc_fillers"), F.explode("_items").alias("item")
     )
-    pair = ["doc_id", "item_id", "diagonal"]
+    pair = ["doc_id", "item_id", "form", "diagonal"]
     aligned = stage(
         matched.select(
             "doc_id",
             F.col("item.id").alias("item_id"),
+            F.col("item.form").alias("form"),
             F.col("item.pos").alias("item_pos"),
             (F.col("pos") - F.col("item.pos")).alias("diagonal"),
             F.filter(F.arrays_zip(F.col("doc_fillers").alias("d"), F.col("item.fillers").alias("i")), lambda z: z["i"] != "").alias("slots"),
@@ -182,13 +205,15 @@ def contaminated(
         .select(*pair)
         .distinct()
     )
-    sizes = items.groupBy(F.col("id").alias("_item")).agg(F.countDistinct("pos").alias("item_windows"))
+    sizes = items.groupBy(F.col("id").alias("_item"), F.col("form").alias("_form")).agg(F.countDistinct("pos").alias("item_windows"))
     differs = F.exists("slots", lambda z: z["d"] != z["i"])
     return (
         aligned.join(uneven, pair, "left_anti")
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "item_id", "form")
         .agg(F.countDistinct("item_pos").alias("n_windows"), F.max(differs).alias("reworded"))
-        .join(sizes, F.col("item_id") == F.col("_item"))
+        .join(sizes, (F.col("item_id") == F.col("_item")) & (F.col("form") == F.col("_form")))
         .where(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
-        .select("doc_id", "item_id", "n_windows", "item_windows", "reworded")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("n_windows", "item_windows")).alias("best"), F.max("reworded").alias("reworded"))
+        .select("doc_id", "item_id", "best.n_windows", "best.item_windows", "reworded")
     )
