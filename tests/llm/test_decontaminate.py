@@ -16,3 +16,13 @@ def test_names_that_begin_sentences_are_placeholders(spark):
         item,
     ]
     assert found(spark, texts, [item]) == {(0, 0): True, (1, 0): True, (3, 0): False}
+
+
+def test_fillers_may_fall_together_and_clashes_cost_windows_only(spark):
+    item = (
+        "Then the farmer picked 3 baskets of pears and carried 5 crates of plums to the market in the old town, "
+        "where the baker paid 20 dollars for the pears and the cook paid 3 dollars for the plums before the rain began"
+    )
+    same = item.replace("3 baskets", "4 baskets").replace("5 crates", "4 crates").replace("3 dollars", "4 dollars")
+    torn = item.replace("3 baskets", "4 baskets")
+    assert found(spark, [same, torn, item], [item]) == {(0, 0): True, (1, 0): False, (2, 0): False}

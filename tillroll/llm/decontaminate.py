@@ -5,9 +5,10 @@ typed placeholders, the other words stay in lower case. A capitalised word that
 may be a name or not, so there are two forms: INSIDE takes it for a word, ANYWHERE for a name; an
 item is found if either form finds it. Windows of WINDOW
 tokens of the benchmark are hash-joined with those of all documents. The placeholders' fillers
-of a match are then compared: one filler of the item must stand for one filler of the
-document, both ways, or the match is dropped. So an item is found if it was copied, and also
-if it was asked again with other numbers or names.
+of a match are then compared: one filler of the item, of one type, must stand for one filler of
+the document; two of the item's may have become one. Windows with a filler that stands for
+several are dropped, and all windows of an alignment if these are not fewer than the others.
+So an item is found if it was copied, and also if it was asked again with other numbers or names.
 
 Document windows first pass a bit map of fixed size over the benchmark's hashes, so only likely
 matches are shuffled; what the map lets through by chance the join removes.
@@ -49,6 +50,7 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 _JOINT = np.isin(np.arange(256), [ord("."), ord(",")])
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B))
+_TYPES = {_NUMBER: "number ", _UNIT: "unit ", _NAME: "name "}
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 # Told apart from the other forms' hashes by these.
 _FORM = {INSIDE: np.uint64(0), ANYWHERE: np.uint64(0xA54FF53A5F1D36F1)}
@@ -118,8 +120,9 @@ class Templates:
         return at, h[at]
 
     def fillers(self, form: int, at: int) -> list[str]:
-        where, slot = range(at, at + WINDOW), self.slot[form]
-        return [self.buf[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace") if slot[k] else "" for k in where]
+        """The type and text of each slot, nothing for words."""
+        where, slot, token = range(at, at + WINDOW), self.slot[form], self.token[form]
+        return [_TYPES[token[k]] + self.buf[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace") if slot[k] else "" for k in where]
 
 
 def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
@@ -197,20 +200,22 @@ def contaminated(
         "aligned",
     )
     slots = aligned.select(*pair, F.explode("slots").alias("s")).select(*pair, "s.d", "s.i").distinct()
-    # A filler that stands for two others makes the whole alignment inconsistent.
-    uneven = (
-        slots.groupBy(*pair, "i").agg(F.count(F.lit(1)).alias("n")).select(*pair, "n")
-        .unionByName(slots.groupBy(*pair, "d").agg(F.count(F.lit(1)).alias("n")).select(*pair, "n"))
-        .where("n > 1")
-        .select(*pair)
-        .distinct()
+    torn = slots.groupBy(*pair, "i").count().where("count > 1").groupBy(*pair).agg(F.collect_list("i").alias("torn"))
+    clean = F.col("torn").isNull() | ~F.exists("slots", lambda z: F.array_contains("torn", z["i"]))
+    differs = F.exists("slots", lambda z: z["d"] != z["i"])
+    position = F.struct("item_pos", differs.alias("differs"))
+    # Clean windows count if they are more than those with a torn filler.
+    alignments = (
+        aligned.join(torn, pair, "left")
+        .groupBy(*pair)
+        .agg(F.collect_set(F.when(clean, position)).alias("clean"), F.countDistinct(F.when(~clean, F.col("item_pos"))).alias("n_torn"))
+        .where(F.size("clean") > F.col("n_torn"))
     )
     sizes = items.groupBy(F.col("id").alias("_item"), F.col("form").alias("_form")).agg(F.countDistinct("pos").alias("item_windows"))
-    differs = F.exists("slots", lambda z: z["d"] != z["i"])
     return (
-        aligned.join(uneven, pair, "left_anti")
+        alignments.select(*pair, F.explode("clean").alias("w"))
         .groupBy("doc_id", "item_id", "form")
-        .agg(F.countDistinct("item_pos").alias("n_windows"), F.max(differs).alias("reworded"))
+        .agg(F.countDistinct("w.item_pos").alias("n_windows"), F.max("w.differs").alias("reworded"))
         .join(sizes, (F.col("item_id") == F.col("_item")) & (F.col("form") == F.col("_form")))
         .where(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
         .groupBy("doc_id", "item_id")
