@@ -26,3 +26,14 @@ def test_fillers_may_fall_together_and_clashes_cost_windows_only(spark):
     same = item.replace("3 baskets", "4 baskets").replace("5 crates", "4 crates").replace("3 dollars", "4 dollars")
     torn = item.replace("3 baskets", "4 baskets")
     assert found(spark, [same, torn, item], [item]) == {(0, 0): True, (1, 0): False, (2, 0): False}
+
+
+def test_copies_of_short_items_are_found(spark):
+    items = ["What is the capital city of the old kingdom?", "Name the largest inland sea", "Where do 12 of 30 13 17 19 23 29 31 lie?"]
+    texts = [
+        "The quiz asks, \"What is the capital city of the old kingdom?\" and more",
+        "one (“Name the largest inland sea”) two",
+        "so Where do 12 of 30 13 17 19 23 29 31 lie? here",
+        "What is the name of the largest sea",
+    ]
+    assert found(spark, texts, items) == {(0, 0): False, (1, 1): False, (2, 2): False}

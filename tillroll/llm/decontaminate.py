@@ -3,7 +3,9 @@
 Texts are read as templates: numbers, units after numbers and names (capitalised words) become
 typed placeholders, the other words stay in lower case. A capitalised word that begins a sentence
 may be a name or not, so there are two forms: INSIDE takes it for a word, ANYWHERE for a name; an
-item is found if either form finds it. Windows of WINDOW
+item is found if either form finds it. A third form, VERBATIM, keeps all tokens as they are
+and finds what was copied as a whole; an item shorter than a window is one window of its length.
+Windows of WINDOW
 tokens of the benchmark are hash-joined with those of all documents. The placeholders' fillers
 of a match are then compared: one filler of the item, of one type, must stand for one filler of
 the document; two of the item's may have become one. Windows with a filler that stands for
@@ -13,8 +15,7 @@ So an item is found if it was copied, and also if it was asked again with other
 Document windows first pass a bit map of fixed size over the benchmark's hashes, so only likely
 matches are shuffled; what the map lets through by chance the join removes.
 
-Null texts have no tokens; items of fewer than WINDOW tokens have no window and are never
-found; repeated rows count once; an empty table on either side gives no rows; other columns
+Null texts have no tokens; items of fewer than WINDOW tokens are found only verbatim; repeated rows count once; an empty table on either side gives no rows; other columns
 are not read. Rows with a null id are left out."""
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from tillroll.sources.shared import stage
 WINDOW = 8
 # A window says nothing if it is made of placeholders only.
 LEAST_WORDS = 4
-# An item is found from so many of its windows on, or from all if it has fewer.
+# An item is found from so many of its windows on, or from so large a share if it has few.
 LEAST_WINDOWS = 6
+LEAST_SHARE = 2 / 3
 MAP_BITS = 24
-INSIDE, ANYWHERE = 1, 2
+VERBATIM, INSIDE, ANYWHERE = 0, 1, 2
 # Words that are a unit when they follow a number.
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams pound pounds lb lbs ounce ounces oz "
@@ -53,7 +55,7 @@ _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD1913
 _TYPES = {_NUMBER: "number ", _UNIT: "unit ", _NAME: "name "}
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 # Told apart from the other forms' hashes by these.
-_FORM = {INSIDE: np.uint64(0), ANYWHERE: np.uint64(0xA54FF53A5F1D36F1)}
+_FORM = {VERBATIM: np.uint64(0xC2B2AE3D27D4EB4F), INSIDE: np.uint64(0), ANYWHERE: np.uint64(0xA54FF53A5F1D36F1)}
 
 
 def _unit_hashes() -> np.ndarray:
@@ -89,6 +91,11 @@ class Templates:
         inside = _WORD[buf]
         # A point or comma between digits belongs to the number.
         inside[1:-1] |= _JOINT[buf[1:-1]] & _DIGIT[buf[:-2]] & _DIGIT[buf[2:]]
+        # Quotes, dashes and the like (U+2000 to U+203F, U+00AB, U+00BB) are in no word.
+        sign = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x80))
+        inside[sign] = inside[sign + 1] = inside[sign + 2] = False
+        sign = np.flatnonzero((buf[:-1] == 0xC2) & np.isin(buf[1:], [0xAB, 0xBB]))
+        inside[sign] = inside[sign + 1] = False
         self.first, self.last = runs(inside)
         self.doc = np.searchsorted(self.starts, self.first, "right") - 1
         words = run_hashes(LOWER[buf], self.first, self.last)
@@ -103,6 +110,8 @@ class Templates:
         names = {INSIDE: capital & ~begins, ANYWHERE: capital}
         self.slot = {form: number | unit | name for form, name in names.items()}
         self.token = {form: np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], words) for form, name in names.items()}
+        self.slot[VERBATIM] = np.zeros(len(words), bool)
+        self.token[VERBATIM] = run_hashes(buf, self.first, self.last)
 
     def windows(self, form: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows that hold enough words."""
@@ -114,19 +123,37 @@ class Templates:
             h = mix(h[:-step] * _STEP + h[step:])
         h = h ^ _FORM[form]
         words = np.concatenate([[0], np.cumsum(~self.slot[form])])
-        at = np.flatnonzero(
-            (self.doc[:n] == self.doc[WINDOW - 1 :]) & (words[WINDOW:] - words[:n] >= LEAST_WORDS)
-        )
+        enough = (words[WINDOW:] - words[:n] >= LEAST_WORDS) | (form == VERBATIM)
+        at = np.flatnonzero((self.doc[:n] == self.doc[WINDOW - 1 :]) & enough)
+        return at, h[at]
+
+    def short_windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and hashes of the verbatim windows of a length below WINDOW, equal ones of
+        a text once."""
+        token = self.token[VERBATIM]
+        n = len(token) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h = np.full(n, np.uint64(length))
+        for k in range(length):
+            h = mix(h * _STEP + token[k : k + n])
+        at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
+        order = at[np.lexsort((h[at], self.doc[at]))]
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (self.doc[order][1:] != self.doc[order][:-1])])[: len(order)]
+        at = np.sort(order[new])
         return at, h[at]
 
     def fillers(self, form: int, at: int) -> list[str]:
-        """The type and text of each slot, nothing for words."""
+        """The type and text of each slot, nothing for words; none where nothing is a slot."""
+        if form == VERBATIM:
+            return []
         where, slot, token = range(at, at + WINDOW), self.slot[form], self.token[form]
         return [_TYPES[token[k]] + self.buf[self.first[k] : self.last[k]].tobytes().decode("utf-8", "replace") if slot[k] else "" for k in where]
 
 
-def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
-    """(id, form, pos, hash, fillers) of the windows; of those in the bit map only, if one is given."""
+def _windows(rows: DataFrame, seen: object = None, lengths: list[int] | None = None) -> DataFrame:
+    """(id, form, pos, hash, fillers, length) of the windows; of those in the bit map only, if one
+    is given. Short windows are those of the given lengths or else the texts that are one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if seen is None else np.unpackbits(seen.value)
@@ -135,8 +162,13 @@ def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for i, j in chunks(offsets):
                 t = Templates(data, offsets[i : j + 1])
-                for form in _FORM:
-                    at, h = t.windows(form)
+                size = np.bincount(t.doc, minlength=j - i)
+                parts = [(form, WINDOW, *t.windows(form)) for form in _FORM]
+                for length in range(1, WINDOW) if lengths is None else lengths:
+                    at, h = t.short_windows(length)
+                    whole = size[t.doc[at]] == length if lengths is None else np.ones(len(at), bool)
+                    parts.append((VERBATIM, length, at[whole], h[whole]))
+                for form, length, at, h in parts:
                     if bits is not None:
                         likely = bits[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)] > 0
                         at, h = at[likely], h[likely]
@@ -151,11 +183,12 @@ def _windows(rows: DataFrame, seen: object = None) -> DataFrame:
                             pa.array(position.astype(np.int32)),
                             pa.array(h.view(np.int64)),
                             pa.array([t.fillers(form, k) for k in at], pa.list_(pa.string())),
+                            pa.array(np.full(len(at), length, np.int32)),
                         ],
-                        ["id", "form", "pos", "hash", "fillers"],
+                        ["id", "form", "pos", "hash", "fillers", "length"],
                     )
 
-    return rows.mapInArrow(work, "id long, form int, pos int, hash long, fillers array<string>")
+    return rows.mapInArrow(work, "id long, form int, pos int, hash long, fillers array<string>, length int")
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,7 +215,8 @@ def contaminated(
     flags = np.zeros(1 << MAP_BITS, np.uint8)
     flags[set_bits] = 1
     shared = spark.sparkContext.broadcast(np.packbits(flags))
-    found = stage(_windows(_rows(docs, id_col, text_col), shared), "windows")
+    lengths = sorted(r["length"] for r in items.where(F.col("length") < WINDOW).select("length").distinct().collect())
+    found = stage(_windows(_rows(docs, id_col, text_col), shared, lengths).drop("length"), "windows")
     per_hash = items.groupBy("hash").agg(F.collect_list(F.struct("id", "form", "pos", "fillers")).alias("_items"))
     matched = join_salted(found, per_hash, "hash", "id").select(
         F.col("id").alias("doc_id"), "pos", F.col("fillers").alias("doc_fillers"), F.explode("_items").alias("item")
@@ -212,12 +246,14 @@ def contaminated(
         .where(F.size("clean") > F.col("n_torn"))
     )
     sizes = items.groupBy(F.col("id").alias("_item"), F.col("form").alias("_form")).agg(F.countDistinct("pos").alias("item_windows"))
+    enough = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.lit(LEAST_SHARE) * F.col("item_windows")))
     return (
         alignments.select(*pair, F.explode("clean").alias("w"))
         .groupBy("doc_id", "item_id", "form")
         .agg(F.countDistinct("w.item_pos").alias("n_windows"), F.max("w.differs").alias("reworded"))
         .join(sizes, (F.col("item_id") == F.col("_item")) & (F.col("form") == F.col("_form")))
-        .where(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
+        .drop("_item", "_form")
+        .where(F.col("n_windows") >= F.when(F.col("form") == VERBATIM, F.col("item_windows")).otherwise(enough))
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("n_windows", "item_windows")).alias("best"), F.max("reworded").alias("reworded"))
         .select("doc_id", "item_id", "best.n_windows", "best.item_windows", "reworded")
