@@ -1,13 +1,15 @@
 """Licence scans over the paragraphs of documents, by column expressions only.
 
-A paragraph is a line. Its sparse features are the words and word pairs that also occur in the
+A paragraph is a line, or a line and what follows it before the next line without words, as far
+as a template can reach; the latter counts if the line alone belongs to no family and what
+follows, without the line, holds less of a template. Its sparse features are the words and word pairs that also occur in the
 licence templates; a multinomial logistic regression over them, trained on the templates and
 on a bounded number of other lines, gives every family and `unknown` a probability, which a
 temperature fitted on rows kept out of the training calibrates. A family is confirmed if the
 paragraph also holds enough of the words of one of its templates.
 
-Lines without one of the cue words below belong to no family and are passed over; every
-template holds a cue. Null and empty texts have no lines; repeated rows are kept; an empty
+Lines that the model cannot give to a family are passed over: those without a word that a gram
+begins with which speaks for a family more than for `unknown`. Null and empty texts have no lines; repeated rows are kept; an empty
 table gives no rows; other columns are not read."""
 
 from __future__ import annotations
@@ -81,6 +83,7 @@ TEMPLATES = {
         "Confidential and proprietary; copyright of the company.",
     ],
 }
+# Lines with one of these are not learned from as plain lines.
 CUES = ("licen", "copyright", "rights reserved", "permission is hereby", "redistribut", "public domain")
 # Lines about licences in the plain sense, which belong to no family.
 OTHERS = [
@@ -127,16 +130,36 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line) of the lines that hold a cue; texts without one are not cut."""
-    lowered = F.lower(F.col("_text"))
-    cue = lambda c: F.reduce(F.array(*[F.contains(c, F.lit(x)) for x in CUES]), F.lit(False), lambda a, b: a | b)
-    text_has = F.contains(lowered, F.lit(CUES[0]))
-    for x in CUES[1:]:
-        text_has = text_has | F.contains(lowered, F.lit(x))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(text_has)
-    cut = rows.select("doc_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    return cut.where(cue(F.lower("line")))
+REACH = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) * 2
+
+
+def cue_words(model: LicenseModel) -> list[str] | None:
+    """Words of which a line must hold one to reach LEAST_PROBABILITY for a family: its score must
+    be above that of `unknown`, so some gram must speak for it if the bias does not. None if the
+    bias does for any family."""
+    out = model.families.index(UNKNOWN)
+    if any(b >= model.bias[out] for i, b in enumerate(model.bias) if i != out):
+        return None
+    return sorted({g.split()[0] for g, w in model.weights.items() if any(z > w[out] - 1e-5 for i, z in enumerate(w) if i != out)})
+
+
+def lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, words, after) of the lines that may belong to a family; `after` are the
+    words that follow in the paragraph, REACH at most."""
+    cues = cue_words(model)
+    held = lambda w: F.lit(True) if cues is None else F.arrays_overlap(w, F.array(*[F.lit(c) for c in cues]))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n"), _words).alias("_all"))
+    rows = rows.withColumn("_heads", F.transform("_all", lambda w: F.slice(w, 1, REACH)))
+
+    def after(i: Column) -> Column:
+        # A line has a word at least, so REACH lines are enough.
+        near = F.slice("_heads", i + 2, REACH)
+        end = F.array_position(F.transform(near, lambda w: F.size(w) == 0), F.lit(True)).cast("int")
+        return F.slice(F.flatten(F.when(end > 0, F.slice(near, 1, end - 1)).otherwise(near)), 1, REACH)
+
+    found = F.filter(F.transform("_all", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda z: (F.size(z["w"]) > 0) & held(z["w"]))
+    spans = F.transform(found, lambda z: F.struct(z["i"].alias("line_no"), z["w"].alias("words"), after(z["i"]).alias("after")))
+    return rows.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.line_no", "s.words", "s.after")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", other_lines: int = OTHER_LINES) -> LicenseModel:
@@ -200,45 +223,50 @@ def _loss(z: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> float:
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, family, probability, template_share, confirmed) of every line with a
-    cue; `unknown` where no family is probable enough."""
+    """(doc_id, line_no, family, probability, template_share, confirmed) of every line that may
+    belong to a family; `unknown` where no family is probable enough."""
     table = F.create_map(*[c for v, w in model.weights.items() for c in (F.lit(v), F.array(*[F.lit(float(round(z, 6))) for z in w]))])
     vocabulary = F.array(*[F.lit(v) for v in model.weights])
-    found = lines(docs, id_col, text_col).withColumn("words", _words(F.col("line")))
-    known = F.array_intersect(_grams(F.col("words")), vocabulary)
     zero = F.array(*[F.lit(0.0) for _ in model.families])
     bias = F.array(*[F.lit(float(z)) for z in model.bias])
-    total = F.aggregate("known", zero, lambda acc, g: F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b))
-    norm = F.sqrt(F.greatest(F.size("known"), F.lit(1)).cast("double"))
-    logits = F.zip_with(total, bias, lambda a, b: (a / norm + b) / F.lit(model.temperature))
-    scored = found.withColumn("known", known).withColumn("z", logits)
-    powers = scored.withColumn("p", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     names = F.array(*[F.lit(f) for f in model.families])
-    best = F.array_max(F.arrays_zip(F.col("p").alias("p"), names.alias("family")))
-    picked = powers.withColumn("best", best).select(
+
+    def judged(rows: DataFrame, words: str, name: str) -> DataFrame:
+        """The rows with `name`: family, probability and template_share of the words."""
+        total = F.aggregate("_known", zero, lambda acc, g: F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b))
+        norm = F.sqrt(F.greatest(F.size("_known"), F.lit(1)).cast("double"))
+        logits = F.zip_with(total, bias, lambda a, b: (a / norm + b) / F.lit(model.temperature))
+        scored = rows.withColumn("_known", F.array_intersect(_grams(F.col(words)), vocabulary)).withColumn("_z", logits)
+        scored = scored.withColumn("_p", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
+        scored = scored.withColumn("_best", F.array_max(F.arrays_zip(F.col("_p").alias("p"), names.alias("family"))))
+        p = F.col("_best.p") / F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
+        named = F.when(p >= LEAST_PROBABILITY, F.col("_best.family")).otherwise(F.lit(UNKNOWN))
+        out = F.struct(named.alias("family"), p.alias("probability"), _share(F.col("_best.family"), F.col(words)).alias("template_share"))
+        return scored.withColumn(name, out).drop("_known", "_z", "_p", "_best")
+
+    rows = judged(lines(docs, model, id_col, text_col), "words", "line")
+    # Only lines of no family are read on, by the words of the line and those after it.
+    alone = (F.col("line.family") != UNKNOWN) | (F.size("after") == 0)
+    rows = judged(rows.withColumn("wide", F.when(alone, F.array().cast("array<string>")).otherwise(F.concat("words", "after"))), "wide", "span")
+    rest = _share(F.col("span.family"), F.col("after"))
+    taken = ~alone & (F.col("span.family") != UNKNOWN) & (F.col("span.template_share") >= LEAST_SHARE) & (F.col("span.template_share") > rest)
+    picked = rows.select("doc_id", "line_no", F.when(taken, F.col("span")).otherwise(F.col("line")).alias("x"))
+    return picked.select(
         "doc_id",
         "line_no",
-        "words",
-        F.col("best.family").alias("family"),
-        (F.col("best.p") / F.aggregate("p", F.lit(0.0), lambda a, b: a + b)).alias("probability"),
+        "x.family",
+        "x.probability",
+        "x.template_share",
+        ((F.col("x.family") != UNKNOWN) & (F.col("x.template_share") >= LEAST_SHARE)).alias("confirmed"),
     )
+
+
+def _share(family: Column, words: Column) -> Column:
+    """The largest share of a template of the family that the words hold."""
     share = F.lit(0.0)
-    for family, templates in TEMPLATES.items():
-        parts = [_held(F.col("words"), t) for t in templates]
-        share = F.when(F.col("family") == family, F.greatest(*parts)).otherwise(share)
-    named = F.when(F.col("probability") >= LEAST_PROBABILITY, F.col("family")).otherwise(F.lit(UNKNOWN))
-    return (
-        picked.withColumn("template_share", share)
-        .withColumn("family", named)
-        .select(
-            "doc_id",
-            "line_no",
-            "family",
-            "probability",
-            "template_share",
-            ((F.col("family") != UNKNOWN) & (F.col("template_share") >= LEAST_SHARE)).alias("confirmed"),
-        )
-    )
+    for name, templates in TEMPLATES.items():
+        share = F.when(family == name, F.greatest(*[_held(words, t) for t in templates], F.lit(0.0))).otherwise(share)
+    return share
 
 
 def _held(words: Column, template: str) -> Column:
