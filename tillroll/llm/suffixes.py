@@ -1,11 +1,14 @@
-"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
+"""Removal of repeated byte strings with a logarithmic family of sorted hash tables.
+
+Hashes stand in for suffix arrays: no suffix is put in order by its bytes and no length of a
+match is measured; only strings of MATCH bytes have to be told equal or not.
 
 A byte is removed if a string of MATCH bytes covers it that also starts in a document with a
-smaller id. Suffixes are sparse: of every MATCH bytes the suffix with the smallest hash of its
+smaller id. Places are sparse: of every MATCH bytes the place with the smallest hash of its
 first GRAM bytes is indexed, so equal strings index the same places. An index entry is (hash
 of the first bytes, hash of the context that all strings over this place can reach, document).
-Entries go to tasks by the first hash. Each task sorts what arrives into a suffix array, scans
-it against its levels by merging - a context that a smaller document has settles the entry -
+Entries go to tasks by the first hash. Each task sorts what arrives by these hashes and
+looks it up in its levels - a context that a smaller document has settles the entry -
 and merges levels of equal size, so a family never has more than a logarithm of levels.
 Contexts of a first document that share their first bytes with other contexts stay open; their
 strings are compared one by one, in a second round through the same kind of family.
