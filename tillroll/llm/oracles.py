@@ -8,7 +8,64 @@ with rows as (
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
   union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 """
+# Fixed value: the polynomial of CRC-32, which DuckDB has no function for.
+_MANIFEST = """
+with recursive
+table_(t) as (
+  select list_transform(range(256), lambda i: list_reduce([i::bigint] || [0,0,0,0,0,0,0,0],
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))),
+rows as (
+  select row_number() over () k, doc_id, lang, n_chars,
+    list_transform([doc_id::varchar, source, lang, n_chars::varchar, text],
+      lambda v: coalesce(strlen(v)::varchar || ':' || v, '-')) parts,
+    xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint),
+      lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]))) % 7 = 0 and n_chars is not null as changed
+  from documents, table_),
+leaves as (
+  select k, doc_id, case when lang is null then '' else '=' || lang end tree,
+    sha256(array_to_string(parts, '')) leaf,
+    case when changed then sha256(array_to_string(parts[1:3] || [strlen((n_chars + 1)::varchar)::varchar || ':' || (n_chars + 1)::varchar] || parts[5:5], ''))
+    else sha256(array_to_string(parts, '')) end start
+  from rows),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf, k) - 1 p, count(*) over (partition by tree) n
+  from leaves),
+own(tree, l, p, h, n) as (
+  select tree, 0, p, leaf, n from placed
+  union all
+  select tree, l + 1, p // 2, sha256(string_agg(h, '' order by p)), (min(n) + 1) // 2 from own where n > 1 group by tree, l, p // 2),
+roots as (
+  select tree, l height, h subroot, row_number() over (order by tree) - 1 p, count(*) over () n from own where n = 1),
+upper_(l, p, h, n) as (
+  select 0, p, subroot, n from roots
+  union all
+  select l + 1, p // 2, sha256(string_agg(h, '' order by p)), (min(n) + 1) // 2 from upper_ where n > 1 group by l, p // 2),
+nodes as (
+  select tree, l, p, h from own where n > 1
+  union all
+  select r.tree, r.height + u.l, u.p, u.h from upper_ u, roots r where u.n > 1 and u.p = xor(r.p >> u.l, 1::bigint)),
+-- Where each leaf stands on every level: in its tree, then among the roots.
+stands as (
+  select a.k, o.l, a.p >> o.l i from placed a join (select distinct tree, l from own where n > 1) o using (tree)
+  union all
+  select a.k, r.height + u.l, r.p >> u.l from placed a join roots r using (tree), (select distinct l from upper_ where n > 1) u),
+beside as (
+  select s.k, s.l, s.i % 2 = 1 as is_right, coalesce(x.h, '') h
+  from stands s join placed a using (k) left join nodes x on x.tree = a.tree and x.l = s.l and x.p = xor(s.i, 1::bigint)),
+folded(k, l, h) as (
+  select k, 0, start from placed
+  union all
+  select f.k, f.l + 1, sha256(case when b.is_right then b.h || f.h else f.h || b.h end)
+  from folded f join beside b on b.k = f.k and b.l = f.l),
+proofs as (select k, string_agg(h, '' order by l) proof from beside group by k),
+ends as (select k, arg_max(h, l) folded_root from folded group by k)
+select a.doc_id, a.leaf, r.subroot, u.h root, sha256(coalesce(q.proof, '')) proof_sha256,
+  e.folded_root, e.folded_root = u.h verified
+from placed a join roots r using (tree) join ends e using (k) left join proofs q using (k),
+  (select h from upper_ where n = 1) u
+"""
 ORACLES = {
+    "op11_merkle": _MANIFEST,
     "op4_chat_format": _TURNS
     + """, folded as (
   select conv_id, count(*) n_turns,

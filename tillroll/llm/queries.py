@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, decontaminate, language, licenses, pitman_yor, quality, sharding, simhash, suffixes
+from tillroll.llm import bpe, chat, decontaminate, language, licenses, merkle, pitman_yor, quality, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = language.remainder(F.col("doc_id"), 7) == 0
+    return merkle.audit(table(spark, sf_dir, "documents"), changed)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -97,4 +102,5 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_licenses": op9_licenses,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
 }
