@@ -64,7 +64,30 @@ select a.doc_id, a.leaf, r.subroot, u.h root, sha256(coalesce(q.proof, '')) proo
 from placed a join roots r using (tree) join ends e using (k) left join proofs q using (k),
   (select h from upper_ where n = 1) u
 """
+_NEGATIVES = """
+with numbered as (
+  select row_number() over () r, vec_id, label, embedding from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+rows as (
+  select r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from numbered),
+scores as (
+  select a.r, a.vec_id anchor_id, x.r xr, x.vec_id, a.label = x.label same, list_inner_product(a.v, x.v)::bigint score
+  from rows a, rows x where a.vec_id % 50 = 0 and a.r <> x.r),
+positives as (
+  select *, row_number() over (partition by r order by score desc, vec_id, xr) n from scores where same
+  qualify n <= 5),
+fitting as (
+  select p.anchor_id, p.vec_id positive_id, p.score positive_score, x.vec_id negative_id, x.score negative_score,
+    (row_number() over (partition by p.r, p.n order by x.score desc, x.vec_id, x.xr))::int rank
+  from positives p join scores x on x.r = p.r and not x.same
+    and 50 * p.score <= 100 * x.score and 100 * x.score <= 95 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from fitting where rank <= 3
+"""
 ORACLES = {
+    "op12_negatives": _NEGATIVES,
     "op11_merkle": _MANIFEST,
     "op4_chat_format": _TURNS
     + """, folded as (

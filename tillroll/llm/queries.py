@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, decontaminate, language, licenses, merkle, pitman_yor, quality, sharding, simhash, suffixes
+from tillroll.llm import bpe, chat, decontaminate, language, licenses, merkle, negatives, pitman_yor, quality, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), changed)
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -103,4 +109,5 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op12_negatives": op12_negatives,
 }
