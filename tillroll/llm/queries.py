@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, chat, decontaminate, language, licenses, merkle, negatives, pitman_yor, quality, sharding, simhash, suffixes
+from tillroll.llm import bpe, chat, decontaminate, language, licenses, merkle, negatives, pitman_yor, quality, sharding, simhash, suffixes, tokenfile
+from tillroll.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +100,12 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tillroll/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read_digests(tokenfile.read_segments(spark, path))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -110,4 +119,5 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
     "op12_negatives": op12_negatives,
+    "op13_tokens": op13_tokens,
 }
