@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,19 +74,26 @@ def test_documents_match_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([r[:4] for r in brute(rows)], key=repr)
 
 
-def test_long_texts_are_cut_without_a_trace(monkeypatch):
-    monkeypatch.setattr(tokenfile, "LONG", 500)
+def test_words_give_the_ids_of_their_texts(monkeypatch):
     dice = random.Random(5)
-    text = "".join(dice.choices("abcdé '\t.\u0301 \n<|>", k=40_000))
-    texts = [text[: dice.randrange(1, 90) * 70] for i in range(40)] + [text, "", "x" * 3000, "x " * 3000]
-    assert max(map(len, tokenfile.parts_of(text))) < 600
-    tokenizer = tokenfile._tokenizer(PATH)
-    for t, ids in zip(texts, tokenfile.encoded(tokenizer, texts, 7), strict=True):
-        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 7]
+    blanks = " \t\n\r\v\f\x1c\x1f\x85\xa0\u2003\u200b"
+    text = "".join(dice.choices("abcdéΣ'st.\u0301\u0345<|>12" + blanks, k=60_000))
+    texts = [text[i : i + dice.randrange(1, 90)] for i in dice.choices(range(60_000), k=3000)]
+    texts += [text, "", None, "x" * 3000, "x " * 3000, "ΑΣ ΑΣ. ΑΣ", " \u0301a", "it 's it's IT'S", "\u212b e\u0301"]
+    words = tokenfile.Words(PATH)
+    for known in (tokenfile.KNOWN, 50):
+        monkeypatch.setattr(tokenfile, "KNOWN", known)
+        for part in (texts[:1500], texts[1500:]):
+            ids, counts = words.encode(pa.array(part), 7)
+            want = [[*words._tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in part]
+            assert counts.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+    assert [len(a) for a in words.encode(pa.array([], pa.string()), 7)] == [0, 0]
 
 
 def test_many_segments(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "SEGMENT", 3000)
+    monkeypatch.setattr(tokenfile, "SLICE", 2000)
     dice = random.Random(6)
     rows = [(i, "a bc déf 12 " * dice.randrange(1, 900)) for i in range(60)]
     segments = stored(spark, rows)

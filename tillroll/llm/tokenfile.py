@@ -26,11 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tillroll.llm.bytes import chunks
+
 MAGIC = b"S8BIDS01"
 _HEAD = struct.Struct("<8s5q")
 BLOCK = 4096
@@ -41,7 +44,8 @@ BITS = tuple(60 // c for c in COUNTS)
 _PER_WORD = np.array([1, *COUNTS, 0], np.int64)  # selector 15 is not used
 
 SEGMENT = 1 << 20  # ids from which on a segment is closed
-LONG = 1 << 18  # characters from which on a text is encoded in parts
+SLICE = 1 << 23  # bytes of text encoded at a time
+KNOWN = 1 << 20  # words a task remembers
 
 SEGMENTS = "part int, seq int, first long, n_ids long, n_docs int, segment binary"
 
@@ -171,50 +175,56 @@ class Segment:
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
-
-
-def parts_of(text: str) -> list[str]:
-    """A long text cut at spaces into parts of about LONG characters. The tokenizer drops white
-    space between its words, so the ids of the parts are those of the text; an encoding takes
-    some fifty times its text in memory."""
-    parts, first = [], 0
-    while len(text) - first > LONG:
-        last = text.find(" ", first + LONG)
-        if last < 0:
-            break
-        parts.append(text[first:last])
-        first = last
-    return [*parts, text[first:]]
-
-
-def encoded(tokenizer, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-    """The ids of every text and its end. Short texts are encoded together, the parts of a long
-    one by one."""
-    end, first = np.array([end_id], np.uint64), 0
-    while first < len(texts):
-        last, chars = first + 1, len(texts[first])
-        while last < len(texts) and chars + len(texts[last]) <= LONG:
-            chars += len(texts[last])
-            last += 1
-        if chars > LONG:
-            parts = [tokenizer.encode(p, add_special_tokens=False).ids for p in parts_of(texts[first])]
-            yield np.concatenate([*[np.array(p, np.uint64) for p in parts], end])
-        else:
-            for done in tokenizer.encode_batch(texts[first:last], add_special_tokens=False):
-                yield np.concatenate([np.array(done.ids, np.uint64), end])
-        first = last
+def _words(path: str) -> "Words":
+    """One for all tasks of a worker."""
+    return Words(path)
+
+
+class Words:
+    """Ids of texts, word by word: every distinct word is encoded once.
+
+    The tokenizer must drop white space, so that no token spans it: what lies between ASCII
+    blanks is then encoded alike alone and in its text. Other white space stays within such a
+    word and is left to the tokenizer. Known words are forgotten once they are KNOWN many."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._known: dict[str, bytes] = {}
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, 32 bits each."""
+        if len(self._known) > KNOWN:
+            self._known = {}
+        found = list(map(self._known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for first in range(0, len(new), 4096):
+            part = new[first : first + 4096]
+            for i, done in zip(part, self._tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = self._known[words[i]] = np.array(done.ids, np.uint32).tobytes()
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end; number of ids per text); null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        ids = [*self._of(words.dictionary.to_pylist()), np.array([end_id], np.uint32).tobytes()]
+        sizes = np.array([len(i) // 4 for i in ids])
+        flat, firsts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        places = np.insert(words.indices.to_numpy(), ends, len(ids) - 1)
+        counts = sizes[places]
+        total = np.cumsum(counts)
+        at = np.repeat(firsts[places] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
+        return flat[at].astype(np.uint64), np.diff(total[ends + np.arange(len(ends))], prepend=0)
 
 
 def _segments(tokenizer_path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
+        words, part = _words(tokenizer_path), TaskContext.get().partitionId()
         seq = first = n = 0
         doc_ids, counts, held = [], [], []
 
@@ -225,10 +235,12 @@ def _segments(tokenizer_path: str, end_id: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded(tokenizer, texts, end_id), strict=True):
-                doc_ids.append(doc_id)
-                counts.append(len(ids))
+            texts, names = batch.column("text"), batch.column("doc_id")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+            for a, b in chunks(np.concatenate(([0], np.cumsum(sizes))), SLICE):
+                ids, own = words.encode(texts.slice(a, b - a), end_id)
+                doc_ids += names.slice(a, b - a).to_pylist()
+                counts += own.tolist()
                 held.append(ids)
                 n += len(ids)
                 if n >= SEGMENT:
@@ -246,8 +258,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     A null text is empty and has its end only; null ids come first; equal ids are ordered by
     a hash of their texts. No documents make a table without segments. Other columns than
-    doc_id and text are not looked at. Texts move once, to the range of ids they belong to; a
-    segment takes memory for its ids, which for one very long text are its own."""
+    doc_id and text are not looked at. The tokenizer must drop white space (see Words). Texts
+    move once, to the range of ids they belong to; a segment takes memory for its ids, which
+    for one very long text are its own."""
     rows = docs.select("doc_id", "text").withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     in_order = rows.orderBy("doc_id", "_hash", "_row").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     in_order.mapInArrow(_segments(tokenizer_path, end_id), SEGMENTS).write.parquet(path)
