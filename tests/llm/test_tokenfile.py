@@ -79,7 +79,7 @@ def test_words_give_the_ids_of_their_texts(monkeypatch):
     blanks = " \t\n\r\v\f\x1c\x1f\x85\xa0\u2003\u200b"
     text = "".join(dice.choices("abcdéΣ'st.\u0301\u0345<|>12" + blanks, k=60_000))
     texts = [text[i : i + dice.randrange(1, 90)] for i in dice.choices(range(60_000), k=3000)]
-    texts += [text, "", None, "x" * 3000, "x " * 3000, "ΑΣ ΑΣ. ΑΣ", " \u0301a", "it 's it's IT'S", "\u212b e\u0301"]
+    texts += ["a\0b \0 c", "\0 \0\0", text, "", None, "x" * 3000, "x " * 3000, "ΑΣ ΑΣ. ΑΣ", " \u0301a", "it 's it's IT'S", "\u212b e\u0301"]
     words = tokenfile.Words(PATH)
     for known in (tokenfile.KNOWN, 50):
         monkeypatch.setattr(tokenfile, "KNOWN", known)

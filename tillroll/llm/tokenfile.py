@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -45,7 +46,9 @@ _PER_WORD = np.array([1, *COUNTS, 0], np.int64)  # selector 15 is not used
 
 SEGMENT = 1 << 20  # ids from which on a segment is closed
 SLICE = 1 << 23  # bytes of text encoded at a time
-KNOWN = 1 << 20  # words a task remembers
+KNOWN = 1 << 18  # words of a generation that a worker remembers
+JOINED = 50  # words encoded as one text
+_BETWEEN = "\0"
 
 SEGMENTS = "part int, seq int, first long, n_ids long, n_docs int, segment binary"
 
@@ -64,42 +67,47 @@ def _selectors(blocks: np.ndarray) -> np.ndarray:
         if count > n:
             # The widest of `count` ids, out of two overlapping runs of n.
             widest, n = np.maximum(widest[:, : widest.shape[1] - (count - n)], widest[:, count - n :]), count
-        chosen[widest[:, :BLOCK] <= BITS[selector - 1]] = selector
+        np.putmask(chosen, widest[:, :BLOCK] <= BITS[selector - 1], np.uint8(selector))
     return chosen
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of every block, escapes) of unsigned 64-bit ids."""
     n_blocks = -(-len(ids) // BLOCK)
-    blocks = np.zeros((n_blocks, BLOCK + COUNTS[0]), np.uint64)
-    whole = np.zeros(n_blocks * BLOCK, np.uint64)
-    whole[: len(ids)] = ids
-    blocks[:, :BLOCK] = whole.reshape(n_blocks, BLOCK)
+    width = BLOCK + COUNTS[0]
+    blocks = np.zeros((n_blocks, width), np.uint64)
+    full = len(ids) // BLOCK
+    blocks[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
     ends = np.full(n_blocks, BLOCK)
-    if n_blocks:
-        ends[-1] = len(ids) - (n_blocks - 1) * BLOCK
+    if full < n_blocks:
+        ends[-1] = len(ids) - full * BLOCK
+        blocks[-1, : ends[-1]] = ids[full * BLOCK :]
     chosen = _selectors(blocks)
-    # All blocks step from word to word at once.
-    row, place, found = np.arange(n_blocks), np.zeros(n_blocks, np.int64), []
+    # All blocks step from word to word at once: the places of the n-th words of all blocks.
+    row, place, steps = np.arange(n_blocks), np.zeros(n_blocks, np.int64), []
+    n_words = np.zeros(n_blocks, np.int64)
     while len(row):
         selector = chosen[row, place]
-        found.append((row, place, selector))
+        steps.append((row, place, selector))
+        n_words[row] += 1
         place = place + _PER_WORD[selector]
         on = place < ends[row]
         row, place = row[on], place[on]
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, place, selector = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((place, row))
-    row, place, selector = row[order], place[order], selector[order]
-    words = selector.astype(np.uint64) << np.uint64(60)
+    firsts = np.cumsum(n_words) - n_words
+    words = np.zeros(int(n_words.sum()), np.uint64)
+    at, selector = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
+    for step, (row, place, chosen_here) in enumerate(steps):
+        at[firsts[row] + step], selector[firsts[row] + step] = row * width + place, chosen_here
+    flat = blocks.reshape(-1)
     for s, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True), 1):
-        at = np.flatnonzero(selector == s)
-        for i in range(count if len(at) else 0):
-            words[at] |= blocks[row[at], place[at] + i] << np.uint64(bits * i)
-    at = np.flatnonzero(selector == ESCAPE)
-    words[at] |= np.arange(len(at), dtype=np.uint64)
-    return words, np.searchsorted(row, np.arange(n_blocks)), blocks[row[at], place[at]]
+        of = np.flatnonzero(selector == s)
+        packed, start = np.full(len(of), s << 60, np.uint64), at[of]
+        for i in range(count if len(of) else 0):
+            packed |= flat[start + i] << np.uint64(bits * i)
+        words[of] = packed
+    of = np.flatnonzero(selector == ESCAPE)
+    words[of] = np.arange(len(of), dtype=np.uint64)
+    return words, firsts, flat[at[of]]
 
 
 def decode(words: np.ndarray, firsts: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -185,7 +193,9 @@ class Words:
 
     The tokenizer must drop white space, so that no token spans it: what lies between ASCII
     blanks is then encoded alike alone and in its text. Other white space stays within such a
-    word and is left to the tokenizer. Known words are forgotten once they are KNOWN many."""
+    word and is left to the tokenizer. New words are encoded JOINED at a time, with a word
+    between them whose one id tells where they end. Words are remembered in two generations of
+    KNOWN words each: those that do not come back are forgotten."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -193,18 +203,35 @@ class Words:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._between = self._ids([_BETWEEN])[0]
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [done.ids for done in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids, 32 bits each."""
+        lots = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for lot, ids in zip(lots, self._ids([f" {_BETWEEN} ".join(lot) for lot in lots]), strict=True):
+            ends = [i for i, x in enumerate(ids) if x == self._between[0]]
+            if len(self._between) == 1 and len(ends) == len(lot) - 1:
+                starts, packed = [0, *[e + 1 for e in ends]], array("I", ids)
+                yield from ((w, packed[a:b].tobytes()) for w, a, b in zip(lot, starts, [*ends, len(ids)], strict=True))
+            else:  # one of the words holds what is put between them
+                yield from ((w, array("I", own).tobytes()) for w, own in zip(lot, self._ids(lot), strict=True))
 
     def _of(self, words: list[str]) -> list[bytes]:
         """The ids of each word, 32 bits each."""
         if len(self._known) > KNOWN:
-            self._known = {}
+            self._known, self._older = {}, self._known
         found = list(map(self._known.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        for first in range(0, len(new), 4096):
-            part = new[first : first + 4096]
-            for i, done in zip(part, self._tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = self._known[words[i]] = np.array(done.ids, np.uint32).tobytes()
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if missing:
+            older = [(w, self._older.get(w)) for w in missing]
+            self._known.update((w, ids) for w, ids in older if ids is not None)
+            self._known.update(self._new([w for w, ids in older if ids is None]))
+            found = list(map(self._known.get, words))
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
