@@ -46,8 +46,8 @@ _PER_WORD = np.array([1, *COUNTS, 0], np.int64)  # selector 15 is not used
 
 SEGMENT = 1 << 20  # ids from which on a segment is closed
 SLICE = 1 << 23  # bytes of text encoded at a time
-KNOWN = 1 << 18  # words of a generation that a worker remembers
-JOINED = 50  # words encoded as one text
+KNOWN = 1 << 20  # words that a worker remembers
+JOINED = 100  # words encoded as one text
 _BETWEEN = "\0"
 
 SEGMENTS = "part int, seq int, first long, n_ids long, n_docs int, segment binary"
@@ -72,7 +72,7 @@ def _selectors(blocks: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, first word of every block, escapes) of unsigned 64-bit ids."""
+    """(words, first word of every block, escapes) of unsigned ids of up to 64 bits."""
     n_blocks = -(-len(ids) // BLOCK)
     width = BLOCK + COUNTS[0]
     blocks = np.zeros((n_blocks, width), np.uint64)
@@ -194,8 +194,8 @@ class Words:
     The tokenizer must drop white space, so that no token spans it: what lies between ASCII
     blanks is then encoded alike alone and in its text. Other white space stays within such a
     word and is left to the tokenizer. New words are encoded JOINED at a time, with a word
-    between them whose one id tells where they end. Words are remembered in two generations of
-    KNOWN words each: those that do not come back are forgotten."""
+    between them whose one id tells where they end. Known words lie in arrays; once they are
+    more than KNOWN, only those of the texts at hand are kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -203,50 +203,63 @@ class Words:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._between = self._ids([_BETWEEN])[0]
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._between = self._list([_BETWEEN])[0]
+        self.known = pa.array([], pa.string())
+        self._sizes, self._ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
+    def _list(self, texts: list[str]) -> list[list[int]]:
         return [done.ids for done in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its ids, 32 bits each."""
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids of all)."""
+        sizes, flat = [self._sizes[:0]], [self._ids[:0]]
         lots = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for lot, ids in zip(lots, self._ids([f" {_BETWEEN} ".join(lot) for lot in lots]), strict=True):
-            ends = [i for i, x in enumerate(ids) if x == self._between[0]]
-            if len(self._between) == 1 and len(ends) == len(lot) - 1:
-                starts, packed = [0, *[e + 1 for e in ends]], array("I", ids)
-                yield from ((w, packed[a:b].tobytes()) for w, a, b in zip(lot, starts, [*ends, len(ids)], strict=True))
+        for lot, ids in zip(lots, self._list([f" {_BETWEEN} ".join(lot) for lot in lots]), strict=True):
+            found = np.frombuffer(array("I", [*ids, *self._between]), np.uint32)
+            inside = found != self._between[0]
+            ends = np.flatnonzero(~inside)
+            if len(self._between) == 1 and len(ends) == len(lot):
+                sizes.append((np.diff(ends, prepend=-1) - 1).astype(np.int32))
+                flat.append(found[inside])
             else:  # one of the words holds what is put between them
-                yield from ((w, array("I", own).tobytes()) for w, own in zip(lot, self._ids(lot), strict=True))
-
-    def _of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, 32 bits each."""
-        if len(self._known) > KNOWN:
-            self._known, self._older = {}, self._known
-        found = list(map(self._known.get, words))
-        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        if missing:
-            older = [(w, self._older.get(w)) for w in missing]
-            self._known.update((w, ids) for w, ids in older if ids is not None)
-            self._known.update(self._new([w for w, ids in older if ids is None]))
-            found = list(map(self._known.get, words))
-        return found
+                own = self._list(lot)
+                sizes.append(np.array([len(o) for o in own], np.int32))
+                flat += [np.array(o, np.uint32) for o in own]
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct words lie among the known ones; new ones are added."""
+        found = pc.index_in(words, value_set=self.known)
+        places = pc.fill_null(found, 0).to_numpy().copy()
+        is_new = pc.is_null(found)
+        new = words.filter(is_new)
+        sizes, ids = self._new(new.to_pylist())
+        places[is_new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self._sizes, self._ids = np.concatenate((self._sizes, sizes)), np.concatenate((self._ids, ids))
+        if len(self.known) > KNOWN:
+            self._ids = self._take(places)
+            self.known, self._sizes = words, self._sizes[places]
+            places = np.arange(len(words), dtype=places.dtype)
+        return places
+
+    def _take(self, places: np.ndarray) -> np.ndarray:
+        """The ids of known words, one after another."""
+        firsts = np.cumsum(self._sizes, dtype=np.int32) - self._sizes
+        sizes = self._sizes[places]
+        total = np.cumsum(sizes, dtype=np.int64)
+        shift = firsts[places] - (total - sizes)
+        return self._ids[np.repeat(shift, sizes) + np.arange(total[-1] if len(total) else 0)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end; number of ids per text); null is empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        ids = [*self._of(words.dictionary.to_pylist()), np.array([end_id], np.uint32).tobytes()]
-        sizes = np.array([len(i) // 4 for i in ids])
-        flat, firsts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
-        places = np.insert(words.indices.to_numpy(), ends, len(ids) - 1)
-        counts = sizes[places]
-        total = np.cumsum(counts)
-        at = np.repeat(firsts[places] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)
-        return flat[at].astype(np.uint64), np.diff(total[ends + np.arange(len(ends))], prepend=0)
+        places = self._places(words.dictionary)[words.indices.to_numpy()]
+        total = np.concatenate(([0], np.cumsum(self._sizes[places], dtype=np.int64)))
+        ends = total[np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)]
+        ids = np.insert(self._take(places), ends, end_id)
+        return ids, np.diff(ends, prepend=0) + 1
 
 
 def _segments(tokenizer_path: str, end_id: int) -> Callable:
