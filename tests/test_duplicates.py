@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import duplicates
+from tillroll.operators.settling import blocked_rows
 from tillroll.operators.skew import join_salted
 from tillroll.sources.shared import stage
 
@@ -106,6 +107,38 @@ def test_long_chain_takes_as_many_rounds_as_it_needs(spark):
     assert {r.source_file: r.duplicate_of for r in got} == model(rows)
 
 
+def chain(n):
+    return [(f"n{i:06d}", f"h{(i + 1) // 2}", f"v{i // 2}", "d", 1.0) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "most"), [(24, 6), (10_000, 15)])
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, n, most):
+    rows = chain(n)
+    numbered = spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows)], "row long, h string, f string")
+    blocked, rounds = blocked_rows(numbered)
+    want = {i for i, r in enumerate(rows) if model(rows)[r[0]]} if n < 100 else set(range(1, n, 2))
+    assert {r.row for r in blocked.collect()} == want
+    assert rounds <= most
+
+
+def test_settling_against_one_pass(spark):
+    """Dense, hot and sparse graphs of keys, each against a pass in order."""
+    rng = random.Random(8)
+    rows = []
+    for batch in range(60):
+        hashes, prints = rng.choice([2, 5, 40]), rng.choice([1, 3, 30])
+        for _ in range(rng.randrange(1, 60)):
+            h = rng.choice([None, *range(hashes)])
+            f = rng.choice([None, *range(prints)])
+            rows.append((f"n{len(rows):05d}", None if h is None else f"h{batch}-{h}", None if f is None else f"{batch}-{f}", "d", 1.0))
+    # Interleave the batches: order and keys have nothing to do with each other.
+    names = [r[0] for r in rows]
+    rng.shuffle(names)
+    rows = [(name, *r[1:]) for name, r in zip(names, rows, strict=True)]
+    got = duplicates.mark_duplicates_any(frame(spark, rows), least_rows=1).collect()
+    assert {r.source_file: r.duplicate_of for r in got} == model(rows)
+
+
 def test_nothing_to_mark(spark):
     assert duplicates.mark_duplicates_any(frame(spark, [("a", None, None, None, None)])).head().duplicate_of is None
     empty = frame(spark, EXAMPLES).where("false")

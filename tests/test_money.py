@@ -17,6 +17,16 @@ def test_rounding_follows_the_exact_value(spark):
     assert [(r.x, r.r) for r in got if r.r != round(r.x, 2)] == []
 
 
+def test_rounding_of_large_and_half_values(spark):
+    rng = random.Random(11)
+    numbers = [1e15, 1e15 + 0.125, 4e13 + 0.375, 2.0**46, 2.0**46 - 0.0078125, -(2.0**46) + 0.0078125, 9007199254740993.0, 1e300]
+    numbers += [rng.uniform(-(2.0**e), 2.0**e) for e in range(-12, 60) for _ in range(60)]
+    numbers += [rng.randrange(2**50) / 2 ** rng.randrange(3, 12) for _ in range(3000)]
+    df = spark.createDataFrame([(n,) for n in numbers], "x double")
+    got = df.select("x", round_money(F.col("x")).alias("r")).collect()
+    assert [(r.x, r.r, round(r.x, 2)) for r in got if r.r != round(r.x, 2)] == []
+
+
 def test_rounding_of_what_is_no_amount(spark):
     df = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,)], "x double")
     got = [r.r for r in df.select(round_money(F.col("x")).alias("r")).collect()]

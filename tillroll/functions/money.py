@@ -86,35 +86,33 @@ def unmark(marked: Column) -> Column:
     return F.when(has_mark, F.translate(marked, _MARKS, "")).otherwise(marked)
 
 
+#: From here on doubles lie more than a cent and a half apart: rounding to cents gives them back.
+NO_CENTS = 2.0**46
+
+
 def round_money(value: Column) -> Column:
     """Two decimals, judged on the exact binary value: a value printed as 2.675 lies just
-    below the half and gives 2.67. Spark's round works on the printed digits, which only
-    differ where exactly three decimals end in 5; there the sign of the exact product
-    200 * x - (nearest odd integer) decides, computed without error by splitting x in two."""
+    below the half and gives 2.67; a value exactly between two cents takes the even one.
+
+    100 * x is held as a product and the error of that product, both exact, so that the whole
+    cents next to it are known exactly. They are below 2**53 for all amounts that have cents,
+    and dividing whole numbers by 100 rounds correctly. There is no other rule for any size."""
     return let(value, _rounded)
 
 
 def _rounded(x: Column) -> Column:
-    printed_half = (
-        (F.abs(x) < 4e13)
-        & (F.round(x, 3) == x)
-        & (F.abs(x).cast("decimal(20,3)") * 1000 % 10 == 5)
-    )
-    shifted = x * 134217729.0
+    shifted = x * 134217729.0  # 2**27 + 1 splits x in two halves of 26 bits
     high = shifted - (shifted - x)
-    product = x * 200.0
-    error = (high * 200.0 - product) + (x - high) * 200.0
-    odd = F.round(product)
-    side = (product - odd) + error
-    below, above = (odd - 1.0) / 2.0, (odd + 1.0) / 2.0
-    even = F.when(below % 2 == 0, below).otherwise(above)
-    half = F.when(side < 0, below).when(side > 0, above).otherwise(even) / 100.0
-    # Nearly all values are cents already, which plain arithmetic can tell.
-    return (
-        F.when(x == F.rint(x * 100.0) / 100.0, x)
-        .when(printed_half, half)
-        .otherwise(F.round(x, 2))
+    product = x * 100.0
+    error = (high * 100.0 - product) + (x - high) * 100.0
+    nearest = F.rint(product)
+    over = product - nearest
+    cents = (
+        F.when((over == 0.5) & (error > 0), nearest + 1.0)
+        .when((over == -0.5) & (error < 0), nearest - 1.0)
+        .otherwise(nearest)
     )
+    return F.when(F.abs(x) >= NO_CENTS, x).otherwise(cents / 100.0)
 
 
 def money_text(x: Column) -> Column:

@@ -6,13 +6,12 @@ its keys, so nothing is ever a duplicate of a duplicate."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import round_money
+from tillroll.functions.money import NO_CENTS, round_money
 from tillroll.functions.text import strip
+from tillroll.operators.settling import SIDES, blocked_rows
 from tillroll.operators.skew import LEAST_ROWS, join_salted
 from tillroll.sources.shared import stage
 
@@ -24,7 +23,7 @@ def fingerprint(vendor: Column, date: Column, total: Column) -> Column:
     """32 hex digits for (vendor, date, total to cents), null unless all three are present. The
     lengths go first, so that the parts cannot run into each other."""
     name = F.lower(strip(vendor))
-    cents = F.when(F.abs(total) < 4e13, F.rint(round_money(total) * 100.0).cast("bigint").cast("string"))
+    cents = F.when(F.abs(total) < NO_CENTS, F.rint(round_money(total) * 100.0).cast("bigint").cast("string"))
     amount = F.coalesce(cents, total.cast("string"))
     present = (vendor != "") & (date != "") & total.isNotNull() & ~F.isnan(total)
     parts = (F.length(name), F.length(date), name, date, amount)
@@ -78,78 +77,85 @@ def duplicates_by_hash(files: DataFrame, least_rows: int = LEAST_ROWS) -> DataFr
     )
 
 
+def row_keys() -> dict[str, Column]:
+    """The two keys of a row: `h` by its bytes and `f` by its fields, null where it has none.
+    Their first letters keep them apart where they are stored together."""
+    found = fingerprint(F.col("vendor"), F.col("date"), F.col("total"))
+    return {
+        "h": F.concat(F.lit("h"), F.nullif(F.col("content_hash"), F.lit(""))),
+        "f": F.concat(F.lit("f"), found),
+    }
+
+
 def mark_duplicates_any(receipts: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Mark duplicates where equal bytes may carry different fields, as with model replies.
 
-    Which rows are originals depends on all earlier rows, so they are settled in rounds: a row
-    that comes first among the open rows of its hash and of its fingerprint is an original and
-    settles every other row with one of its keys. Each round works on written tables and only
-    on what is still open; no bound on the number of rounds is assumed."""
-    keys = {
-        "h": F.nullif(F.col("content_hash"), F.lit("")),
-        "f": fingerprint(F.col("vendor"), F.col("date"), F.col("total")),
-    }
-    keyed = stage(receipts.withColumns(keys), "keyed")
-    # Of the rows that agree in both keys only the first can be an original.
-    open_rows = stage(
-        keyed.where("h is not null or f is not null")
-        .groupBy("h", "f")
-        .agg(F.min("source_file").alias("source_file"), F.count(F.lit(1)).alias("n")),
-        "open",
+    Which rows are originals depends on all earlier rows; `settling` finds them in rounds whose
+    number grows with the logarithm of the longest chain. It sees one row per pair of keys, the
+    first, since no other of them can be an original. What the pair is told - the originals
+    that registered its keys - goes to all its rows in one join."""
+    return _mark_by_pairs(receipts, None, least_rows)
+
+
+def _mark_by_pairs(receipts: DataFrame, seen: DataFrame | None, least_rows: int) -> DataFrame:
+    keys = row_keys()
+    parts = [F.coalesce(F.concat(F.length(keys[k]).cast("string"), keys[k]), F.lit("-")) for k in SIDES]
+    keyed = stage(
+        receipts.withColumns(
+            {
+                "_h": keys["h"],
+                "_f": keys["f"],
+                "_pair": F.when(F.coalesce(*keys.values()).isNotNull(), F.md5(F.concat(*parts))),
+            }
+        ),
+        "keyed",
+    )
+    pairs = (
+        keyed.where("_pair is not null")
+        .groupBy(F.col("_pair").alias("pair"), F.col("_h").alias("h"), F.col("_f").alias("f"))
+        .agg(F.min("source_file").alias("first_file"), F.count(F.lit(1)).alias("n"))
     )
-    settled = []
-    while not open_rows.isEmpty():
-        judged = open_rows
-        for key in ("h", "f"):
-            firsts = _first_of_open(open_rows, key)
-            judged = join_salted(judged, firsts.drop("_size"), key, "source_file", least_rows=least_rows)
-        is_first = [
-            F.coalesce(F.col(f"first_{key}") == F.col("source_file"), F.lit(True))
-            for key in ("h", "f")
-        ]
-        judged = stage(judged.withColumn("is_original", is_first[0] & is_first[1]), "judged")
-        originals = judged.where("is_original")
-        settled.append(originals.select("source_file", "h", "f", "n_h", "n_f"))
-        rest = judged.where("not is_original").drop("first_h", "first_f", "is_original")
-        for key in ("h", "f"):
-            taken = originals.where(F.col(key).isNotNull()).select(
-                key, F.col(f"n_{key}").alias("_size"), F.lit(True).alias(f"taken_{key}")
-            )
-            rest = join_salted(rest, taken.drop("_size"), key, "source_file", least_rows=least_rows)
-        still_open = rest.where("taken_h is null and taken_f is null")
-        open_rows = stage(still_open.drop("taken_h", "taken_f"), "open")
-
-    joined = keyed
-    for key in ("h", "f"):
-        joined = _join_originals(joined, settled, key, least_rows)
+    none = F.lit(None).cast("string")
+    if seen is None:
+        told_before, fresh = None, pairs
+    else:
+        known = stage(_with_seen(stage(pairs, "pairs"), seen, least_rows), "known")
+        told_before = known.where("seen_file is not null").select("pair", none.alias("original_h"), none.alias("original_f"), "seen_file")
+        fresh = known.where("seen_file is null").drop("seen_file")
+    numbered = stage(fresh.orderBy("first_file", "pair").withColumn("row", F.monotonically_increasing_id()), "pairs")
+    blocked, _ = blocked_rows(numbered)
+    judged = stage(
+        numbered.join(blocked.withColumn("_yes", F.lit(True)), "row", "left").select(*numbered.columns, F.col("_yes").isNotNull().alias("blocked")),
+        "judged",
+    )
+    told = judged.where("blocked or n > 1").select("pair", "h", "f", "first_file")
+    for key in SIDES:
+        registered = judged.where(~F.col("blocked") & F.col(key).isNotNull())
+        facts = registered.select(key, F.col("first_file").alias(f"original_{key}"))
+        told = join_salted(told, facts, key, "first_file", least_rows=least_rows)
+    told = told.select("pair", "original_h", "original_f", none.alias("seen_file"))
+    told = stage(told if told_before is None else told.unionByName(told_before), "told")
+    joined = join_salted(keyed, told.withColumnRenamed("pair", "_pair"), "_pair", "source_file", least_rows=least_rows)
     # An original further down the list was not registered yet when this row was judged.
-    earlier = [
-        F.when(F.col(f"original_{key}") < F.col("source_file"), F.col(f"original_{key}"))
-        for key in ("h", "f")
-    ]
-    return _with_original(joined, F.coalesce(*earlier), receipts.columns)
-
-
-def _first_of_open(open_rows: DataFrame, key: str) -> DataFrame:
-    """First open file of every key. The number of all rows of a key is counted in the first
-    round, when all are open, and stays with the rows."""
-    keyed = open_rows.where(F.col(key).isNotNull()).groupBy(key)
-    first = F.min("source_file").alias(f"first_{key}")
-    if f"n_{key}" in open_rows.columns:
-        return keyed.agg(first, F.max(f"n_{key}").alias("_size"))
-    counted = keyed.agg(first, F.sum("n").alias(f"n_{key}"))
-    return counted.withColumn("_size", F.col(f"n_{key}"))
-
-
-def _join_originals(rows: DataFrame, settled: list[DataFrame], key: str, least_rows: int) -> DataFrame:
-    """Add `original_<key>`, the one original that registered the row's key."""
-    if not settled:
-        return rows.withColumn(f"original_{key}", F.lit(None).cast("string"))
-    originals = reduce(DataFrame.unionByName, settled).where(F.col(key).isNotNull())
-    facts = originals.select(
-        key, F.col("source_file").alias(f"original_{key}"), F.col(f"n_{key}").alias("_size")
+    earlier = [F.when(F.col(f"original_{key}") < F.col("source_file"), F.col(f"original_{key}")) for key in SIDES]
+    return _with_original(joined, F.coalesce("seen_file", *earlier), receipts.columns)
+
+
+def _with_seen(pairs: DataFrame, seen: DataFrame, least_rows: int) -> DataFrame:
+    """Pairs of keys with `seen_file`, the original of earlier runs: by hash, else by fields.
+    Only keys of this batch are looked up, and each gives one row, whatever repeated and late
+    runs have stored: the file of the earliest run."""
+    wanted = pairs.select(F.explode(F.array_compact(F.array(*SIDES))).alias("key")).distinct()
+    looked_up = stage(
+        seen.join(wanted, "key", "left_semi")
+        .groupBy("key")
+        .agg(F.min_by("source_file", F.struct("run_id", "source_file")).alias("file")),
+        "looked_up",
     )
-    return join_salted(rows, facts.drop("_size"), key, "source_file", least_rows=least_rows)
+    for key in SIDES:
+        facts = looked_up.select(F.col("key").alias(key), F.col("file").alias(f"seen_{key}"))
+        pairs = join_salted(pairs, facts, key, "first_file", least_rows=least_rows)
+    return pairs.withColumn("seen_file", F.coalesce("seen_h", "seen_f")).drop("seen_h", "seen_f")
 
 
 def _with_original(joined: DataFrame, original: Column, columns: list[str]) -> DataFrame:
@@ -164,33 +170,18 @@ def _with_original(joined: DataFrame, original: Column, columns: list[str]) -> D
 
 
 def across_runs(receipts: DataFrame, seen: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Mark rows whose key an earlier run has seen, then the repeats within this batch.
-
-    `seen` holds (key, source_file, run_id) of originals, several per key where a run was
-    repeated or came late. Rows keep their key in
-    a column `key` for `new_keys`."""
-    keyed = stage(receipts.withColumn("key", duplicate_key(receipts)), "keyed")
-    within = (
-        keyed.where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.min("source_file").alias("first_file"), F.count(F.lit(1)).alias("rows_of_key"))
-    )
-    # Only keys of this batch are looked up, and each gives one row, whatever repeated and late
-    # runs have stored: the file of the earliest run.
-    looked_up = (
-        seen.join(within.select("key"), "key", "left_semi")
-        .groupBy("key")
-        .agg(F.min_by("source_file", F.struct("run_id", "source_file")).alias("seen_file"))
-    )
-    facts = within.join(looked_up, "key", "left").where("rows_of_key > 1 or seen_file is not null")
-    joined = join_salted(keyed, facts.drop("rows_of_key"), "key", "source_file", least_rows=least_rows)
-    original = F.coalesce(
-        F.col("seen_file"),
-        F.when(F.col("first_file") != F.col("source_file"), F.col("first_file")),
-    )
-    return _with_original(joined, original, [*receipts.columns, "key"])
+    """Mark rows one of whose keys an earlier run has seen, then the repeats within this batch.
+
+    `seen` holds (key, source_file, run_id) of originals, a row per key, and several per key
+    where a run was repeated or came late. Both keys count, the bytes first, so that a file is
+    known again however it was read. A row that an earlier run has seen registers no key."""
+    return _mark_by_pairs(receipts, seen, least_rows)
 
 
 def new_keys(marked: DataFrame) -> DataFrame:
-    """The keys this batch adds to the seen ones: those of its originals."""
-    return marked.where("duplicate_of is null and key is not null").select("key", "source_file")
+    """The keys this batch adds to the seen ones: both of each of its originals. `main` marks
+    the fingerprint, or the hash where there is none."""
+    originals = marked.where("duplicate_of is null").withColumns(row_keys())
+    main, other = F.coalesce("f", "h"), F.when(F.col("f").isNotNull(), F.col("h"))
+    both = F.array(F.struct(main.alias("key"), F.lit(True).alias("main")), F.struct(other.alias("key"), F.lit(False).alias("main")))
+    return originals.select("source_file", F.inline(both)).where("key is not null").select("key", "source_file", "main")
