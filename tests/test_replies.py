@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,62 @@ def test_engines_are_chosen_by_name():
 
     with pytest.raises(ValueError, match="odd"):
         build_engine(Odd())
+
+
+def test_numbers_that_json_does_not_have(spark):
+    """Against Python's own reader, which takes them."""
+    rng = random.Random(3)
+    values = ["NaN", "-Infinity", "Infinity", " Infinity ", "1.5", '"NaN"', '"a, Infinity ]"', '"\\\\"', '"\\", NaN"', "-NaN", "xNaN", "null", "[NaN, 1]"]
+    texts = [
+        f'{{"vendor": {rng.choice(values)}, "note": {rng.choice(values)}, "total":{rng.choice(values)}, "line_items": [{rng.choice(values)}, {{"amount": {rng.choice(values)}}}]}}'
+        for _ in range(200)
+    ] + ["NaN", "[Infinity]", "{NaN: 1}", '{"total": NaN', '{"a": "\x01", "total": NaN}', '```json\n{"total": Infinity}```', '{"a": "' + "x\\\"" * 30_000 + '", "total": NaN}']
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    got = parsed(spark, texts)
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
+
+    def number(v):
+        try:
+            return None if v is None or isinstance(v, (list, bool)) else float(str(v))
+        except ValueError:
+            return None
+
+    for text, row in zip(texts, got, strict=True):
+        try:
+            want = json.loads(text.removeprefix("```json\n").removesuffix("```"))
+        except json.JSONDecodeError:
+            assert row.warnings == [replies.NOT_JSON], text
+            continue
+        if not isinstance(want, dict):
+            assert row.warnings == [replies.NOT_OBJECT], text
+            continue
+        assert row.warnings == []
+        assert repr(row.total) == repr(number(want.get("total"))), text
+        if not isinstance(want.get("vendor"), list):
+            assert row.vendor == (None if want.get("vendor") is None else str(want["vendor"]).strip() or None), text
+        amounts = [number(i["amount"]) for i in want.get("line_items", []) if isinstance(i, dict)]
+        assert repr([i.amount for i in row.line_items]) == repr(amounts), text
+
+
+def test_one_attempt_per_file(spark):
+    schema = "run_id long, source_file string, seq long, status int, reply string, outcome string, message string"
+    rows = [(0, f"s{i}", i, 200, "x" * 50, "done", None) for i in range(50)]
+    rows += [(0, "a", 1, 500, None, "retryable", "m"), (0, "a", 2, 200, "yes", "done", None), (0, "a", 3, 500, None, "failed", "n")]
+    rows += [(1, "a", 1, 500, None, "retryable", "m"), (1, "a", 7, 400, None, "failed", "last"), (None, "n", None, 0, None, None, None)]
+    rows += [(0, "t", 5, 200, "p", "done", None), (0, "t", 5, 200, "q", "done", None), (0, "t", 4, 200, "z", "done", None)]
+    rows += [(0, "w", 5, 200, "p", "done", None)] * 3
+    for with_ties in (rows, [r for r in rows if r[1] not in "tw"]):
+        df = spark.createDataFrame(with_ties, schema)
+        got = {(r.run_id, r.source_file): (r.seq, r.reply, r.message) for r in replies.resolve_attempts(df, "run_id", "source_file").collect()}
+        assert len(got) == replies.resolve_attempts(df, "run_id", "source_file").count()
+        assert got[0, "a"] == (2, "yes", None) and got[1, "a"] == (7, None, "last") and got[None, "n"] == (None, None, None)
+        assert got[0, "s7"][0] == 7
+        if with_ties is rows:
+            assert got[0, "t"] == (5, "q", None) and got[0, "w"] == (5, "p", None)
+
+
+def test_replies_stay_out_of_the_shuffle(spark, tmp_path):
+    rows = [(0, f"s{i}", i, 200, "x" * 50, "done", None) for i in range(50)] + [(0, "s1", 99, 200, "y", "done", None)]
+    spark.createDataFrame(rows, "run_id long, source_file string, seq long, status int, reply string, outcome string, message string").write.parquet(str(tmp_path / "a"))
+    plan = replies.resolve_attempts(spark.read.parquet(str(tmp_path / "a")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

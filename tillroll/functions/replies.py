@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ NUMBER = (
     "|inf|infinity|nan)$"
 )
 FENCE = f"(?i)^{ANY_BLANK}*```(?:json)?{ANY_BLANK}*|(?<!{ANY_BLANK}){ANY_BLANK}*```{ANY_BLANK}*\\z"
+_ESCAPE, _STRING, _MARK = r"(?s)\\.", '"[^"]*+"', "\x01"
+# Numbers that JSON does not have, and how they are spelled as text.
+_BARE = {"NaN": "nan", "-Infinity": "-inf", "Infinity": "inf"}
 _EMPTY_ERRORS = ("", "0", "false", "[]")
 
 
@@ -58,6 +63,32 @@ def without_fence(reply: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(reply, F.lit("")), F.lit(FENCE), F.lit("")))
 
 
+def _replacing(pattern: str, by: str) -> Callable[[Column], Column]:
+    return lambda part: F.regexp_replace(part, pattern, by)
+
+
+def with_spelled_numbers(text: Column) -> Column:
+    """The JSON text with the bare values NaN, Infinity and -Infinity as strings, which read as
+    the same numbers and the same text. Strings are left as they are: escapes are set aside for
+    a mark, so that a string ends at the next quote; what lies between the strings is rewritten,
+    and all is put together again. JSON has no bare control characters; a text with the mark in
+    it is no JSON and stays."""
+    masked = F.regexp_replace(text, _ESCAPE, _MARK)
+    between = F.split(masked, _STRING, -1)
+    for bare, spelled in _BARE.items():
+        pattern = f"(?:(?<=[:,\\[])|^)([ \t\r\n]*){bare}(?=[ \t\r\n]*(?:[,}}\\]]|$))"
+        between = F.transform(between, _replacing(pattern, f'$1"{spelled}"'))
+
+    def joined(parts: Column, separators: Column) -> Column:
+        pairs = F.zip_with(parts, separators, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    rewritten = joined(between, F.regexp_extract_all(masked, F.lit(_STRING), F.lit(0)))
+    restored = joined(F.split(rewritten, _MARK, -1), F.regexp_extract_all(text, F.lit(_ESCAPE), F.lit(0)))
+    concerned = F.rlike(text, F.lit("NaN|Infinity")) & ~F.contains(text, F.lit(_MARK))
+    return F.when(concerned, restored).otherwise(text)
+
+
 def parsed_json(text: Column) -> Column:
     """The JSON value of a text, null unless the whole text is one value. The parser stops
     after the first value, so the text is read as the first of two array elements; the second

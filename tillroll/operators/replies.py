@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll import schemas
@@ -10,6 +15,7 @@ from tillroll.functions import replies as r
 from tillroll.operators.extract import as_receipts, evaluate_once
 from tillroll.operators.normalize import normalize
 from tillroll.operators.skew import LEAST_ROWS, join_salted
+from tillroll.sources.shared import stage
 
 # Warning texts and scope names.
 NOT_JSON, NOT_OBJECT = "AI reply was not valid JSON", "AI reply was not a JSON object"
@@ -32,10 +38,9 @@ def _read_replies(replies: DataFrame, engine: str) -> DataFrame:
     """As `parse_replies`, with the other columns of the input kept."""
     if "content_hash" not in replies.columns:
         replies = replies.withColumn("content_hash", F.lit(None).cast("string"))
-    # Of a repeated key the last value counts; the setting is read when the plan is made.
-    replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    clean = evaluate_once(replies, _clean=r.without_fence(F.col("reply")))
-    parsed = evaluate_once(clean, _json=r.parsed_json(F.col("_clean")))
+    clean = evaluate_once(replies, _clean=r.with_spelled_numbers(r.without_fence(F.col("reply"))))
+    with _last_key_counts(replies.sparkSession):
+        parsed = evaluate_once(clean, _json=r.parsed_json(F.col("_clean")))
     value = F.when(r.is_object(F.col("_json")), F.col("_json"))
     warning = F.when(F.col("_json").isNull(), F.lit(NOT_JSON)).when(
         F.col("_object").isNull(), F.lit(NOT_OBJECT)
@@ -62,6 +67,19 @@ def _read_replies(replies: DataFrame, engine: str) -> DataFrame:
     return done.drop("_clean", "_json", "_object")
 
 
+@contextmanager
+def _last_key_counts(spark: SparkSession) -> Iterator[None]:
+    """Of a repeated key in JSON the last value counts in the columns made here. The setting is
+    read when a column is added to a table; the session's own comes back afterwards."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def classify_responses(responses: DataFrame) -> DataFrame:
     """Every attempt with its reply, outcome and message in place of the body."""
     with_reply = responses.withColumn("reply", r.reply_text(F.col("body")))
@@ -74,12 +92,32 @@ def classify_responses(responses: DataFrame) -> DataFrame:
 
 
 def resolve_attempts(attempts: DataFrame, *by: str) -> DataFrame:
-    """One row per file: its successful attempt, else the last one. Attempts are reduced
-    before the shuffle."""
+    """One row per file: its successful attempt, else the last one.
+
+    Most files are tried once. Only the keys and numbers of attempts are grouped; the files
+    with several are listed with the attempt that counts, and every attempt is judged against
+    that list where it is. Replies stay where they are as long as the list is small enough to
+    be sent around, which its written size tells; a longer list is met by key. `attempts` is
+    read twice. Of two attempts of one number the one with the larger values counts."""
     by = by or ("source_file",)
+    rank = F.struct(F.coalesce(F.col("outcome") == r.DONE, F.lit(False)).alias("done"), F.col("seq").alias("seq"))
+    ranked = stage(attempts.select(*by, rank.alias("_rank")), "ranked")
+    several = stage(
+        ranked.groupBy(*by).agg(F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"),
+        "several",
+    ).withColumnsRenamed({k: f"_{k}" for k in by})
+    same_file = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+    counts = F.col("_best").isNull() | F.col("_rank").eqNullSafe(F.col("_best"))
+    best = attempts.withColumn("_rank", rank).join(several, same_file, "left").where(counts).select(attempts.columns)
+    # Two attempts of one number leave two rows.
+    tied = ranked.join(several, same_file & F.col("_rank").eqNullSafe(F.col("_best"))).groupBy(*by).count().where("count > 1")
+    if tied.isEmpty():
+        return best
+    listed = stage(tied.select(*by, F.lit(True).alias("_tied")), "tied").withColumnsRenamed({k: f"_{k}" for k in by})
+    split = best.join(listed, same_file, "left")
     rest = [c for c in attempts.columns if c not in by]
-    best = F.max_by(F.struct(*rest), F.struct(F.col("outcome") == r.DONE, F.col("seq")))
-    return attempts.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
+    one = split.where("_tied").groupBy(*by).agg(F.max(F.struct(*rest)).alias("best")).select(*by, "best.*")
+    return split.where("_tied is null").select(*by, *rest).unionByName(one)
 
 
 def failure_scope(resolved: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
