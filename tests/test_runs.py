@@ -1,11 +1,13 @@
 """Runs, stored tables, review and reports, as a caller uses them."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from tillroll import schemas
 from tillroll.operators import extract, report, reuse, review, uploads
 from tillroll.options import Options
 from tillroll.operators.extract import read_receipts
@@ -291,3 +293,58 @@ def test_engine_of_the_callers_own(spark, texts, tmp_path):
     register_engine("shouting", lambda arrived, options: read_receipts(arrived.withColumn("text", F.upper("text")), options))
     got = extract_batch(texts({"r1": CAFE}), Options(engine="shouting")).head()
     assert got.vendor == got.vendor.upper()
+
+
+def test_first_files_by_name(spark):
+    """The n first of any rows, ties exact, found without sorting them."""
+    rng = random.Random(4)
+    for names in ([f"f{i:04d}" for i in range(700)], ["hot"] * 300 + [f"{c}{i}" for c in "az" for i in range(50)], ["x"], []):
+        rng.shuffle(names)
+        df = spark.createDataFrame([(n, "t") for n in names] + [(None, "no file")], "source_file string, text string").repartition(3)
+        for n in (0, 1, 7, len(names) - 3, len(names), len(names) + 5):
+            if n >= 0:
+                assert sorted(r.source_file for r in extract.preview(df, n).collect()) == sorted(names)[:n]
+    plan = extract.preview(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+
+
+def test_uploads_over_several_runs(spark, store):
+    def uploads(rows):
+        df = spark.createDataFrame(rows, "source_file string, arrived_at string, seq long, text string")
+        return df.withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
+
+    process_batch(uploads([("a", "2026-01-02", 1, CAFE), ("a", "2026-01-03", 2, TECH), ("b", "2026-01-02", 1, CAFE)]), store, 1, last_uploads=True)
+    process_batch(uploads([("a", "2026-01-03", 1, CAFE), ("b", "2026-01-02", 2, TECH), ("c", "2026-01-01", 1, CAFE)]), store, 2, last_uploads=True)
+    assert sorted((r.run_id, r.source_file) for r in store.read("receipts").collect()) == [(1, "a"), (1, "b"), (2, "b"), (2, "c")]
+    current = {r.source_file: (r.run_id, r.vendor) for r in store.read_current("receipts").collect()}
+    assert current == {"a": (1, "TechMart"), "b": (2, "TechMart"), "c": (2, "Corner Cafe")}
+    # Repeating a run looks at the runs before it only.
+    process_batch(uploads([("a", "2026-01-01", 1, CAFE)]), store, 1, last_uploads=True)
+    assert sorted((r.run_id, r.source_file) for r in store.read_current("receipts").collect()) == [(1, "a"), (2, "b"), (2, "c")]
+
+
+def test_known_bytes_are_marked_however_they_were_read(spark, store):
+    def arrived(rows):
+        return spark.createDataFrame(rows, "source_file string, content_hash string, text string")
+
+    process_batch(arrived([("a.txt", "h1", CAFE), ("n.txt", "h9", "")]), store, 1, across_runs=True)
+    process_batch(arrived([("b.txt", "h1", ""), ("m.txt", "h9", "")]), store, 2, across_runs=True)
+    day_first = receipt("Shop", "03/04/2026", "9.00")
+    process_batch(arrived([("c.txt", "h3", day_first)]), store, 3, across_runs=True)
+    process_batch(arrived([("d.txt", "h3", day_first), ("e.txt", "h1", TECH), ("f.txt", "h5", TECH)]), store, 4, Options(date_dayfirst=True), across_runs=True)
+    found = {r.source_file: r.duplicate_of for r in store.read("receipts").collect()}
+    assert found == {"a.txt": None, "n.txt": None, "b.txt": "a.txt", "m.txt": "n.txt", "c.txt": None, "d.txt": "c.txt", "e.txt": "a.txt", "f.txt": None}
+
+
+def test_vision_runs_use_the_cache(spark, store):
+    def responses(rows):
+        return spark.createDataFrame(rows, schemas.RESPONSES)
+
+    vision = Options(engine="ai_vision")
+    process_batch(responses([("a", "h1", 1, 200, body(vendor="V", total=5)), ("b", "h2", 2, 500, "{}")]), store, 1, vision)
+    run = process_batch(responses([("x", "h1", None, None, None), ("y", "h2", 4, 200, body(vendor="W", total=6))]), store, 2, vision).head()
+    assert (run.files_processed, run.flagged_count) == (2, 0)
+    rows = {r.source_file: (r.vendor, r.warnings) for r in store.read_run("receipts", 2).collect()}
+    assert rows == {"x": ("V", [reuse.FROM_CACHE]), "y": ("W", [])}
+    process_batch(responses([("z", "h1", 1, 200, body(vendor="Z", total=5))]), store, 3, Options(engine="ai"))
+    assert store.read_run("receipts", 3).head().vendor == "Z" and store.read("cache").count() == 2

@@ -10,6 +10,7 @@ from tillroll.functions import dates, fields, money
 from tillroll.functions.text import is_blank, lines, strip, unify
 from tillroll.operators.normalize import normalize
 from tillroll.options import Options
+from tillroll.sources.shared import stage
 
 # How a text was read, the shortest direct text worth using, warning texts.
 DIRECT, RECOGNISED, AS_TEXT = "pdf_text", "pdf_ocr", "text"
@@ -17,6 +18,8 @@ MIN_DIRECT_CHARS = 20
 UNREADABLE = "could not read any text"
 READ_VIA = "read via "
 
+PIVOTS = 64  # values drawn per pass of a selection
+
 
 def extract_receipts(texts: DataFrame, options: Options = Options()) -> DataFrame:
     """One receipt per (source_file, text). A blank text gives a row with a warning only.
@@ -136,11 +139,62 @@ def explode_items(receipts: DataFrame) -> DataFrame:
 
 
 def preview(texts: DataFrame, n: int) -> DataFrame:
-    """The first n files by name, before any work is done on them; they are dealt out again, so
-    that the work does not stay in the one task that found them."""
+    """The first n files by name, before any work is done on them.
+
+    The n-th name is found first, from names and counts alone; texts are then filtered where
+    they are, and neither sorted nor moved. If the n-th name occurs more often than there is
+    room for, any rows of it make up the number. A row without a name is no file."""
     if n < 0:
         raise ValueError("n must not be negative")
-    return texts.orderBy("source_file").limit(n).repartition("source_file")
+    if n == 0:
+        return texts.where(F.lit(False))
+    last, before, of_last = nth_smallest(stage(texts.select(F.col("source_file").alias("v")), "names"), n)
+    if of_last is None:
+        return texts.where(F.col("source_file").isNotNull())
+    if before + of_last == n:
+        return texts.where(F.col("source_file") <= last)
+    return texts.where(F.col("source_file") < last).unionByName(_some(texts.where(F.col("source_file") == last), n - before))
+
+
+def _some(rows: DataFrame, n: int) -> DataFrame:
+    """n of more rows. They are written with a number each, and the n smallest numbers found."""
+    columns = rows.columns
+    numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "ties")
+    last, _, _ = nth_smallest(numbered.select(F.col("_row").alias("v")), n)
+    return numbered.where(F.col("_row") <= last).select(columns)
+
+
+def nth_smallest(values: DataFrame, n: int, pivots: int = PIVOTS) -> tuple[object, int, int | None]:
+    """(n-th smallest value of the column `v`, number of smaller ones, number of equal ones),
+    nulls passed over; (None, 0, None) if there are fewer than n.
+
+    A few values drawn by their hash cut what is left into ranges; one pass counts each, and
+    the range that holds the n-th is looked at next. Only pivots and counts reach the driver."""
+    left = values.where("v is not null")
+    before, total = 0, left.count()
+    if total < n:
+        return None, 0, None
+    while True:
+        drawn = left.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
+        cuts = sorted({r["v"] for r in drawn})
+        counts = left.agg(
+            *[F.count(F.when(F.col("v") < c, F.lit(1))).alias(f"below_{i}") for i, c in enumerate(cuts)],
+            *[F.count(F.when(F.col("v") == c, F.lit(1))).alias(f"at_{i}") for i, c in enumerate(cuts)],
+        ).head()
+        low = high = None
+        base = before
+        for i, cut in enumerate(cuts):
+            below, at = base + counts[f"below_{i}"], counts[f"at_{i}"]
+            if below < n <= below + at:
+                return cut, below, at
+            if below + at < n:
+                low, before = cut, below + at
+            elif high is None:
+                high = cut
+        if low is not None:
+            left = left.where(F.col("v") > low)
+        if high is not None:
+            left = left.where(F.col("v") < high)
 
 
 def _no_items() -> Column:

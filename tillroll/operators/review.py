@@ -34,13 +34,18 @@ def flag_for_review(receipts: DataFrame) -> DataFrame:
     return receipts.withColumn("reason", review_reason(receipts))
 
 
+def summary_metrics() -> dict[str, Column]:
+    """What a run counts of its receipts. A failed duplicate counts as both."""
+    return {
+        "files_processed": F.count(F.lit(1)),
+        "flagged_count": F.count(F.when(F.col("reason").isNotNull(), F.lit(1))),
+        "duplicate_count": F.count(F.when(F.col("duplicate_of") != "", F.lit(1))),
+    }
+
+
 def run_summary(flagged_receipts: DataFrame, *by: str) -> DataFrame:
-    """Counts per run (or over all rows). A failed duplicate counts as both."""
-    return flagged_receipts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("files_processed"),
-        F.count_if(F.col("reason").isNotNull()).alias("flagged_count"),
-        F.count_if(F.coalesce("duplicate_of", F.lit("")) != "").alias("duplicate_count"),
-    )
+    """Counts per run (or over all rows)."""
+    return flagged_receipts.groupBy(*by).agg(*[c.alias(name) for name, c in summary_metrics().items()])
 
 
 def item_id(run_id: Column, source_file: Column) -> Column:

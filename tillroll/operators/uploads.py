@@ -53,3 +53,16 @@ def latest_upload(uploads: DataFrame) -> DataFrame:
         & F.col("seq").eqNullSafe(F.col("_last.seq"))
     )
     return uploads.join(last, same).select("source_file", *[c for c in uploads.columns if c != "source_file"])
+
+
+def not_outdated(uploads: DataFrame, stored: DataFrame) -> DataFrame:
+    """The uploads, one per name, that are later than all that earlier runs have stored of their
+    name. `stored` holds (source_file, arrived_at, seq), any number of rows per name."""
+    names = uploads.select("source_file")
+    last = (
+        stored.join(names, "source_file", "left_semi")
+        .groupBy("source_file")
+        .agg(F.max(F.struct("arrived_at", "seq")).alias("_last"))
+    )
+    later = F.col("_last").isNull() | (F.struct("arrived_at", "seq") > F.col("_last"))
+    return uploads.join(last, "source_file", "left").where(later).select(uploads.columns)

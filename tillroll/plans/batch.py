@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.replies import NO_RESPONSE
 from tillroll.operators import duplicates, reuse, review
+from tillroll.operators.duplicates import row_keys
 from tillroll.operators.extract import preview
+from tillroll.operators.uploads import latest_upload, not_outdated
 from tillroll.options import Options
 from tillroll.plans.engines import build_engine
-from tillroll.sources.shared import stage
-from tillroll.sources.store import MANUAL, ReviewStore
+from tillroll.sources.shared import stage, staging
+from tillroll.sources.store import MANUAL, ReviewStore, Run
+
+# Engines whose results are paid for, and so kept by content hash.
+CACHED_ENGINES = ("ai_vision",)
 
 
 def extract_batch(arrived: DataFrame, options: Options = Options(), limit: int | None = None) -> DataFrame:
@@ -38,26 +43,40 @@ def process_batch(
     started_at: datetime | None = None,
     across_runs: bool = False,
     origin: str = MANUAL,
+    last_uploads: bool = False,
 ) -> DataFrame:
     """Run a batch and store it under `run_id`; returns its row of `runs`.
 
-    Every step reads what the step before has written. Repeating a run id replaces the run of
+    The run's tables are published together at its end. Repeating a run id replaces the run of
     the same origin; a run id of another origin is refused.
+    If `arrived` tells when files came (`arrived_at`, `seq`), the last upload of a name counts;
+    with `last_uploads`, uploads that earlier runs have seen a later one of are passed over, and
+    `store.read_current` gives the rows of the last upload of every name.
+    The vision engine reads logged responses; bytes with a stored result reuse it.
     With `across_runs`, documents of earlier runs are known too (rule extraction only)."""
-    started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
     if across_runs and options.engine != "rule_based":
         raise ValueError("across_runs knows the keys of rule extraction only")
-    store.claim(run_id, origin)
-    if across_runs and options.deduplicate:
-        receipts = build_engine(options)(arrived, options)
-        earlier = store.read("seen_keys").where(F.col("run_id") < run_id)
-        marked = stage(duplicates.across_runs(receipts, earlier), "marked")
-        store.write_run("seen_keys", duplicates.new_keys(marked), run_id)
-        marked = marked.drop("key")
-    else:
-        marked = extract_batch(arrived, options)
-    store.write_run("receipts", review.flag_for_review(marked), run_id)
-    _store_review(store, run_id, options, started)
+    with staging(store.spark), store.run(run_id, origin) as run:
+        if {"arrived_at", "seq"} <= set(arrived.columns) and "body" not in arrived.columns:
+            arrived = latest_upload(arrived)
+            if last_uploads:
+                arrived = stage(arrived, "uploads")
+                before = store.lookup("uploads", F.col("source_file"), arrived, before=run_id)
+                arrived = stage(not_outdated(arrived, before), "uploads")
+                run.write("uploads", arrived.select("source_file", "arrived_at", "seq"))
+            arrived = arrived.drop("arrived_at", "seq")
+        if options.engine in CACHED_ENGINES:
+            files = arrived.groupBy("source_file").agg(F.max("content_hash").alias("content_hash"))
+            marked = _from_responses(files, arrived.where("seq is not null"), run, options)
+        elif across_runs and options.deduplicate:
+            receipts = build_engine(options)(arrived, options)
+            receipts = stage(receipts, "receipts")
+            earlier = store.lookup("key_index", F.explode(F.array(*row_keys().values())), receipts, before=run_id)
+            marked = stage(duplicates.across_runs(receipts, earlier), "marked")
+            run.write("key_index", duplicates.new_keys(marked))
+        else:
+            marked = extract_batch(arrived, options)
+        _write_review(marked, run, options, started_at)
     return store.read_run("runs", run_id)
 
 
@@ -74,27 +93,29 @@ def process_responses(
     stored result reuse it, the others take theirs from the log, and successes are stored.
 
     Within the run, too, a file reuses the result of an earlier file with the same bytes."""
-    started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
-    store.claim(run_id, origin)
-    cache = store.read("cache").where(F.col("run_id") < run_id)
+    with staging(store.spark), store.run(run_id, origin) as run:
+        _write_review(_from_responses(files, responses, run, options), run, options, started_at)
+    return store.read_run("runs", run_id)
+
+
+def _from_responses(files: DataFrame, responses: DataFrame, run: Run, options: Options) -> DataFrame:
+    """Marked receipts of the files, and the results the run adds to the cache. Only the cache's
+    buckets that the files' hashes fall into are read, of earlier runs."""
+    files = stage(files.select("source_file", "content_hash"), "files")
+    cache = run.store.lookup("cache", F.col("content_hash"), files, before=run.run_id)
     known = stage(reuse.reuse_cached(files, cache), "known")
     open_files = files.join(known.select("source_file"), "source_file", "left_anti")
-    logged = open_files.select("source_file", "content_hash").join(
-        responses.select("source_file", "seq", "status", "body"), "source_file", "left"
-    )
+    logged = open_files.join(responses.select("source_file", "seq", "status", "body"), "source_file", "left")
     own = stage(build_engine(options)(_unanswered(logged), options), "own")
-    stored = stage(reuse.cache_updates(own, run_id), "stored")
+    stored = stage(reuse.cache_updates(own, run.run_id), "stored")
     repeated = reuse.reuse_cached(own, stored).join(
         stored.select("content_hash", F.col("source_file").alias("first_file")), "content_hash"
     ).where("source_file > first_file").drop("first_file")
     repeated = stage(repeated, "repeated")
     first = own.join(repeated.select("source_file"), "source_file", "left_anti")
     receipts = known.unionByName(first).unionByName(repeated)
-    marked = duplicates.mark_duplicates_any(receipts) if options.deduplicate else receipts
-    store.write_run("receipts", review.flag_for_review(marked), run_id)
-    store.write_run("cache", stored.drop("run_id"), run_id)
-    _store_review(store, run_id, options, started)
-    return store.read_run("runs", run_id)
+    run.write("cache", stored.drop("run_id"))
+    return duplicates.mark_duplicates_any(receipts) if options.deduplicate else receipts
 
 
 def _unanswered(logged: DataFrame) -> DataFrame:
@@ -110,12 +131,16 @@ def _unanswered(logged: DataFrame) -> DataFrame:
     )
 
 
-def _store_review(store: ReviewStore, run_id: int, options: Options, started) -> None:
-    flagged = store.read_run("receipts", run_id)
-    store.write_run("flagged", review.flagged_items(flagged, started), run_id)
-    summary = review.run_summary(flagged).select(
-        started.alias("started_at"), "files_processed", "flagged_count", "duplicate_count",
+def _write_review(marked: DataFrame, run: Run, options: Options, started_at: datetime | None) -> None:
+    """Write receipts, review rows, summary and alert. The summary is counted while the receipts
+    are written; no other pass over them is needed for it."""
+    started = F.lit(started_at or datetime.now(timezone.utc)).cast("timestamp")
+    counts = run.write("receipts", review.flag_for_review(marked), **review.summary_metrics())
+    run.write("flagged", review.flagged_items(run.read("receipts"), started))
+    one = run.store.spark.range(1).select(
+        started.alias("started_at"),
+        *[F.lit(counts[name]).cast("bigint").alias(name) for name in review.summary_metrics()],
         F.lit(options.engine).alias("engine"),
     )
-    store.write_run("runs", summary, run_id)
-    store.write_run("alerts", review.alerts(store.read_run("runs", run_id)), run_id)
+    run.write("runs", one)
+    run.write("alerts", review.alerts(run.read("runs")))

@@ -32,6 +32,10 @@ REVIEW_LOG = "item_id string, reviewed_at timestamp"
 
 ALERTS = "text string, flagged_count bigint, run_id bigint"
 
-SEEN_KEYS = "key string, source_file string, run_id bigint"
+# Every key of every original; `main` marks one of them.
+KEY_INDEX = "key string, source_file string, main boolean, run_id bigint"
 
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+# The uploads that runs have worked on.
+UPLOADS = "source_file string, arrived_at timestamp, seq bigint, run_id bigint"

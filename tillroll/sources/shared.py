@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`. Only a session whose executors run in this very
@@ -26,5 +31,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: the plan ends here, readers take only the columns
     they need, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/tillroll/{name}-{uuid.uuid4().hex}"
+    if (staged := _staged.get()) is not None:
+        staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged within the block at its end, also if it fails. Nothing that reads
+    a staged table may be left over then. Blocks may be nested."""
+    around = _staged.set(staged := [])
+    try:
+        yield
+    finally:
+        _staged.reset(around)
+        for name in staged:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

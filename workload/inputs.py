@@ -128,6 +128,36 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("run_id", F.col("k") % 16)
 
 
+def served_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts as one run (source_file, content_hash, seq, status, body, k). Files that fail
+    come last, as the run would have stopped at a failure before its first success."""
+    k = F.col("k")
+    fails = (k % 23 == 0) | (k % 29 == 0) | (k % 31 == 0)
+    return responses(spark, sf_dir).drop("run_id").withColumns(
+        {
+            "seq": F.col("seq") + F.when(fails, F.lit(1 << 40)).otherwise(F.lit(0)),
+            "content_hash": F.md5(k.cast("string")),
+        }
+    )
+
+
+def bare_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with bare NaN and Infinity, and with their names inside strings."""
+    return spark.sql(
+        """
+        select concat('n_',lpad(cast(o_orderkey as string),20,'0'),'.png') source_file,
+          concat('{{"vendor": ', case o_orderkey%4 when 0 then 'NaN' when 1 then '"NaN, \\\\" Infinity"'
+              when 2 then '-Infinity' else '"x"' end,
+            ', "date": "Infinity", "note": [NaN, Infinity , -Infinity], "total": ',
+            format_number(o_totalprice, '0.00'), ', "currency": ',
+            case when o_orderkey%5=0 then '-NaN' when o_orderkey%5=1 then 'Infinity' else 'null' end,
+            ', "line_items": [NaN, {{"description": Infinity, "amount": 2}}]}}') reply
+        from {orders}
+        """,
+        orders=table(spark, sf_dir, "orders"),
+    )
+
+
 def mixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts whose bytes do not decide their fields, six per order, and one more per order
     that all have the same bytes and no fields."""

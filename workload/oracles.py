@@ -287,7 +287,16 @@ select l.source_file, case when outcome='done' then vendor end vendor,
 from last l join parsed using (source_file)""",
     "parse_replies": f"""{_REPLIES}
 select source_file, vendor, "date", currency, total, tax, items, description, amount, warnings,
-  false extraction_failed from parsed""",
+  false extraction_failed from parsed
+union all
+select 'n_'||lpad(cast(o_orderkey as varchar),20,'0')||'.png',
+  case when o_orderkey%5<>0 then ['nan','NaN, " Infinity','-inf','x'][o_orderkey%4+1] end,
+  case when o_orderkey%5<>0 then 'Infinity' end, case when o_orderkey%5=1 then 'inf' end,
+  case when o_orderkey%5<>0 then o_totalprice end, null,
+  case when o_orderkey%5<>0 then 1 else 0 end, case when o_orderkey%5<>0 then 'inf' end,
+  case when o_orderkey%5<>0 then 2.0 end,
+  case when o_orderkey%5=0 then 'AI reply was not valid JSON' else '' end, false
+from orders""",
     "clean_number": """
 select o_orderkey, case o_orderkey%8 when 0 then o_totalprice
   when 1 then cast(format('{:.1f}',o_totalprice) as double)
@@ -310,7 +319,41 @@ d as (select n||'_'||part source_file, case part when 'b' then n||'_a' when 'd'
 o as (select source_file, nullif(first_file, source_file) duplicate_of from d)
 select source_file, duplicate_of, 'read'||coalesce('; duplicate of '||duplicate_of,'') warnings from o""",
     "duplicates_across_runs": f"""{_TRUTH}
-select cast(case when kind='base' then 1 else 2 end as bigint) run_id, source_file, duplicate_of from t""",
+select cast(case when kind='base' then 1 else 2 end as bigint) run_id, source_file, duplicate_of from t
+union all
+select r, stem||x||'.txt', coalesce(duplicate_of, source_file)
+from t, (values (3::bigint, '_again'), (4::bigint, '_blank')) v(r, x) where kind='base'""",
+    "rerun_responses": f"""{_REPLIES},
+n as (
+  select v.run_id, p.*, d.kind from parsed p join kinds d using (k), (values (1::bigint), (2::bigint)) v(run_id)),
+w as (
+  select *, kind in ('good','retried') known, kind in ('good','retried') or (run_id=2 and kind='empty') done from n)
+select run_id, case run_id when 1 then source_file else 's_'||substr(source_file,3) end source_file,
+  case when known then vendor when done then 'late' end vendor, case when known then total end total,
+  not done extraction_failed,
+  case when known and run_id=2 then 'loaded from checkpoint (not re-sent to AI)'||case when warnings='' then '' else '; '||warnings end
+    when known then warnings when done then ''
+    else 'AI vision failed for this file — '||case
+      when kind='denied' and run_id=1 then 'HTTP 400: bad key'
+      when kind='empty' then 'HTTP 200: response contained no text'
+      when kind='down' and run_id=2 then 'no response'
+      else 'HTTP 503: no error detail returned' end end warnings
+from w""",
+    "run_with_repeated_names": f"""{_TRUTH}
+select 3::bigint run_id, source_file, vendor, total, duplicate_of from t""",
+    "stream_last_uploads": f"""{_TRUTH}
+select case when kind='base' and k%2=0 then 1 else 0 end::bigint run_id, source_file,
+  case when kind='base' and k%2=0 then 'Replaced Shop' else vendor end vendor,
+  case when kind='base' and k%2=0 then 9.99 else total end total from t""",
+    "stored_runs": f"""{_TRUTH},
+-- Within a run the first blank text is the one the others repeat.
+w as (select *, case k%3 when 0 then 5 when 1 then 7 else 8 end::bigint run_id from m where k%3<>0 or k%2=0),
+b as (select *, min(source_file) filter (blank) over (partition by run_id) first_blank from w),
+d as (select *, case when blank then nullif(first_blank, source_file) else duplicate_of end found from b)
+select run_id, source_file, found duplicate_of,
+  case when found is not null then 'duplicate_of: '||found
+       when total is null then 'no_data_extracted: '||array_to_string(warned,'; ') end reason
+from d""",
     "reuse_cached": f"""{_TRUTH},
 c as (select *, case when blank then (select max(k) from t where kind='base' and blank and k%3=1)
    when kind<>'scan' and k%3<>0 then k end stored from t)

@@ -14,9 +14,10 @@ from tillroll.functions.text import clean_text, unify
 from tillroll.operators import duplicates, extract, replies, report, reuse, review, uploads
 from tillroll.operators.normalize import TAX_OVER_TOTAL, normalize
 from tillroll.options import Options
-from tillroll.plans.batch import extract_batch
+from tillroll.plans.batch import extract_batch, process_batch
+from tillroll.sources.commits import Files
 from tillroll.sources.shared import shared_dir, stage
-from tillroll.sources.store import ReviewStore
+from tillroll.sources.store import ReviewStore, Run
 from tillroll.streaming.watch import watch
 from workload import inputs
 from workload.receipts import receipt_texts, table
@@ -309,7 +310,9 @@ def reply_receipts(spark, sf_dir):
 
 @query
 def parse_replies(spark, sf_dir):
-    rows = replies.parse_replies(inputs.replies(spark, sf_dir))
+    """Replies as models write them, and as many with numbers that JSON does not have."""
+    written = inputs.replies(spark, sf_dir).select("source_file", "reply")
+    rows = replies.parse_replies(written.unionByName(inputs.bare_replies(spark, sf_dir)))
     item = F.get("line_items", F.lit(0))
     return rows.select(
         "source_file", "vendor", "date", "currency", "total", "tax",
@@ -365,18 +368,25 @@ def mark_duplicates_any(spark, sf_dir):
 
 @query
 def duplicates_across_runs(spark, sf_dir):
-    """Base files make up the first run, copies and re-scans the second."""
+    """Base files make up the first run, copies and re-scans the second. In the third the first
+    run's bytes come again, read with days first, and in the fourth with nothing readable."""
     rows = stage(inputs.receipts(spark, sf_dir), "receipts")
     is_late = F.contains("source_file", F.lit("_copy")) | F.contains("source_file", F.lit("_scan"))
+    base = rows.where(~is_late)
     nothing = spark.createDataFrame([], "key string, source_file string, run_id bigint")
-    first = stage(duplicates.across_runs(rows.where(~is_late), nothing), "first")
+    first = stage(duplicates.across_runs(base, nothing), "first")
     seen = stage(duplicates.new_keys(first).withColumn("run_id", F.lit(1).cast("bigint")), "seen")
     # The first run once more, as when it was repeated: every key is stored twice.
     seen = seen.unionByName(seen.withColumn("run_id", F.col("run_id") + 1))
     second = duplicates.across_runs(rows.where(is_late), seen)
-    return first.withColumn("run_id", F.lit(1).cast("bigint")).unionByName(
-        second.withColumn("run_id", F.lit(2).cast("bigint"))
-    ).select("run_id", "source_file", "duplicate_of")
+    days_first = inputs.receipts(spark, sf_dir, Options(date_dayfirst=True)).where(~is_late)
+    again = F.regexp_replace("source_file", "[.]txt$", "_again.txt")
+    third = duplicates.across_runs(days_first.withColumn("source_file", again), seen)
+    none = {"vendor": F.lit(None).cast("string"), "date": F.lit(None).cast("string"), "total": F.lit(None).cast("double")}
+    blank = base.withColumns({"source_file": F.regexp_replace("source_file", "[.]txt$", "_blank.txt"), **none})
+    fourth = duplicates.across_runs(blank, seen)
+    runs = [r.select(F.lit(i).cast("bigint").alias("run_id"), "source_file", "duplicate_of") for i, r in enumerate((first, second, third, fourth), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3])
 
 
 # --- reuse of earlier results
@@ -403,6 +413,28 @@ def reuse_cached(spark, sf_dir):
     return known.select("source_file", "vendor", "total", "currency", F.col("warnings")[0].alias("warning"))
 
 
+@query
+def rerun_responses(spark, sf_dir):
+    """Two runs of logged responses. The second brings the same bytes under other names; of those
+    that failed, some are answered now, some fail again and some have no response at all."""
+    store = ReviewStore(spark, f"{_new_root(spark)}/tables")
+    logged = stage(inputs.served_responses(spark, sf_dir), "logged")
+    vision = Options(engine="ai_vision", deduplicate=False)
+    process_batch(logged, store, 1, vision)
+    second = logged.withColumn("source_file", F.regexp_replace("source_file", "^r_", "s_"))
+    denied, k = F.col("k") % 23 == 0, F.col("k")
+    empty = ~denied & (k % 19 != 0) & (k % 29 == 0)
+    answer = '{"candidates": [{"content": {"parts": [{"text": "{\\"vendor\\": \\"late\\"}"}]}}]}'
+    answered = second.where(empty).withColumns({"seq": F.lit(0).cast("bigint"), "status": F.lit(200), "body": F.lit(answer)})
+    refused = second.where(denied).withColumns({"status": F.lit(503), "body": F.lit("no json")})
+    nothing = {"seq": F.lit(None).cast("bigint"), "status": F.lit(None).cast("int"), "body": F.lit(None).cast("string")}
+    silent = second.where(~denied & ~empty).dropDuplicates(["source_file"]).withColumns(nothing)
+    process_batch(answered.unionByName(refused).unionByName(silent).drop("k"), store, 2, vision)
+    return store.read("receipts").select(
+        "run_id", "source_file", "vendor", "total", "extraction_failed", _joined("warnings")
+    )
+
+
 @query
 def pending_files(spark, sf_dir):
     return reuse.pending_files(_files(spark, sf_dir), _cache(spark, sf_dir)).select("source_file")
@@ -502,6 +534,68 @@ def alerts(spark, sf_dir):
     return review.alerts(inputs.event_runs(spark, sf_dir))
 
 
+@query
+def run_with_repeated_names(spark, sf_dir):
+    """A run in which every third name comes twice: only the last upload of it counts."""
+    store = ReviewStore(spark, f"{_new_root(spark)}/tables")
+    texts = receipt_texts(spark, sf_dir).withColumns({"seq": inputs.base_key(), "arrived_at": F.lit(inputs.CREATED_AT).cast("timestamp")})
+    early = texts.where(inputs.base_key() % 3 == 0).withColumns(
+        {"text": F.lit("unfinished"), "arrived_at": F.col("arrived_at") - F.expr("interval 1 minute")}
+    )
+    process_batch(texts.unionByName(early), store, 3)
+    return store.read("receipts").select("run_id", "source_file", "vendor", "total", "duplicate_of")
+
+
+@query
+def stream_last_uploads(spark, sf_dir):
+    """Two triggers. In the first every third name comes twice; in the second half of the base
+    files come again, and a fifth of all names with an upload that is older than the first."""
+    root, texts = _new_root(spark), receipt_texts(spark, sf_dir)
+    store, at = ReviewStore(spark, f"{root}/tables"), F.lit(inputs.CREATED_AT).cast("timestamp")
+    first = stage(texts.withColumns({"arrived_at": at, "seq": inputs.base_key()}), "first")
+
+    def upload(of, text, minutes):
+        later = F.col("arrived_at") + F.make_dt_interval(mins=F.lit(minutes))
+        return first.where(of).withColumns({"text": F.lit(text), "arrived_at": later})
+
+    is_base = ~F.contains("source_file", F.lit("_copy")) & ~F.contains("source_file", F.lit("_scan"))
+    triggers = (
+        first.unionByName(upload(inputs.base_key() % 3 == 0, "unfinished", -1)),
+        upload(is_base & (inputs.base_key() % 2 == 0), "Replaced Shop\nTOTAL  $9.99", 1).unionByName(
+            upload(inputs.base_key() % 5 == 1, "too late", -2)
+        ),
+    )
+    for arriving in triggers:
+        _arrive(arriving, f"{root}/inbox")
+        stream = spark.readStream.schema(first.schema).parquet(f"{root}/inbox")
+        watch(stream, store, f"{root}/log", once=True, last_uploads=True).awaitTermination()
+    return store.read_current("receipts").select("run_id", "source_file", "vendor", "total")
+
+
+@query
+def stored_runs(spark, sf_dir):
+    """A caller, two streams that use the same store, and writers that are cut off: one after
+    its claim, one with tables written but not published, one within the log's own entry. The
+    caller repeats its run with half of its files; the folders are merged on the way."""
+    root, texts = _new_root(spark), receipt_texts(spark, sf_dir)
+    landed = stage(texts.withColumn("wave", inputs.base_key() % 3), "waves")
+    waves = [landed.where(F.col("wave") == w).drop("wave") for w in range(3)]
+    store = ReviewStore(spark, f"{root}/tables", owner="caller", fan=2)
+    process_batch(waves[0], store, 5)
+    other = ReviewStore(spark, f"{root}/tables", owner="cut off", fan=2)
+    other.claim(6)
+    half = Run(other, 6)
+    half.write("receipts", review.flag_for_review(extract.read_receipts(waves[1])))
+    files = Files(spark, f"{root}/tables/_log")
+    stray = files._system.create(files._path(".00000000000000000003.entry.cut"), False)
+    stray.close()
+    for name, wave in (("a", waves[1]), ("b", waves[2])):
+        _arrive(wave, f"{root}/{name}")
+        _watch_once(spark, f"{root}/{name}", store, f"{root}/{name}_", texts.schema)
+    process_batch(waves[0].where(inputs.base_key() % 2 == 0), store, 5)
+    return store.read("receipts").select("run_id", "source_file", "duplicate_of", "reason")
+
+
 # --- streams
 
 
