@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tillroll.llm import bpe, chat, decontaminate, licenses, sharding, suffixes
 
@@ -149,3 +150,18 @@ def test_licenses(spark):
     assert {i: got[i].family for i in got} == dict(enumerate(lines.values()))
     assert [i for i in got if got[i].confirmed] == [i for i in got if got[i].family != "unknown"]
     assert licenses.scan(docs.where("false"), model).count() == 0
+
+
+def test_long_words_equal_tiktoken(spark):
+    """Words beyond the length from which all pairs of a rank are merged at once."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    dice = random.Random(1)
+    words = ["a" * n for n in (1, 255, 256, 257, 258, 999)] + ["ab" * 500, "aab" * 400, "x" * 20_000]
+    words += ["".join(dice.choices("abcdeé", k=n)) for n in (300, 1000, 3000)]
+    table = bpe.RankTable(ranks)
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    coded = df.select("w", bpe.encode_word(F.col("w"), table).alias("ids"))
+    for r in coded.select("*", bpe.decode_ids(F.col("ids"), table).alias("back")).collect():
+        assert r.ids == own.encode_ordinary(r.w)
+        assert bytes(r.back) == r.w.encode()

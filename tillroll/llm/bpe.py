@@ -16,11 +16,13 @@ gives no rows; other columns stay, those named like the results are replaced."""
 from __future__ import annotations
 
 import base64
-import json
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ _NO_RANK = 1 << 30
 # Ids are sent less this number, so that those of up to 65,536 tokens take two bytes.
 _SHORT = 1 << 15
 _BYTES = "ISO-8859-1"
+LONG = 256  # bytes of a word from which on all pairs of one rank are merged in a step
+LOT = 16 << 20  # bytes of texts packed at a time
+PART = 4 << 20  # bytes of texts put together at a time
+LEVEL = 6  # of compression
 
 
 @lru_cache(4)
@@ -42,71 +48,108 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value that `body` uses several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Numbers:
+    """Whole numbers as one binary literal: decimal digits of one width, read where they lie. All
+    uses in a plan share its bytes."""
+
+    def __init__(self, numbers: list[int]):
+        self.width = len(str(max(numbers)))
+        if self.width > 18:
+            raise ValueError("numbers of up to 18 digits can be read")
+        self.literal = F.lit("".join(str(n).zfill(self.width) for n in numbers).encode())
+
+    def at(self, place: Column) -> Column:
+        start = (place * self.width + 1).cast("int")
+        return F.substring(self.literal, start, F.lit(self.width)).cast("string").cast("bigint")
+
+
 class RankTable:
     """The rank map as literals. A pair of ids leads to the id of both joined, which is its
-    rank. Spark searches a literal map from its start, so the map is laid out over flat arrays
+    rank. Spark searches a literal map from its start, so the map is laid out over flat tables
     without collisions: the pairs of a bucket are moved by the bucket's offset to free slots."""
 
-    BUCKETS, SLOTS, SPREAD, RANK_BITS = 65_521, 1 << 18, 1_000_003, 20
+    BUCKETS, SLOTS, PAIR, SPREADS = 65_521, 1 << 18, 1_000_003, range(1_299_709, 1_299_809, 2)
 
     def __init__(self, ranks: dict[bytes, int]):
-        of_id = [""] * (max(ranks.values()) + 1)
+        top = max(ranks.values())
+        self.base = 10 ** len(str(top + 1))
+        pieces = [b""] * (top + 1)
         buckets: dict[int, list[tuple[int, int]]] = {}
         for token, rank in ranks.items():
-            of_id[rank] = token.decode("latin-1")
+            pieces[rank] = token
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pair = (left + 1) << 20 | right + 1
+                    pair = (left + 1) * self.PAIR + right + 1
                     buckets.setdefault(pair % self.BUCKETS, []).append((pair, rank))
+        self.spread = next(s for s in self.SPREADS if self._fits(buckets, s))
         codes, offsets = [0] * self.SLOTS, [0] * self.BUCKETS
-        free = [True] * self.SLOTS
+        free = bytearray(b"\1" * self.SLOTS)
         for bucket in sorted(buckets, key=lambda b: -len(buckets[b])):
-            at = [pair % self.SPREAD for pair, _ in buckets[bucket]]
-            if len({a % self.SLOTS for a in at}) < len(at):
-                raise ValueError("two pairs of a bucket share their slot: choose another SPREAD")
+            at = [pair % self.spread for pair, _ in buckets[bucket]]
             offset = next(d for d in range(self.SLOTS) if all(free[(a + d) % self.SLOTS] for a in at))
             offsets[bucket] = offset
             for a, (pair, rank) in zip(at, buckets[bucket], strict=True):
                 slot = (a + offset) % self.SLOTS
-                free[slot], codes[slot] = False, pair << self.RANK_BITS | rank
-        self.codes = F.from_json(F.lit(json.dumps(codes)), "array<bigint>")
-        self.offsets = F.from_json(F.lit(json.dumps(offsets)), "array<int>")
+                free[slot], codes[slot] = 0, pair * self.base + rank
+        self.codes, self.offsets = Numbers(codes), Numbers(offsets)
         self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
-        self.to_bytes = F.from_json(F.lit(json.dumps(of_id)), "array<string>")
+        longest = max(map(len, pieces)) + 1
+        starts = [0]
+        for piece in pieces:
+            starts.append(starts[-1] + len(piece))
+        self.longest, self.pieces = longest, F.lit(b"".join(pieces))
+        self.spans = Numbers([s * longest + len(p) for s, p in zip(starts, pieces)])
+
+    def _fits(self, buckets: dict[int, list[tuple[int, int]]], spread: int) -> bool:
+        """No two pairs of a bucket fall into one slot."""
+        return all(len({p % spread % self.SLOTS for p, _ in own}) == len(own) for own in buckets.values())
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The array of one keeps the code from standing twice in the plan, literals and all."""
-        pair = F.shiftleft(left.cast("bigint") + 1, 20) + right + 1
-        offset = F.get(self.offsets, (pair % self.BUCKETS).cast("int"))
-        slot = ((pair % self.SPREAD + offset) % self.SLOTS).cast("int")
-        code = F.filter(F.array(F.get(self.codes, slot)), lambda c: F.shiftright(c, self.RANK_BITS) == pair)
-        rank = F.get(code, F.lit(0)).bitwiseAND((1 << self.RANK_BITS) - 1)
-        return F.coalesce(rank.cast("int"), F.lit(_NO_RANK))
+        """_NO_RANK if there is no such pair, or no right one."""
+
+        def found(pair: Column) -> Column:
+            slot = (pair % self.spread + self.offsets.at(pair % self.BUCKETS)) % self.SLOTS
+            return _let(self.codes.at(slot), lambda code: F.when(code - code % self.base == pair * self.base, code % self.base))
+
+        pair = (left.cast("bigint") + 1) * self.PAIR + right + 1
+        return F.coalesce(_let(pair, found).cast("int"), F.lit(_NO_RANK))
+
+    def bytes_of(self, token: Column) -> Column:
+        """The bytes of an id, as characters of ISO-8859-1."""
+
+        def cut(span: Column) -> Column:
+            size = span % self.longest
+            return F.substring(self.pieces, ((span - size) / self.longest + 1).cast("int"), size.cast("int"))
+
+        return F.decode(_let(self.spans.at(token), cut), _BYTES)
 
 
 def encode_word(word: Column, table: RankTable) -> Column:
-    """array<int>: the ids of one word. The state of the fold are the ids of the parts and, for
-    each part, the rank of its pair with the next one."""
+    """array<int>: the ids of one word. The state of the fold are the ids of the parts, for each
+    part the rank of its pair with the next one, and the lowest of these ranks."""
     as_bytes = F.decode(F.encode(word, "UTF-8"), _BYTES)
     chars = F.filter(F.split(as_bytes, ""), lambda b: b != "")
     parts = F.transform(chars, lambda b: F.get(table.of_byte, F.ascii(b)))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def state_of(p: Column, r: Column) -> Column:
+        return _let(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.coalesce(F.array_min(x), F.lit(_NO_RANK)).alias("least")))
 
     def with_ranks(p: Column) -> Column:
         """A part past the end is null and so has no rank."""
-        return F.struct(p.alias("p"), F.transform(p, lambda x, i: table.rank(x, F.get(p, i + 1))).alias("r"))
+        return state_of(p, F.transform(p, lambda x, i: table.rank(x, F.get(p, i + 1))))
 
-    def merge(state: Column) -> Column:
-        """The pair with the lowest rank, the first of equals, becomes one part; only the ranks
-        of its two new pairs are looked up."""
-        p, r = state["p"], state["r"]
+    def merge_first(state: Column) -> Column:
+        """The first pair with the lowest rank becomes one part; only the ranks of its two new
+        pairs are looked up."""
+        p, r, joined = state["p"], state["r"], state["least"]
 
         def at(m: Column) -> Column:
-            joined = F.get(r, m)
-
             def new_rank(x: Column, i: Column) -> Column:
                 first = F.when(i == m, joined).otherwise(F.get(p, i))
                 second = F.when(i == m, F.get(p, m + 2)).otherwise(joined)
@@ -114,23 +157,50 @@ def encode_word(word: Column, table: RankTable) -> Column:
 
             left = F.filter(p, lambda x, i: i != m + 1)
             ranks = F.filter(r, lambda x, i: i != m + 1)
-            return F.struct(
-                F.transform(left, lambda x, i: F.when(i == m, joined).otherwise(x)).alias("p"),
-                F.transform(ranks, new_rank).alias("r"),
-            )
+            return state_of(F.transform(left, lambda x, i: F.when(i == m, joined).otherwise(x)), F.transform(ranks, new_rank))
 
-        return let(F.array_position(r, F.array_min(r)).cast("int") - 1, at)
+        return _let(F.array_position(r, joined).cast("int") - 1, at)
 
-    def step(state: Column, _: Column) -> Column:
-        return F.when(F.coalesce(F.array_min(state["r"]), F.lit(_NO_RANK)) < _NO_RANK, merge(state)).otherwise(state)
+    def merge_all(state: Column) -> Column:
+        """All pairs with the lowest rank become one part each, of overlapping ones the first. A
+        part made of them only has pairs of higher rank, so this is what merging them one by one
+        comes to, in as many steps as there are ranks."""
+        p, r, joined = state["p"], state["r"], state["least"]
+        flags = F.array_join(F.transform(r, lambda x: F.when(x == joined, "1").otherwise("0")), "")
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, let(parts, with_ranks), step, lambda s: s["p"])
+        def chosen(marks: Column) -> Column:
+            def here(i: Column) -> Column:
+                return F.substring(marks, i + 1, F.lit(1)) == F.lit(b"1")
+
+            def gone(i: Column) -> Column:
+                return (i > 0) & here(F.greatest(i, F.lit(1)) - 1)
+
+            def part(x: Column, i: Column) -> Column:
+                return F.when(gone(i), F.lit(None)).when(here(i), joined).otherwise(x)
+
+            def rank(x: Column, i: Column) -> Column:
+                after = F.when(here(i), i + 2).otherwise(i + 1)
+                first = F.when(here(i), joined).otherwise(F.get(p, i))
+                second = F.when(here(after), joined).otherwise(F.get(p, after))
+                changed = here(i) | here(after)
+                return F.when(gone(i), F.lit(None)).when(changed, table.rank(first, second)).otherwise(x)
+
+            return state_of(F.array_compact(F.transform(p, part)), F.array_compact(F.transform(r, rank)))
+
+        return _let(F.regexp_replace(flags, "11", "10").cast("binary"), chosen)
+
+    def fold(merge: Callable[[Column], Column]) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+        step = lambda state, _: F.when(state["least"] < _NO_RANK, merge(state)).otherwise(state)
+        return F.aggregate(rounds, _let(parts, with_ranks), step, lambda s: s["p"])
+
+    # Steps copy the parts. The first merge costs less a step, the second takes fewer.
+    return F.when(F.octet_length(word) > LONG, fold(merge_all)).otherwise(fold(merge_first))
 
 
 def decode_ids(ids: Column, table: RankTable) -> Column:
     """binary: the bytes of the ids, joined."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table.to_bytes, i)), ""), _BYTES)
+    return F.encode(F.array_join(F.transform(ids, table.bytes_of), ""), _BYTES)
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -138,14 +208,40 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def _decimal(lists: pa.ChunkedArray) -> list[str]:
+def _decimal(lists: pa.Array) -> pa.Array:
     """Every list of ids as decimal numbers with spaces between them."""
-    out: list[str] = []
-    for chunk in lists.chunks:
-        numbers = [str(i + _SHORT) for i in chunk.flatten().to_pylist()]
-        at = chunk.offsets.to_pylist()
-        out += [" ".join(numbers[i - at[0] : j - at[0]]) for i, j in zip(at, at[1:])]
-    return out
+    numbers = pc.cast(pc.add(pc.cast(lists.flatten(), pa.int32()), _SHORT), pa.string())
+    offsets = pc.subtract(lists.offsets, lists.offsets[0])
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, numbers), " ")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a block to (block, blob): what a task has for a block, compressed, some LOT bytes
+    of all blocks at a time."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        blocks, firsts = np.unique(rows.column("block").to_numpy(), return_index=True)
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
+        for block, a, b in zip(blocks, firsts, [*firsts[1:], rows.num_rows], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_table(rows.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > LOT:
+            yield from packed(held)
+            held, size = [], 0
+    if size:
+        yield from packed(held)
+
+
+def _unpack(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
@@ -167,14 +263,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     )
     block = block_of(F.xxhash64("text", F.col(f"_other_{others.index(id_col)}")), even_blocks(spark, n))
     # This shuffle serves both the gathering of the words and the texts themselves.
-    texts = named.withColumn("block", block).repartition(n, "block")
+    dealt = named.withColumn("block", block)
+    texts = dealt.mapInArrow(_pack, "block int, blob binary").repartition(n, "block")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = split_pattern(pattern)
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for text, block in zip(batch.column("text"), batch.column("block").to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(cut.findall(text.as_py()))
+            for blob, block in zip(batch.column("blob"), batch.column("block").to_pylist(), strict=True):
+                found = seen.setdefault(block, set())
+                for text in _unpack(blob).column("text").to_pylist():
+                    found.update(cut.findall(text))
         for block, found in seen.items():
             held = list(found)
             for i in range(0, len(held), 10_000):
@@ -191,24 +290,41 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     )
     # The decoded bytes are nearly always those of the word and then need not be sent.
     sent = written.withColumn("bytes", F.when(F.col("bytes") != F.encode("word", "UTF-8"), F.col("bytes"))).repartition(n, "block")
-    fields = [texts.schema[f"_other_{i}"] for i in range(len(others))]
+    fields = [dealt.schema[f"_other_{i}"] for i in range(len(others))]
     kind = StructType([*fields, *StructType.fromDDL(RESULTS).fields])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cut = split_pattern(pattern)
-        keys = right.column("word").to_pylist()
-        ids = dict(zip(keys, _decimal(right.column("ids")), strict=True))
-        odd = {k: b for k, b in zip(keys, right.column("bytes").to_pylist(), strict=True) if b is not None}
-        joined, counts, decoded = [], [], []
-        for text in left.column("text"):
-            pieces = cut.findall(text.as_py())
-            line = " ".join([ids[p] for p in pieces])
-            joined.append(line)
-            counts.append(line.count(" ") + 1 if line else 0)
-            decoded.append(b"".join([odd.get(p) or p.encode() for p in pieces]) if odd else "".join(pieces).encode())
-        columns = [left.column(f"_other_{i}") for i in range(len(others))]
-        columns += [pa.array(counts, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.binary())]
-        return pa.table(columns, names=[f.name for f in kind.fields])
+        known, ids = (right.column(c).combine_chunks() for c in ("word", "ids"))
+        # What a word's ids decode to is sent where it is not the word itself.
+        meant = pc.coalesce(right.column("bytes").combine_chunks(), known.cast(pa.binary()))
+        spelled, sizes = _decimal(ids), pc.list_value_length(ids).to_numpy()
+        done, held, size = [], [], 0
+        blobs = left.column("blob")
+
+        def put_together(rows: pa.Table) -> pa.Table:
+            pieces = [cut.findall(t) for t in rows.column("text").to_pylist()]
+            counts = np.array([len(p) for p in pieces], np.int64)
+            offsets = np.concatenate(([0], np.cumsum(counts)))
+            found = pa.array(itertools.chain.from_iterable(pieces), pa.string(), size=int(offsets[-1])).dictionary_encode()
+            place = pc.index_in(found.dictionary, value_set=known).take(found.indices)
+            total = np.concatenate(([0], np.cumsum(sizes[place.to_numpy()]) if len(place) else np.zeros(0, np.int64)))
+            joined, decoded = (
+                pc.binary_join(pa.ListArray.from_arrays(offsets.astype(np.int32), of.take(place)), between)
+                for of, between in ((spelled, " "), (meant, b""))
+            )
+            columns = [rows.column(f"_other_{i}") for i in range(len(others))]
+            columns += [pa.array(np.diff(total[offsets])), joined, decoded]
+            return pa.table(columns, names=[f.name for f in kind.fields])
+
+        for i, blob in enumerate(blobs):
+            held.append(_unpack(blob))
+            size += held[-1].nbytes
+            if size > PART or i == len(blobs) - 1:
+                rows, held, size = pa.concat_tables(held), [], 0
+                step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
+                done += [put_together(rows.slice(a, step)) for a in range(0, rows.num_rows, step)]
+        return pa.concat_tables(done) if done else pa.table([[]] * len(kind.fields), names=[f.name for f in kind.fields])
 
     whole = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, kind)
     return whole.select(*[F.col(f"_other_{i}").alias(c) for i, c in enumerate(others)], *added)
