@@ -1,3 +1,5 @@
+import random
+
 from tillroll.llm import decontaminate
 
 
@@ -37,3 +39,25 @@ def test_copies_of_short_items_are_found(spark):
         "What is the name of the largest sea",
     ]
     assert found(spark, texts, items) == {(0, 0): False, (1, 1): False, (2, 2): False}
+
+
+def test_shared_instructions_find_nothing(spark):
+    """300 items and 300 other documents with one instruction of 17 words."""
+    said = "Read the following question with care and then write down only the final answer without any words"
+    def words(n, seed):
+        dice = random.Random(seed)
+        return " ".join("".join(dice.choices("abcdefgh", k=6)) for _ in range(n))
+    items = [(f"q{i}", f"{said}: {words(14, i)}.") for i in range(300)]
+    docs = [(i, f"{words(20, 1000 + i)}. {said}: {words(30, 5000 + i)}.") for i in range(300)]
+    docs += [(900, f"Some text. {items[7][1]} More text."), (901, f"{said}: {words(14, 9)[:-1]}x.")]
+    benchmark = spark.createDataFrame([(int(i[1:]), t) for i, t in items], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(900, 7), (901, 9)}
+
+
+def test_equal_items_are_all_found(spark):
+    text = "The train leaves the old station at nine and reaches the harbour before noon on most days of summer."
+    benchmark = spark.createDataFrame([(i, text) for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Well. {text} Yes."), (2, text.lower()), (3, "Nothing here at all.")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(d, i) for d in (1, 2) for i in range(4)}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -165,3 +166,13 @@ def test_long_words_equal_tiktoken(spark):
     for r in coded.select("*", bpe.decode_ids(F.col("ids"), table).alias("back")).collect():
         assert r.ids == own.encode_ordinary(r.w)
         assert bytes(r.back) == r.w.encode()
+
+
+def test_cut_words_come_back():
+    cut = bpe.split_pattern(public_tokenizers.PATTERN)
+    texts = ["", "a b", "é" * 127 + " " + "x" * 254 + " " + "y" * 255 + " " + "z" * 256 + " " + "w" * 1021, "", " 中文 12"]
+    text, cuts = bpe._cut(texts, cut)
+    words, ends = bpe._words(pa.table({"text": text, "cuts": cuts}).slice(1))
+    found = [cut.findall(t) for t in texts[1:]]
+    assert words.to_pylist() == [w for f in found for w in f]
+    assert ends.tolist() == np.cumsum([0, *map(len, found)]).tolist()

@@ -37,8 +37,8 @@ _SHORT = 1 << 15
 _BYTES = "ISO-8859-1"
 LONG = 256  # bytes of a word from which on all pairs of one rank are merged in a step
 LOT = 16 << 20  # bytes of texts packed at a time
-PART = 4 << 20  # bytes of texts put together at a time
-LEVEL = 6  # of compression
+PART = 4 << 20  # bytes of texts cut or put together at a time
+LEVEL = 9  # of compression
 
 
 @lru_cache(4)
@@ -215,12 +215,33 @@ def _decimal(lists: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, numbers), " ")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(texts: list[str], cut: regex.Pattern) -> tuple[pa.Array, pa.Array]:
+    """Per text its words, joined, and their lengths: a byte each, after as many 255 as fit."""
+    found = [cut.findall(t) for t in texts]
+    ends = np.cumsum([0, *map(len, found)])
+    words = pa.array(itertools.chain.from_iterable(found), pa.string(), size=int(ends[-1]))
+    lengths = pc.binary_length(words).to_numpy()
+    last = np.concatenate(([0], np.cumsum(lengths // 255 + 1)))
+    cuts = np.full(last[-1], 255, np.uint8)
+    cuts[last[1:] - 1] = lengths % 255
+    return (
+        pc.binary_join(pa.ListArray.from_arrays(ends.astype(np.int32), words), ""),
+        pa.ListArray.from_arrays(last[ends].astype(np.int32), pa.array(cuts)),
+    )
+
+
+def _pack(pattern: str) -> Callable:
     """Rows with a block to (block, blob): what a task has for a block, compressed, some LOT bytes
-    of all blocks at a time."""
+    of all blocks at a time. Texts are cut into words here, once."""
+
+    cut = split_pattern(pattern)
 
     def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
+        parts = [_cut(rows.column("text").slice(a, step).to_pylist(), cut) for a in range(0, rows.num_rows, step)]
+        text, cuts = (pa.chunked_array(list(c)).combine_chunks() for c in zip(*parts, strict=True))
+        rows = rows.drop_columns("text").append_column("text", text).append_column("cuts", cuts)
         blocks, firsts = np.unique(rows.column("block").to_numpy(), return_index=True)
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         for block, a, b in zip(blocks, firsts, [*firsts[1:], rows.num_rows], strict=True):
@@ -229,15 +250,33 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 writer.write_table(rows.slice(a, b - a))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
 
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > LOT:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > LOT:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
             yield from packed(held)
-            held, size = [], 0
-    if size:
-        yield from packed(held)
+
+    return run
+
+
+def _words(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """(words of packed rows, one after another; where each row's end): the bytes of the texts as
+    they are, with other offsets."""
+    text, cuts = rows.column("text").combine_chunks(), rows.column("cuts").combine_chunks()
+    _, offsets, data = text.buffers()
+    flat = cuts.flatten().to_numpy()
+    last = flat < 255
+    total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
+    at = np.concatenate(([0], total[1:][last])) + np.frombuffer(offsets, np.int32)[text.offset]
+    rows_end = np.concatenate(([0], np.cumsum(pc.list_value_length(cuts).to_numpy())))
+    ends = np.concatenate(([0], np.cumsum(last)))[rows_end].astype(np.int32)
+    at = at.astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data or pa.py_buffer(b"")), ends
 
 
 def _unpack(blob: pa.Scalar) -> pa.Table:
@@ -264,21 +303,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     block = block_of(F.xxhash64("text", F.col(f"_other_{others.index(id_col)}")), even_blocks(spark, n))
     # This shuffle serves both the gathering of the words and the texts themselves.
     dealt = named.withColumn("block", block)
-    texts = dealt.mapInArrow(_pack, "block int, blob binary").repartition(n, "block")
+    texts = dealt.mapInArrow(_pack(pattern), "block int, blob binary").repartition(n, "block")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = split_pattern(pattern)
-        seen: dict[int, set[str]] = {}
+        seen: dict[int, list[pa.Array]] = {}
         for batch in batches:
             for blob, block in zip(batch.column("blob"), batch.column("block").to_pylist(), strict=True):
-                found = seen.setdefault(block, set())
-                for text in _unpack(blob).column("text").to_pylist():
-                    found.update(cut.findall(text))
+                found = seen.setdefault(block, [])
+                found.append(_words(_unpack(blob))[0].unique())
+                if sum(map(len, found[1:])) > len(found[0]):
+                    seen[block] = [pa.concat_arrays(found).unique()]
         for block, found in seen.items():
-            held = list(found)
-            for i in range(0, len(held), 10_000):
-                part = held[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int32())], ["word", "block"])
+            distinct = pa.concat_arrays(found).unique()
+            for i in range(0, len(distinct), 10_000):
+                part = distinct.slice(i, 10_000)
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block, np.int32))], ["word", "block"])
 
     gathered = texts.mapInArrow(words, "word string, block int").groupBy("word").agg(F.collect_list("block").alias("blocks"))
     encoded = gathered.select("word", "blocks", encode_word(F.col("word"), table).alias("ids"))
@@ -294,7 +333,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = StructType([*fields, *StructType.fromDDL(RESULTS).fields])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        cut = split_pattern(pattern)
         known, ids = (right.column(c).combine_chunks() for c in ("word", "ids"))
         # What a word's ids decode to is sent where it is not the word itself.
         meant = pc.coalesce(right.column("bytes").combine_chunks(), known.cast(pa.binary()))
@@ -303,14 +341,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         blobs = left.column("blob")
 
         def put_together(rows: pa.Table) -> pa.Table:
-            pieces = [cut.findall(t) for t in rows.column("text").to_pylist()]
-            counts = np.array([len(p) for p in pieces], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(counts)))
-            found = pa.array(itertools.chain.from_iterable(pieces), pa.string(), size=int(offsets[-1])).dictionary_encode()
+            found, offsets = _words(rows)
+            found = found.dictionary_encode()
             place = pc.index_in(found.dictionary, value_set=known).take(found.indices)
             total = np.concatenate(([0], np.cumsum(sizes[place.to_numpy()]) if len(place) else np.zeros(0, np.int64)))
             joined, decoded = (
-                pc.binary_join(pa.ListArray.from_arrays(offsets.astype(np.int32), of.take(place)), between)
+                pc.binary_join(pa.ListArray.from_arrays(offsets, of.take(place)), between)
                 for of, between in ((spelled, " "), (meant, b""))
             )
             columns = [rows.column(f"_other_{i}") for i in range(len(others))]
@@ -324,6 +360,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 rows, held, size = pa.concat_tables(held), [], 0
                 step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
                 done += [put_together(rows.slice(a, step)) for a in range(0, rows.num_rows, step)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(done) if done else pa.table([[]] * len(kind.fields), names=[f.name for f in kind.fields])
 
     whole = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, kind)

@@ -11,6 +11,9 @@ of a match are then compared: one filler of the item, of one type, must stand fo
 the document; two of the item's may have become one. Windows with a filler that stands for
 several are dropped, and all windows of an alignment if these are not fewer than the others.
 So an item is found if it was copied, and also if it was asked again with other numbers or names.
+Windows that many items hold, as their instructions, say little: a window weighs one by the number
+of its items, and an item is found by the average weight of as many windows as it needs. Items are
+looked for by the windows that they cannot be found without, the rarest ones, first.
 
 Document windows first pass a bit map of fixed size over the benchmark's hashes, so only likely
 matches are shuffled; what the map lets through by chance the join removes.
@@ -26,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillroll.llm.bytes import LOWER, chunks, mix, padded, run_hashes, runs, utf8
-from tillroll.operators.skew import join_salted
 from tillroll.sources.shared import stage
 
 WINDOW = 8
@@ -38,6 +41,7 @@ LEAST_WORDS = 4
 LEAST_WINDOWS = 6
 LEAST_SHARE = 2 / 3
 MAP_BITS = 24
+SLACK = 1e-9  # of sums of weights
 VERBATIM, INSIDE, ANYWHERE = 0, 1, 2
 # Words that are a unit when they follow a number.
 UNITS = (
@@ -197,6 +201,23 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _weighed(items: DataFrame) -> DataFrame:
+    """The items' windows with `weight`, one by the number of items that hold them, and per item
+    and form `item_windows`, `enough` and `needed`: the least number of windows and weight from
+    which on it is found. `telling` are the windows that no item is found without: of the
+    commonest ones together, as many are left out as weigh less than is needed."""
+    shared = items.groupBy("hash").agg(F.countDistinct("id").alias("_in"))
+    rows = items.join(shared, "hash").withColumn("weight", 1 / F.col("_in")).drop("_in")
+    form = Window.partitionBy("id", "form")
+    n = F.size(F.collect_set("pos").over(form))
+    rows = rows.withColumn("item_windows", n.cast("long"))
+    some = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.lit(LEAST_SHARE) * F.col("item_windows")))
+    rows = rows.withColumn("enough", F.when(F.col("form") == VERBATIM, F.col("item_windows")).otherwise(some))
+    needed = F.sum("weight").over(form) * F.col("enough") / F.col("item_windows")
+    commoner = F.sum("weight").over(form.orderBy("weight", "pos", "hash"))
+    return rows.withColumns({"needed": needed, "_up_to": commoner}).withColumn("telling", F.col("_up_to") >= F.col("needed") - SLACK).drop("_up_to")
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -217,17 +238,25 @@ def contaminated(
     shared = spark.sparkContext.broadcast(np.packbits(flags))
     lengths = sorted(r["length"] for r in items.where(F.col("length") < WINDOW).select("length").distinct().collect())
     found = stage(_windows(_rows(docs, id_col, text_col), shared, lengths).drop("length"), "windows")
-    per_hash = items.groupBy("hash").agg(F.collect_list(F.struct("id", "form", "pos", "fillers")).alias("_items"))
-    matched = join_salted(found, per_hash, "hash", "id").select(
-        F.col("id").alias("doc_id"), "pos", F.col("fillers").alias("doc_fillers"), F.explode("_items").alias("item")
+    weighed = stage(_weighed(items), "weighed")
+    telling = weighed.where("telling").select("hash", F.col("id").alias("item_id"))
+    candidates = stage(
+        found.select(F.col("id").alias("doc_id"), "hash").join(telling, "hash").select("doc_id", "item_id").distinct(), "candidates"
+    )
+    of_item = weighed.select(F.col("id").alias("item_id"), "hash", F.struct("form", "pos", "fillers", "weight").alias("item"))
+    matched = (
+        found.select(F.col("id").alias("doc_id"), "hash", "pos", F.col("fillers").alias("doc_fillers"))
+        .join(candidates, "doc_id")
+        .join(of_item, ["item_id", "hash"])
     )
     pair = ["doc_id", "item_id", "form", "diagonal"]
     aligned = stage(
         matched.select(
             "doc_id",
-            F.col("item.id").alias("item_id"),
+            "item_id",
             F.col("item.form").alias("form"),
             F.col("item.pos").alias("item_pos"),
+            F.col("item.weight").alias("weight"),
             (F.col("pos") - F.col("item.pos")).alias("diagonal"),
             F.filter(F.arrays_zip(F.col("doc_fillers").alias("d"), F.col("item.fillers").alias("i")), lambda z: z["i"] != "").alias("slots"),
         ),
@@ -237,7 +266,7 @@ def contaminated(
     torn = slots.groupBy(*pair, "i").count().where("count > 1").groupBy(*pair).agg(F.collect_list("i").alias("torn"))
     clean = F.col("torn").isNull() | ~F.exists("slots", lambda z: F.array_contains("torn", z["i"]))
     differs = F.exists("slots", lambda z: z["d"] != z["i"])
-    position = F.struct("item_pos", differs.alias("differs"))
+    position = F.struct("item_pos", "weight", differs.alias("differs"))
     # Clean windows count if they are more than those with a torn filler.
     alignments = (
         aligned.join(torn, pair, "left")
@@ -245,15 +274,15 @@ def contaminated(
         .agg(F.collect_set(F.when(clean, position)).alias("clean"), F.countDistinct(F.when(~clean, F.col("item_pos"))).alias("n_torn"))
         .where(F.size("clean") > F.col("n_torn"))
     )
-    sizes = items.groupBy(F.col("id").alias("_item"), F.col("form").alias("_form")).agg(F.countDistinct("pos").alias("item_windows"))
-    enough = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.lit(LEAST_SHARE) * F.col("item_windows")))
+    sizes = weighed.select(F.col("id").alias("_item"), F.col("form").alias("_form"), "item_windows", "enough", "needed").distinct()
+    by_position = alignments.select(*pair, F.explode("clean").alias("w")).groupBy("doc_id", "item_id", "form", "w.item_pos")
     return (
-        alignments.select(*pair, F.explode("clean").alias("w"))
+        by_position.agg(F.max("w.weight").alias("weight"), F.max("w.differs").alias("differs"))
         .groupBy("doc_id", "item_id", "form")
-        .agg(F.countDistinct("w.item_pos").alias("n_windows"), F.max("w.differs").alias("reworded"))
+        .agg(F.count(F.lit(1)).alias("n_windows"), F.sum("weight").alias("weight"), F.max("differs").alias("reworded"))
         .join(sizes, (F.col("item_id") == F.col("_item")) & (F.col("form") == F.col("_form")))
         .drop("_item", "_form")
-        .where(F.col("n_windows") >= F.when(F.col("form") == VERBATIM, F.col("item_windows")).otherwise(enough))
+        .where((F.col("n_windows") >= F.col("enough")) & (F.col("weight") >= F.col("needed") - SLACK))
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("n_windows", "item_windows")).alias("best"), F.max("reworded").alias("reworded"))
         .select("doc_id", "item_id", "best.n_windows", "best.item_windows", "reworded")

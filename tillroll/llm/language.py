@@ -3,7 +3,9 @@
 A text is a TF-IDF vector over hashed byte trigrams of its letters, of length one. Every
 language has several centroids (spherical k-means over its training vectors); the language of
 the nearest centroid by cosine is predicted, and a text whose nearest centroid is too far is
-rejected.
+rejected. What is too far depends on the language and on the number of trigrams, as few trigrams
+are far from every centroid: it is less than the lowest cosine of training rows, cut down to
+that number, to centroids learned from the other half of them, and never more than MIN_COSINE.
 
 Null texts and texts without a letter are `und`, score 0, rejected. With no training rows all
 texts are `und`. Rows keep their other columns; columns named like the results are replaced.
@@ -26,8 +28,10 @@ from tillroll.llm.bytes import LOWER, chunks, padded, utf8
 PER_LANGUAGE = 500
 CENTROIDS = 3
 BINS = 4096
-# Cosine below which no language is near; texts of known languages score above 0.3.
+# Cosine below which no language is near, however short the texts that were learned from.
 MIN_COSINE = 0.12
+# Numbers of trigrams with a limit of their own; in between the smaller one's holds.
+SIZES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
 UNKNOWN = "und"
 
 
@@ -37,7 +41,11 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray
     of_centroid: np.ndarray
-    min_cosine: float = MIN_COSINE
+    least: np.ndarray  # per language and size the cosine below which a text is rejected
+
+    def limits(self, centroid: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+        size = np.maximum(np.searchsorted(SIZES, trigrams, "right") - 1, 0)
+        return self.least[self.of_centroid[centroid], size]
 
 
 # Bytes that are neither ASCII letters nor part of longer characters separate words.
@@ -96,6 +104,25 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _least(counts: np.ndarray, x: np.ndarray, idf: np.ndarray, centroids: int, most: float) -> np.ndarray:
+    """The limits of one language by size, out of its rows' counts and vectors."""
+    out = np.full(len(SIZES), most)
+    dice = np.random.default_rng(len(x))
+    lowest = np.full(len(SIZES), np.inf)
+    for half in (0, 1):
+        own, other = np.arange(len(x)) % 2 == half, np.arange(len(x)) % 2 != half
+        if not own.any() or not other.any():
+            return out
+        centres = _clusters(x[other], centroids)
+        drawn = [dice.permutation(np.repeat(np.arange(BINS), row.astype(np.int64))) for row in counts[own]]
+        for s, size in enumerate(SIZES):
+            cut = [np.bincount(d[:size], minlength=BINS) for d in drawn if len(d) >= size]
+            if cut:
+                near = (_vectors(np.array(cut, np.float32), idf) @ centres.T).max(axis=1)
+                lowest[s] = min(lowest[s], near.min())
+    return np.where(np.isfinite(lowest), np.minimum(lowest, most), most)
+
+
 def fit(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -142,7 +169,7 @@ def fit(
     langs = got.column("lang").to_pylist()
     languages = sorted(set(langs))
     if not languages:
-        return LanguageModel([], np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, int))
+        return LanguageModel([], np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, int), np.zeros((0, len(SIZES))))
     dense = np.zeros((len(langs), BINS), np.float32)
     for i, (bins, counts) in enumerate(zip(got.column("bins"), got.column("counts"), strict=True)):
         dense[i, bins.values.to_numpy()] = counts.values.to_numpy()
@@ -150,10 +177,11 @@ def fit(
     x, label = _vectors(dense, idf), np.array([languages.index(lang) for lang in langs])
     # Rows gather in no fixed order; sorting them makes the clusters repeatable.
     order = np.lexsort((x @ np.arange(1, BINS + 1, dtype=np.float32), label))
-    x, label = x[order], label[order]
+    x, label, dense = x[order], label[order], dense[order]
     found = [_clusters(x[label == n], centroids) for n in range(len(languages))]
     owner = np.repeat(np.arange(len(languages)), [len(f) for f in found])
-    return LanguageModel(languages, idf, np.concatenate(found).astype(np.float32), owner, min_cosine)
+    least = np.stack([_least(dense[label == n], x[label == n], idf, centroids, min_cosine) for n in range(len(languages))])
+    return LanguageModel(languages, idf, np.concatenate(found).astype(np.float32), owner, least)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -168,14 +196,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         for batch in batches:
             data, offsets = utf8(batch.column(at))
             letters = _has_letter(data, offsets)
-            names, scores = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
+            names, scores, least = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters)), np.full(len(letters), np.inf)
             for i, j in chunks(offsets, most_rows=512) if len(model.languages) else ():
-                near = _vectors(_counts(data, offsets[i : j + 1]), model.idf) @ model.centroids.T
+                counts = _counts(data, offsets[i : j + 1])
+                near = _vectors(counts, model.idf) @ model.centroids.T
                 best = near.argmax(axis=1)
+                least[i:j] = model.limits(best, counts.sum(axis=1))
                 names[i:j] = np.array(model.languages, object)[model.of_centroid[best]]
                 scores[i:j] = np.clip(near[np.arange(j - i), best], 0, 1)
             names[~letters], scores[~letters] = UNKNOWN, 0.0
-            rejected = ~letters | (scores < model.min_cosine)
+            rejected = ~letters | (scores < least)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
                 [*batch.schema.names, *added],

@@ -5,15 +5,18 @@ as a template can reach; the latter counts if the line alone belongs to no famil
 follows, without the line, holds less of a template. Its sparse features are the words and word pairs that also occur in the
 licence templates; a multinomial logistic regression over them, trained on the templates and
 on a bounded number of other lines, gives every family and `unknown` a probability, which a
-temperature fitted on rows kept out of the training calibrates. A family is confirmed if the
-paragraph also holds enough of the words of one of its templates.
+temperature fitted on rows kept out of the training calibrates. Plain sentences and statements of
+foreign licences are `unknown`. A family is confirmed if the paragraph also holds enough of the
+words of one of its templates, among them all that tell it from other families.
 
-Lines that the model cannot give to a family are passed over: those without a word that a gram
-begins with which speaks for a family more than for `unknown`. Null and empty texts have no lines; repeated rows are kept; an empty
+What the model cannot give to a family is passed over: documents without a strong gram (see
+strong_words), and in the others lines without a word that a gram begins with which speaks for a
+family more than for `unknown`. Null and empty texts have no lines; repeated rows are kept; an empty
 table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,6 +101,43 @@ OTHERS = [
     "The state redistributed the land.",
     "licensed drivers only",
     "Our table has the rights reserved for guests.",
+    "The Apache helicopter flew over the city.",
+    "Version 3 of the software is out.",
+    "Version 2.0 of the program was released to the public in the spring.",
+    "The free software for this work may be used without charge by any person.",
+    "He got a copy of the source code and the binary from the author.",
+    "The general said that the public may use this form.",
+    "You may not go to the house without the key that is under the stone.",
+    "It is subject to change, and all of the terms are part of this work.",
+    "In this part of the world the law is made by the people and for the people.",
+    "The creative commons room is by the door, and you can use it to read.",
+    "Attribution of the work to the author is to be done by the company.",
+    "The MIT campus is by the river in the east of the city.",
+    "This is the source of the water, and these are the forms in use.",
+    "With or without the permission of the king, the people modify and copy the form.",
+    "The lesser of the two was distributed to any person on the list.",
+    "Only the owner can give the work to you under these terms.",
+    "International trade and the extent of possible use are of no concern to us.",
+    "The charge was free of error, and the program is granted to you hereby.",
+    "This project has a public list of names, dates and places.",
+    "A domain name is not the same as a public place or a redistribution.",
+]
+# How licences are stated that are none of the families.
+FOREIGN = [
+    "Licensed under the ISC License.",
+    "Released under the zlib license.",
+    "Eclipse Public License 2.0",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: ISC",
+    "Licensed under the Artistic License 2.0.",
+    "Released under the Boost Software License, version 1.0.",
+    "This work is licensed under the Open Software License, version 3.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Distributed under the Python Software Foundation License, version 2.",
+    "Released under the Unlicense.",
+    "SPDX-License-Identifier: Zlib",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
 ]
 UNKNOWN = "unknown"
 OTHER_LINES = 500
@@ -143,12 +183,45 @@ def cue_words(model: LicenseModel) -> list[str] | None:
     return sorted({g.split()[0] for g, w in model.weights.items() if any(z > w[out] - 1e-5 for i, z in enumerate(w) if i != out)})
 
 
+def strong_words(model: LicenseModel) -> list[str] | None:
+    """Words of which a document must hold one for any of its paragraphs to be given to a family;
+    None if the bias alone may do that.
+
+    For a family, a gram counts by how much more it speaks for the family than for `unknown`, and
+    a paragraph by the sum over its k grams, divided by the root of k. The weak grams are the
+    largest set, by rising weight, out of which no paragraph outweighs the bias: for every k its
+    k best do not. Any other gram is strong, and each of these has one of its words listed."""
+    out = model.families.index(UNKNOWN)
+    others = [i for i in range(len(model.families)) if i != out]
+    grams = sorted(model.weights, key=lambda g: (max(model.weights[g][i] for i in others) - model.weights[g][out], g))
+    gaps = np.array([[model.weights[g][i] - model.weights[g][out] for i in others] for g in grams]).reshape(-1, len(others))
+    needed = np.array([model.bias[out] - model.bias[i] for i in others]) - 1e-4  # weights are rounded
+
+    def weak(n: int) -> bool:
+        best = np.cumsum(-np.sort(-gaps[:n], axis=0), axis=0) / np.sqrt(np.arange(1, n + 1))[:, None]
+        return bool((needed > 0).all() and (best < needed).all())
+
+    if not weak(0):
+        return None
+    n = max(n for n in range(len(grams) + 1) if weak(n))
+    strong = [g.split() for g in grams[n:]]
+    listed = {words[0] for words in strong if len(words) == 1}
+    for words in strong:
+        if not listed & set(words):
+            listed.add(max(words, key=lambda w: (len(w), w)))
+    return sorted(listed)
+
+
 def lines(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, words, after) of the lines that may belong to a family; `after` are the
     words that follow in the paragraph, REACH at most."""
     cues = cue_words(model)
     held = lambda w: F.lit(True) if cues is None else F.arrays_overlap(w, F.array(*[F.lit(c) for c in cues]))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(F.split(F.col(text_col), "\n"), _words).alias("_all"))
+    strong = strong_words(model)
+    if strong is not None:
+        among = F.array(*[F.lit(c) for c in strong])
+        rows = rows.where(F.exists("_all", lambda w: F.arrays_overlap(w, among)))
     rows = rows.withColumn("_heads", F.transform("_all", lambda w: F.slice(w, 1, REACH)))
 
     def after(i: Column) -> Column:
@@ -168,7 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", other_l
     spark = docs.sparkSession
     families = sorted(TEMPLATES) + [UNKNOWN]
     rows = [(family, v) for family, ts in TEMPLATES.items() for t in ts for v in _variants(t)]
-    rows += [(UNKNOWN, v) for t in OTHERS for v in _variants(t)]
+    rows += [(UNKNOWN, v) for t in OTHERS + FOREIGN for v in _variants(t)]
     known = spark.createDataFrame(rows, "family string, line string")
     plain = (
         docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
@@ -261,15 +334,30 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     )
 
 
+def _plain_words(template: str) -> list[str]:
+    return re.findall(r"[^\W_]+", template.lower())
+
+
+def telling_words(family: str, template: str) -> list[str]:
+    """The template's words that no other family and no foreign licence is stated with."""
+    others = {w for f, ts in TEMPLATES.items() if f != family for t in ts for w in _plain_words(t)}
+    others |= {w for t in FOREIGN for w in _plain_words(t)}
+    return sorted(set(_plain_words(template)) - others)
+
+
 def _share(family: Column, words: Column) -> Column:
-    """The largest share of a template of the family that the words hold."""
-    share = F.lit(0.0)
+    """The largest share of a template of the family that the words hold. Without all the words
+    that tell the family from others, or without any of the template's where there are none
+    such, it is no match."""
+    known = []
     for name, templates in TEMPLATES.items():
-        share = F.when(family == name, F.greatest(*[_held(words, t) for t in templates], F.lit(0.0))).otherwise(share)
-    return share
+        for t in templates:
+            wanted = sorted(set(_plain_words(t)))
+            known.append((name, " ".join(telling_words(name, t) or wanted), " ".join(wanted)))
+    table = F.array(*[F.struct(F.lit(n).alias("family"), F.split(F.lit(t), " ").alias("telling"), F.split(F.lit(w), " ").alias("wanted")) for n, t, w in known])
 
+    def held(some: Column) -> Column:
+        return F.size(F.array_intersect(words, some)) / F.size(some)
 
-def _held(words: Column, template: str) -> Column:
-    """Share of the template's words that the paragraph holds."""
-    wanted = F.array_distinct(_words(F.lit(template)))
-    return F.size(F.array_intersect(words, wanted)) / F.size(wanted)
+    own = F.filter(table, lambda t: t["family"] == family)
+    return F.coalesce(F.array_max(F.transform(own, lambda t: F.when(held(t["telling"]) == 1, held(t["wanted"])).otherwise(0.0))), F.lit(0.0))
