@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillroll.llm.blocks import block_of, even_blocks
+from tillroll.llm.bytes import trim
 
 RESULTS = "n_tokens long, ids string, decoded binary"
 _NO_RANK = 1 << 30
@@ -36,7 +37,7 @@ _NO_RANK = 1 << 30
 _SHORT = 1 << 15
 _BYTES = "ISO-8859-1"
 LONG = 256  # bytes of a word from which on all pairs of one rank are merged in a step
-LOT = 16 << 20  # bytes of texts packed at a time
+LOT = 8 << 20  # bytes of texts packed at a time
 PART = 4 << 20  # bytes of texts cut or put together at a time
 LEVEL = 9  # of compression
 
@@ -73,30 +74,33 @@ class RankTable:
     rank. Spark searches a literal map from its start, so the map is laid out over flat tables
     without collisions: the pairs of a bucket are moved by the bucket's offset to free slots."""
 
-    BUCKETS, SLOTS, PAIR, SPREADS = 65_521, 1 << 18, 1_000_003, range(1_299_709, 1_299_809, 2)
+    BUCKETS, SLOTS, PAIR, SPREADS = 65_521, 1 << 17, 1_000_003, range(1_299_709, 1_299_909, 2)
 
     def __init__(self, ranks: dict[bytes, int]):
         top = max(ranks.values())
         self.base = 10 ** len(str(top + 1))
         pieces = [b""] * (top + 1)
-        buckets: dict[int, list[tuple[int, int]]] = {}
+        buckets: dict[int, list[tuple[int, int]]] = {}  # of (pair, code)
         for token, rank in ranks.items():
             pieces[rank] = token
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pair = (left + 1) * self.PAIR + right + 1
-                    buckets.setdefault(pair % self.BUCKETS, []).append((pair, rank))
+                    code = ((left + 1) * self.base + right + 1) * self.base + rank
+                    buckets.setdefault(pair % self.BUCKETS, []).append((pair, code))
         self.spread = next(s for s in self.SPREADS if self._fits(buckets, s))
         codes, offsets = [0] * self.SLOTS, [0] * self.BUCKETS
         free = bytearray(b"\1" * self.SLOTS)
         for bucket in sorted(buckets, key=lambda b: -len(buckets[b])):
             at = [pair % self.spread for pair, _ in buckets[bucket]]
-            offset = next(d for d in range(self.SLOTS) if all(free[(a + d) % self.SLOTS] for a in at))
+            # One pair goes to any free slot.
+            tried = ((free.index(1) - at[0]) % self.SLOTS,) if len(at) == 1 else range(self.SLOTS)
+            offset = next(d for d in tried if all(free[(a + d) % self.SLOTS] for a in at))
             offsets[bucket] = offset
-            for a, (pair, rank) in zip(at, buckets[bucket], strict=True):
+            for a, (_, code) in zip(at, buckets[bucket], strict=True):
                 slot = (a + offset) % self.SLOTS
-                free[slot], codes[slot] = 0, pair * self.base + rank
+                free[slot], codes[slot] = 0, code
         self.codes, self.offsets = Numbers(codes), Numbers(offsets)
         self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
         longest = max(map(len, pieces)) + 1
@@ -115,7 +119,8 @@ class RankTable:
 
         def found(pair: Column) -> Column:
             slot = (pair % self.spread + self.offsets.at(pair % self.BUCKETS)) % self.SLOTS
-            return _let(self.codes.at(slot), lambda code: F.when(code - code % self.base == pair * self.base, code % self.base))
+            same = ((left.cast("bigint") + 1) * self.base + right + 1) * self.base
+            return _let(self.codes.at(slot), lambda code: F.when(code - code % self.base == same, code % self.base))
 
         pair = (left.cast("bigint") + 1) * self.PAIR + right + 1
         return F.coalesce(_let(pair, found).cast("int"), F.lit(_NO_RANK))
@@ -189,13 +194,11 @@ def encode_word(word: Column, table: RankTable) -> Column:
 
         return _let(F.regexp_replace(flags, "11", "10").cast("binary"), chosen)
 
-    def fold(merge: Callable[[Column], Column]) -> Column:
-        rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        step = lambda state, _: F.when(state["least"] < _NO_RANK, merge(state)).otherwise(state)
-        return F.aggregate(rounds, _let(parts, with_ranks), step, lambda s: s["p"])
-
     # Steps copy the parts. The first merge costs less a step, the second takes fewer.
-    return F.when(F.octet_length(word) > LONG, fold(merge_all)).otherwise(fold(merge_first))
+    merged = lambda state: F.when(F.octet_length(word) > LONG, merge_all(state)).otherwise(merge_first(state))
+    step = lambda state, _: F.when(state["least"] < _NO_RANK, merged(state)).otherwise(state)
+    rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+    return F.aggregate(rounds, _let(parts, with_ranks), step, lambda s: s["p"])
 
 
 def decode_ids(ids: Column, table: RankTable) -> Column:
@@ -260,6 +263,8 @@ def _pack(pattern: str) -> Callable:
                 held, size = [], 0
         if size:
             yield from packed(held)
+        del held
+        trim()
 
     return run
 
@@ -306,6 +311,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     texts = dealt.mapInArrow(_pack(pattern), "block int, blob binary").repartition(n, "block")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         seen: dict[int, list[pa.Array]] = {}
         for batch in batches:
             for blob, block in zip(batch.column("blob"), batch.column("block").to_pylist(), strict=True):
@@ -333,6 +339,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = StructType([*fields, *StructType.fromDDL(RESULTS).fields])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         known, ids = (right.column(c).combine_chunks() for c in ("word", "ids"))
         # What a word's ids decode to is sent where it is not the word itself.
         meant = pc.coalesce(right.column("bytes").combine_chunks(), known.cast(pa.binary()))
@@ -359,8 +366,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             if size > PART or i == len(blobs) - 1:
                 rows, held, size = pa.concat_tables(held), [], 0
                 step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
-                done += [put_together(rows.slice(a, step)) for a in range(0, rows.num_rows, step)]
-        pa.default_memory_pool().release_unused()
+                for a in range(0, rows.num_rows, step):
+                    done.append(put_together(rows.slice(a, step)))
+                trim()
         return pa.concat_tables(done) if done else pa.table([[]] * len(kind.fields), names=[f.name for f in kind.fields])
 
     whole = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, kind)

@@ -5,6 +5,8 @@ over a chunk take about a hundred times its size."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +25,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
