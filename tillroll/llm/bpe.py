@@ -299,6 +299,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")
     n = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
     table = RankTable(ranks)
+    trim()
     added = ("n_tokens", "ids", "decoded")
     others = [c for c in docs.columns if c not in (text_col, *added)]
     named = docs.select(

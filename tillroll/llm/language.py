@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.llm.bytes import LOWER, chunks, padded, utf8
+from tillroll.llm.bytes import LOWER, chunks, padded, trim, utf8
 
 PER_LANGUAGE = 500
 CENTROIDS = 3
@@ -114,11 +114,12 @@ def _least(counts: np.ndarray, x: np.ndarray, idf: np.ndarray, centroids: int, m
         if not own.any() or not other.any():
             return out
         centres = _clusters(x[other], centroids)
-        drawn = [dice.permutation(np.repeat(np.arange(BINS), row.astype(np.int64))) for row in counts[own]]
+        bins = np.arange(BINS, dtype=np.int16)
+        drawn = [dice.permutation(np.repeat(bins, row.astype(np.int64)))[: SIZES[-1]] for row in counts[own]]
         for s, size in enumerate(SIZES):
-            cut = [np.bincount(d[:size], minlength=BINS) for d in drawn if len(d) >= size]
+            cut = [np.bincount(d[:size], minlength=BINS).astype(np.float32) for d in drawn if len(d) >= size]
             if cut:
-                near = (_vectors(np.array(cut, np.float32), idf) @ centres.T).max(axis=1)
+                near = (_vectors(np.array(cut), idf) @ centres.T).max(axis=1)
                 lowest[s] = min(lowest[s], near.min())
     return np.where(np.isfinite(lowest), np.minimum(lowest, most), most)
 
@@ -181,7 +182,10 @@ def fit(
     found = [_clusters(x[label == n], centroids) for n in range(len(languages))]
     owner = np.repeat(np.arange(len(languages)), [len(f) for f in found])
     least = np.stack([_least(dense[label == n], x[label == n], idf, centroids, min_cosine) for n in range(len(languages))])
-    return LanguageModel(languages, idf, np.concatenate(found).astype(np.float32), owner, least)
+    model = LanguageModel(languages, idf, np.concatenate(found).astype(np.float32), owner, least)
+    del got, dense, x
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
