@@ -59,7 +59,7 @@ def main() -> None:
         "line_items": lambda: run(extract.explode_items(extract.read_receipts(texts))),
         "mark_duplicates": lambda: run(extract_batch(texts)),
         "run_summary": lambda: run(review.run_summary(review.flag_for_review(extract_batch(texts)))),
-        "process_batch": lambda: run(process_batch(texts, ReviewStore(spark, tables), 1)),
+        "process_batch": lambda: run(process_batch(texts, ReviewStore(spark, tables, owner="bench"), 1)),
         "reply_receipts": lambda: run(replies.receipts_from_responses(resolved())),
         "mark_duplicates_any": lambda: run(duplicates.mark_duplicates_any(mixed)),
     }
