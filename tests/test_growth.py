@@ -4,8 +4,11 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tillroll.functions import money
+from tillroll.functions.dates import find_date
 from tillroll.operators import duplicates
 from tillroll.operators.extract import evaluate_once
+from tillroll.options import Options
 from workload.receipts import receipt_texts
 
 DAY = datetime.date(2026, 1, 5)
@@ -48,3 +51,23 @@ def test_keys_are_not_written_beside_the_columns_they_follow_from(spark, monkeyp
     assert marked == {"a": None, "b": "a", "c": None, "d": None}
     assert [f.name for f in written["keyed"]] == [*receipts.columns, "_pair"]
     assert written["keyed"]["_pair"].dataType.typeName() == "binary"
+
+
+def test_dates_are_searched_for_once_per_form(spark):
+    texts = ["Paid 2026-01-31 late", "31/01/2026", "on 5-6-2026", "7 Feb 2026", "x Feb 7, 2026 x", "aFeb 7, 2026", "1Feb 7, 2026", "2026-13-01 or 3/4/2025", "none", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    found = rows.select("i", find_date(F.col("text"), Options()).alias("date"))
+    dates = [r["date"] for r in found.orderBy("i").collect()]
+    assert dates == ["2026-01-31", "2026-01-31", "2026-05-06", "2026-02-07", "2026-02-07", None, None, "2025-03-04", None, None, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 5
+
+
+def test_money_is_looked_for_where_a_symbol_or_digit_stands(spark):
+    rows = spark.createDataFrame([("Tea  $ 1,234.50 x 2\nTOTAL €٣.٥\n$ none 7\n12,34.5",)], "text string")
+    found = rows.select(money.cut_lines(F.col("text"), Options()).alias("cut"), money.amounts(F.col("text"), Options()).alias("amounts"))
+    row = found.first()
+    assert row["amounts"] == [1234.5, 3.5, 34.5]
+    assert [line.split("﷓")[1:3] for line in row["cut"].split("\n") if "﷓" in line] == [["$", " 1,234.50"], ["€", "٣.٥"], ["", "34.5"]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=[") == 2
