@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import money
 from tillroll.functions.dates import find_date
-from tillroll.operators import duplicates
+from tillroll.operators import duplicates, replies
 from tillroll.operators.extract import evaluate_once
 from tillroll.options import Options
+from workload import inputs
 from workload.receipts import receipt_texts
 
 DAY = datetime.date(2026, 1, 5)
 
 
 def _tables(spark, folder):
-    spark.createDataFrame([(k, 1, 10.5, DAY) for k in (7, 11, 12)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, 1, 10.5, DAY, "1-URGENT") for k in (7, 11, 12)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
     spark.createDataFrame([(1, "Shop")], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
     spark.createDataFrame([(1, "pen")], "p_partkey long, p_name string").write.parquet(f"{folder}/part.parquet")
     spark.createDataFrame([(7, 1, 1, 1, 2.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
@@ -71,3 +72,13 @@ def test_money_is_looked_for_where_a_symbol_or_digit_stands(spark):
     assert [line.split("﷓")[1:3] for line in row["cut"].split("\n") if "﷓" in line] == [["$", " 1,234.50"], ["€", "٣.٥"], ["", "34.5"]]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=[") == 2
+
+
+def test_replies_are_parsed_once_and_searched_without_looking_back(spark):
+    rows = spark.createDataFrame([("a", '```JSON\n{"vendor": true, "total": NaN, "tax": "$1,0", "line_items": [{"description": "true", "amount": -Infinity}]}\n ```')], "source_file string, reply string")
+    found = replies.parse_replies(rows)
+    row = found.first()
+    assert (row["vendor"], repr(row["total"]), row["tax"]) == ("True", "nan", 10.0)
+    assert [tuple(i) for i in row["line_items"]] == [("true", float("-inf"))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson(") == 1 and "(?<!" not in plan

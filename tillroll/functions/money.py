@@ -53,7 +53,7 @@ def amounts(text: Column, options: Options) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({_starts(symbol)}(?:{symbol}{BLANK}*)?(?:{number}))"), F.lit(1))
     money = F.filter(found, lambda m: F.contains(m, F.lit(".")) | F.rlike(m, F.lit(symbol)))
     return F.transform(
-        money, lambda m: parse_amount(F.regexp_replace(m, F.lit(f"^{symbol}{BLANK}*"), F.lit("")))
+        money, lambda m: let(F.regexp_replace(m, F.lit(f"^{symbol}{BLANK}*"), F.lit("")), parse_amount)
     )
 
 

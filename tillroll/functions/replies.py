@@ -20,10 +20,23 @@ NUMBER = (
     f"(?i)^[+-]?(?:(?:{_DIGITS}(?:\\.(?:{_DIGITS})?)?|\\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
     "|inf|infinity|nan)$"
 )
-FENCE = f"(?i)^{ANY_BLANK}*```(?:json)?{ANY_BLANK}*|(?<!{ANY_BLANK}){ANY_BLANK}*```{ANY_BLANK}*\\z"
-_ESCAPE, _STRING, _MARK = r"(?s)\\.", '"[^"]*+"', "\x01"
-# Numbers that JSON does not have, and how they are spelled as text.
-_BARE = {"NaN": "nan", "-Infinity": "-inf", "Infinity": "inf"}
+# The blanks before a closing fence are trimmed with the rest, so no pattern looks for them.
+OPENING, CLOSING = f"(?i)^{ANY_BLANK}*```(?:json)?", f"```{ANY_BLANK}*\\z"
+# Numbers that JSON does not have. What lies between two of them is passed over in
+# one piece, strings as a whole; possessive repeats need no stack, however long the text is.
+_STRING = '"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"'
+
+
+def _bare(number: str) -> str:
+    """A value of JSON text that is spelled thus; what stands before it is group 1."""
+    space = "[ \t\r\n]*+"
+    end = f"(?={space}(?:[,}}\\]]|\\z))"
+    ungrouped = number.replace("(", "").replace(")", "")
+    passed = f"(?:[^\":,\\[]++|{_STRING}|[:,\\[](?!{space}{ungrouped}{end}))*+"
+    return f"(?s)(^{space}|\\G{passed}[:,\\[]{space}){number}{end}"
+
+
+_NAN, _INFINITY = _bare("NaN"), _bare("(-?)I(nf)(i)nity")
 _EMPTY_ERRORS = ("", "0", "false", "[]")
 
 
@@ -60,42 +73,28 @@ def call_message(status: Column, reply: Column, body: Column) -> Column:
 
 
 def without_fence(reply: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(reply, F.lit("")), F.lit(FENCE), F.lit("")))
+    opened = F.regexp_replace(F.coalesce(reply, F.lit("")), F.lit(OPENING), F.lit(""))
+    return strip(F.regexp_replace(opened, F.lit(CLOSING), F.lit("")))
 
 
-def _replacing(pattern: str, by: str) -> Callable[[Column], Column]:
-    return lambda part: F.regexp_replace(part, pattern, by)
+def with_spelled_numbers(text: Column) -> Column:
+    """The JSON text with the bare values NaN, Infinity and -Infinity as the strings nan, inf and
+    -inf, which read as the same numbers. Strings are left as they are."""
+    concerned = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+    spelled = F.regexp_replace(text, F.lit(_NAN), F.lit('$1"nan"'))
+    spelled = F.regexp_replace(spelled, F.lit(_INFINITY), F.lit('$1"$2$4$3"'))
+    return F.when(concerned, spelled).otherwise(text)
 
 
-def with_spelled_numbers(text: Column) -> Column:
-    """The JSON text with the bare values NaN, Infinity and -Infinity as strings, which read as
-    the same numbers and the same text. Strings are left as they are: escapes are set aside for
-    a mark, so that a string ends at the next quote; what lies between the strings is rewritten,
-    and all is put together again. JSON has no bare control characters; a text with the mark in
-    it is no JSON and stays."""
-    masked = F.regexp_replace(text, _ESCAPE, _MARK)
-    between = F.split(masked, _STRING, -1)
-    for bare, spelled in _BARE.items():
-        pattern = f"(?:(?<=[:,\\[])|^)([ \t\r\n]*){bare}(?=[ \t\r\n]*(?:[,}}\\]]|$))"
-        between = F.transform(between, _replacing(pattern, f'$1"{spelled}"'))
-
-    def joined(parts: Column, separators: Column) -> Column:
-        pairs = F.zip_with(parts, separators, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-        return F.array_join(pairs, "")
-
-    rewritten = joined(between, F.regexp_extract_all(masked, F.lit(_STRING), F.lit(0)))
-    restored = joined(F.split(rewritten, _MARK, -1), F.regexp_extract_all(text, F.lit(_ESCAPE), F.lit(0)))
-    concerned = F.rlike(text, F.lit("NaN|Infinity")) & ~F.contains(text, F.lit(_MARK))
-    return F.when(concerned, restored).otherwise(text)
-
-
-def parsed_json(text: Column) -> Column:
-    """The JSON value of a text, null unless the whole text is one value. The parser stops
-    after the first value, so the text is read as the first of two array elements; the second
-    only shows up where the text itself ends with its value."""
-    end = F.md5(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), end, F.lit('"]')))
-    whole = F.try_variant_get(both, "$[1]", "string") == end
+def parsed_with_end(text: Column) -> Column:
+    """The text as the first of two array elements. The parser stops after the first value of a
+    text; the second element only shows up where the text itself ends with its value."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')))
+
+
+def whole_value(both: Column, text: Column) -> Column:
+    """The JSON value of a text, out of `parsed_with_end`; null unless the whole text is one value."""
+    whole = F.try_variant_get(both, "$[1]", "string") == F.md5(text)
     return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
 
 
@@ -103,30 +102,46 @@ def is_object(value: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
 
 
-def clean_string(value: Column, path: str) -> Column:
-    """Any value as trimmed text, nothing left becomes null."""
-    as_text = F.try_variant_get(value, path, "string")
+def clean_string(value: Column, path: str, as_text: Column) -> Column:
+    """Any value as trimmed text, nothing left becomes null; `as_text` is the value at the path
+    as a string."""
+    return F.nullif(strip(_spelled(value, path, as_text)), F.lit(""))
+
+
+def _spelled(value: Column, path: str, as_text: Column) -> Column:
+    # Only these two texts may be a boolean's: no other value is asked for its kind.
     kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    spelled = F.when(kind == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
-    return F.nullif(strip(spelled), F.lit(""))
+    boolean = as_text.isin("true", "false") & (kind == "BOOLEAN")
+    return F.when(boolean, F.initcap(as_text)).otherwise(as_text)
+
+
+def bare_number(text: Column) -> Column:
+    """The text of a number without prefixes and commas."""
+    return strip(F.ltrim(F.translate(text, ",", ""), F.lit(NUMBER_PREFIX)))
+
+
+def number_of(bare: Column) -> Column:
+    """Number out of what `bare_number` leaves; anything else is null."""
+    return F.when(F.rlike(bare, F.lit(NUMBER)), F.translate(bare, "_", "").try_cast("double"))
 
 
 def clean_number(text: Column) -> Column:
     """Number out of text such as "$1,234.5"; anything else is null."""
-    bare = strip(F.ltrim(F.translate(text, ",", ""), F.lit(NUMBER_PREFIX)))
-    return let(
-        ascii_digits(bare),
-        lambda n: F.when(F.rlike(n, F.lit(NUMBER)), F.translate(n, "_", "").try_cast("double")),
-    )
+    return let(let(bare_number(text), lambda bare: ascii_digits(bare)), number_of)
 
 
 def clean_items(value: Column) -> Column:
     """The objects among the line items; a missing or malformed list gives no items."""
     items = F.try_variant_get(value, "$.line_items", "array<variant>")
+
+    def description(item: Column) -> Column:
+        as_text = F.try_variant_get(item, "$.description", "string")
+        return F.coalesce(strip(let(as_text, lambda text: _spelled(item, "$.description", text))), F.lit(""))
+
     return F.transform(
         F.filter(items, is_object),
         lambda item: F.struct(
-            F.coalesce(clean_string(item, "$.description"), F.lit("")).alias("description"),
+            description(item).alias("description"),
             clean_number(F.try_variant_get(item, "$.amount", "string")).alias("amount"),
         ),
     )

@@ -84,5 +84,8 @@ def has_letters(c: Column, n: int) -> Column:
 
 
 def ascii_digits(c: Column, without: str = "") -> Column:
-    """Digits of any script as ASCII digits; the characters of `without` are left out."""
-    return F.translate(c, _OTHER_DIGITS + without, _SAME_DIGITS)
+    """Digits of any script as ASCII digits; the characters of `without` are left out. A text of
+    one byte per character, as most are, is not looked up in the long list of digits."""
+    plain = F.translate(c, without, "") if without else c
+    is_ascii = F.octet_length(c) == F.char_length(c)
+    return F.when(is_ascii, plain).otherwise(F.translate(c, _OTHER_DIGITS + without, _SAME_DIGITS))

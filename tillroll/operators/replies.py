@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tillroll.functions import replies as r
+from tillroll.functions.text import ascii_digits
 from tillroll.operators.extract import as_receipts, evaluate_once
 from tillroll.operators.normalize import normalize
 from tillroll.operators.skew import LEAST_ROWS, join_salted
@@ -23,6 +24,8 @@ FILE_FAILED = "AI vision failed for this file — "
 NOT_RENDERED = "could not render file to an image for vision"
 SYSTEMIC, SINGLE = "systemic", "single"
 
+_STRINGS, _NUMBERS = ("vendor", "date", "currency"), ("total", "tax")
+
 
 class SystemicFailure(RuntimeError):
     """A request failed before any file of the run had succeeded."""
@@ -38,33 +41,35 @@ def _read_replies(replies: DataFrame, engine: str) -> DataFrame:
     """As `parse_replies`, with the other columns of the input kept."""
     if "content_hash" not in replies.columns:
         replies = replies.withColumn("content_hash", F.lit(None).cast("string"))
-    clean = evaluate_once(replies, _clean=r.with_spelled_numbers(r.without_fence(F.col("reply"))))
+    bare = evaluate_once(replies, _bare=r.without_fence(F.col("reply")))
+    clean = evaluate_once(bare, _clean=r.with_spelled_numbers(F.col("_bare")))
     with _last_key_counts(replies.sparkSession):
-        parsed = evaluate_once(clean, _json=r.parsed_json(F.col("_clean")))
-    value = F.when(r.is_object(F.col("_json")), F.col("_json"))
-    warning = F.when(F.col("_json").isNull(), F.lit(NOT_JSON)).when(
-        F.col("_object").isNull(), F.lit(NOT_OBJECT)
+        both = evaluate_once(clean, _both=r.parsed_with_end(F.col("_clean")))
+    parsed = evaluate_once(both, _json=r.whole_value(F.col("_both"), F.col("_clean")))
+    # Trimmed text that is one value is an object if it begins like one.
+    is_object = F.col("_json").isNotNull() & F.startswith("_clean", F.lit("{"))
+    warning = F.when(F.col("_json").isNull(), F.lit(NOT_JSON)).when(~is_object, F.lit(NOT_OBJECT))
+    # One step of a value at a time: what is used twice is a column then, and compiled.
+    found = evaluate_once(
+        evaluate_once(parsed, _warning=warning, _object=F.when(is_object, F.col("_json"))),
+        **{f"_{n}": F.try_variant_get("_object", f"$.{n}", "string") for n in (*_STRINGS, *_NUMBERS)},
     )
+    numbers = evaluate_once(found, **{f"_bare_{n}": r.bare_number(F.col(f"_{n}")) for n in _NUMBERS})
     read = evaluate_once(
-        evaluate_once(parsed, _object=value),
-        **{n: r.clean_string(F.col("_object"), f"$.{n}") for n in ("vendor", "date", "currency")},
-        **{
-            n: r.clean_number(F.try_variant_get("_object", f"$.{n}", "string"))
-            for n in ("total", "tax")
-        },
-        line_items=F.coalesce(
-            r.clean_items(F.col("_object")), F.array().cast(schemas.LINE_ITEMS)
-        ),
+        evaluate_once(numbers, **{f"_digits_{n}": ascii_digits(F.col(f"_bare_{n}")) for n in _NUMBERS}),
+        **{n: r.clean_string(F.col("_object"), f"$.{n}", F.col(f"_{n}")) for n in _STRINGS},
+        **{n: r.number_of(F.col(f"_digits_{n}")) for n in _NUMBERS},
+        line_items=F.coalesce(r.clean_items(F.col("_object")), F.array().cast(schemas.LINE_ITEMS)),
     )
     done = read.withColumns(
         {
             "engine": F.lit(engine),
-            "warnings": F.array_compact(F.array(warning)),
+            "warnings": F.array_compact(F.array("_warning")),
             "duplicate_of": F.lit(None).cast("string"),
             "extraction_failed": F.lit(False),
         }
     )
-    return done.drop("_clean", "_json", "_object")
+    return done.select(*replies.columns, *[c for c in done.columns if c not in replies.columns and not c.startswith("_")])
 
 
 @contextmanager
