@@ -82,3 +82,14 @@ def test_replies_are_parsed_once_and_searched_without_looking_back(spark):
     assert [tuple(i) for i in row["line_items"]] == [("true", float("-inf"))]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().replace("_", "").count("parsejson(") == 1 and "(?<!" not in plan
+
+
+def test_responses_are_rendered_in_one_pass_and_read_once(spark, tmp_path, monkeypatch):
+    _tables(spark, tmp_path)
+    responses = inputs.responses(spark, str(tmp_path))
+    assert sorted((r["k"], r["seq"], r["status"]) for r in responses.collect()) == [(7, 70, 200), (11, 110, 200), (12, 120, 200)]
+    plan = responses._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "Union" not in plan
+    resolved = replies.resolve_attempts(replies.classify_responses(responses), "run_id", "source_file")
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "o_orderkey" not in plan

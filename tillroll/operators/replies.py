@@ -102,11 +102,13 @@ def resolve_attempts(attempts: DataFrame, *by: str) -> DataFrame:
     Most files are tried once. Only the keys and numbers of attempts are grouped; the files
     with several are listed with the attempt that counts, and every attempt is judged against
     that list where it is. Replies stay where they are as long as the list is small enough to
-    be sent around, which its written size tells; a longer list is met by key. `attempts` is
-    read twice. Of two attempts of one number the one with the larger values counts."""
+    be sent around, which its written size tells; a longer list is met by key. `attempts` are
+    written once, as they are read several times, by columns. Of two attempts of one number the
+    one with the larger values counts."""
     by = by or ("source_file",)
+    attempts = stage(attempts, "attempts")
     rank = F.struct(F.coalesce(F.col("outcome") == r.DONE, F.lit(False)).alias("done"), F.col("seq").alias("seq"))
-    ranked = stage(attempts.select(*by, rank.alias("_rank")), "ranked")
+    ranked = attempts.select(*by, rank.alias("_rank"))
     several = stage(
         ranked.groupBy(*by).agg(F.max("_rank").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"),
         "several",

@@ -98,19 +98,16 @@ with r as ({reply}),
 good as (select k, source_file,
   to_json(named_struct('candidates', array(named_struct('content', named_struct('parts',
     array(named_struct('text', reply))))))) body from r)
-select source_file, k*10 seq, 200 status, body, k from good
-  where k%23<>0 and k%19<>0 and k%29<>0 and k%31<>0
-union all select source_file, k*10, 400, '{{"error": {{"message": "bad key", "status": "DENIED"}}}}', k
-  from good where k%23=0
-union all select source_file, k*10, 429, '{{"error": {{"status": "RESOURCE_EXHAUSTED"}}}}', k
-  from good where k%23<>0 and k%19=0
-union all select source_file, k*10+1, 200, body, k from good where k%23<>0 and k%19=0
-union all select source_file, k*10, 200, '{{"candidates": []}}', k
-  from good where k%23<>0 and k%19<>0 and k%29=0
-union all select source_file, k*10, 0, '{{"error": "network error"}}', k
-  from good where k%23<>0 and k%19<>0 and k%29<>0 and k%31=0
-union all select source_file, k*10+1, 503, 'no json', k
-  from good where k%23<>0 and k%19<>0 and k%29<>0 and k%31=0
+select source_file, inline(transform(case
+    when k%23=0 then array(named_struct('n', 0, 'status', 400, 'body', '{{"error": {{"message": "bad key", "status": "DENIED"}}}}'))
+    when k%19=0 then array(named_struct('n', 0, 'status', 429, 'body', '{{"error": {{"status": "RESOURCE_EXHAUSTED"}}}}'),
+      named_struct('n', 1, 'status', 200, 'body', body))
+    when k%29=0 then array(named_struct('n', 0, 'status', 200, 'body', '{{"candidates": []}}'))
+    when k%31=0 then array(named_struct('n', 0, 'status', 0, 'body', '{{"error": "network error"}}'),
+      named_struct('n', 1, 'status', 503, 'body', 'no json'))
+    else array(named_struct('n', 0, 'status', 200, 'body', body)) end,
+  a -> named_struct('seq', k*10+a.n, 'status', a.status, 'body', a.body))), k
+from good where k is not null
 """
 
 
