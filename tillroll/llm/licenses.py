@@ -16,7 +16,9 @@ table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,6 +145,8 @@ UNKNOWN = "unknown"
 OTHER_LINES = 500
 LEAST_PROBABILITY = 0.5
 LEAST_SHARE = 0.6
+# Slots of the table of grams, of which there are some hundreds.
+SLOTS = 4096
 
 
 @dataclass(frozen=True)
@@ -298,18 +302,26 @@ def _loss(z: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> float:
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, family, probability, template_share, confirmed) of every line that may
     belong to a family; `unknown` where no family is probable enough."""
-    table = F.create_map(*[c for v, w in model.weights.items() for c in (F.lit(v), F.array(*[F.lit(float(round(z, 6))) for z in w]))])
-    vocabulary = F.array(*[F.lit(v) for v in model.weights])
+    # The grams with their weights, by a checksum: a gram is compared with the few of its slot only.
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for v, w in model.weights.items():
+        slots[zlib.crc32(v.encode()) % SLOTS].append({"gram": v, "weights": [float(round(z, 6)) for z in w]})
+    # One literal, as JSON: a column per weight would take seconds to plan.
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<gram string, weights array<double>>>>")
     zero = F.array(*[F.lit(0.0) for _ in model.families])
     bias = F.array(*[F.lit(float(z)) for z in model.bias])
     names = F.array(*[F.lit(f) for f in model.families])
 
+    def entries(gram: Column) -> Column:
+        slot = F.get(table, (F.crc32(gram) % SLOTS).cast("int"))
+        return F.filter(slot, lambda e: e["gram"] == gram)
+
     def judged(rows: DataFrame, words: str, name: str) -> DataFrame:
         """The rows with `name`: family, probability and template_share of the words."""
-        total = F.aggregate("_known", zero, lambda acc, g: F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b))
+        total = F.aggregate("_known", zero, lambda acc, g: F.zip_with(acc, g["weights"], lambda a, b: a + b))
         norm = F.sqrt(F.greatest(F.size("_known"), F.lit(1)).cast("double"))
         logits = F.zip_with(total, bias, lambda a, b: (a / norm + b) / F.lit(model.temperature))
-        scored = rows.withColumn("_known", F.array_intersect(_grams(F.col(words)), vocabulary)).withColumn("_z", logits)
+        scored = rows.withColumn("_known", F.flatten(F.transform(_grams(F.col(words)), entries))).withColumn("_z", logits)
         scored = scored.withColumn("_p", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
         scored = scored.withColumn("_best", F.array_max(F.arrays_zip(F.col("_p").alias("p"), names.alias("family"))))
         p = F.col("_best.p") / F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
