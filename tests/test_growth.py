@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tillroll.functions import money
+from tillroll.functions import fields, money
 from tillroll.functions.dates import find_date
 from tillroll.operators import duplicates, replies
 from tillroll.operators.extract import evaluate_once
@@ -93,3 +93,12 @@ def test_responses_are_rendered_in_one_pass_and_read_once(spark, tmp_path, monke
     resolved = replies.resolve_attempts(replies.classify_responses(responses), "run_id", "source_file")
     plan = resolved._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and "o_orderkey" not in plan
+
+
+def test_plain_texts_stay_plain_while_their_money_is_found(spark):
+    rows = spark.createDataFrame([("Room 12\nTax 3 of  $4.50 Total\nGrand  €7.00 total\nTea 2  $1.25",)], "text string")
+    cut = rows.select(money.cut_lines(F.col("text"), Options()).alias("text"), fields.cut_text(F.col("text"), Options()).alias("lines"))
+    first = cut.first()["text"].split("\n")[0]
+    assert first.isascii() and first != "Room 12"
+    priced = cut.select(fields.money_lines(F.col("lines"), Options()).alias("p")).first()["p"]
+    assert [tuple(line["has"]) for line in priced] == [(True, True, False, False), (True, False, False, False), (False, False, False, False)]
