@@ -16,7 +16,7 @@ DAY = datetime.date(2026, 1, 5)
 
 
 def _tables(spark, folder):
-    spark.createDataFrame([(k, 1, 10.5, DAY, "1-URGENT") for k in (7, 11, 12)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k, 1, 10.5, DAY) for k in (7, 11, 12)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date").write.parquet(f"{folder}/orders.parquet")
     spark.createDataFrame([(1, "Shop")], "c_custkey long, c_name string").write.parquet(f"{folder}/customer.parquet")
     spark.createDataFrame([(1, "pen")], "p_partkey long, p_name string").write.parquet(f"{folder}/part.parquet")
     spark.createDataFrame([(7, 1, 1, 1, 2.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
@@ -84,8 +84,10 @@ def test_replies_are_parsed_once_and_searched_without_looking_back(spark):
     assert plan.lower().replace("_", "").count("parsejson(") == 1 and "(?<!" not in plan
 
 
-def test_responses_are_rendered_in_one_pass_and_read_once(spark, tmp_path, monkeypatch):
-    _tables(spark, tmp_path)
+def test_responses_are_rendered_in_one_pass_and_read_once(spark, tmp_path):
+    orders = [(k, 1, 10.5, DAY, "1-URGENT") for k in (7, 11, 12)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Shop")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     responses = inputs.responses(spark, str(tmp_path))
     assert sorted((r["k"], r["seq"], r["status"]) for r in responses.collect()) == [(7, 70, 200), (11, 110, 200), (12, 120, 200)]
     plan = responses._jdf.queryExecution().optimizedPlan().toString()
