@@ -20,6 +20,8 @@ import json
 import re
 import zlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -169,9 +171,21 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def _pairs(words: Column, pair) -> Column:
+    """pair(a, b) of all words and the ones after them."""
+    fewer = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, fewer), F.slice(words, 2, fewer), pair)
+
+
 def _grams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, pairs))
+    return F.array_distinct(F.concat(words, _pairs(words, lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
+def _grams_among(words: Column, among: Column) -> Column:
+    """The grams, in the same order, whose words are all in `among`."""
+    held = lambda w: F.array_contains(among, w)
+    pairs = _pairs(words, lambda a, b: F.when(held(a) & held(b), F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(F.filter(words, held), F.array_compact(pairs)))
 
 
 REACH = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) * 2
@@ -247,14 +261,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", other_l
     rows = [(family, v) for family, ts in TEMPLATES.items() for t in ts for v in _variants(t)]
     rows += [(UNKNOWN, v) for t in OTHERS + FOREIGN for v in _variants(t)]
     known = spark.createDataFrame(rows, "family string, line string")
-    plain = (
-        docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-        .where(~F.lower("line").rlike("|".join(CUES)))
-        .withColumn("h", F.xxhash64("line"))
-    )
-    # One line per hash bucket, found by its hash alone; other_lines hashes are broadcast.
+    every = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).withColumn("h", F.xxhash64("line"))
+    plain = every.where(~reduce(or_, [F.contains(F.lower("line"), F.lit(cue)) for cue in CUES]))
+    # One line per hash bucket, found by its hash alone; other_lines hashes are broadcast. Only
+    # lines without a cue have such a hash, so the others need not be told apart again.
     chosen = plain.groupBy(F.pmod("h", F.lit(other_lines))).agg(F.min("h").alias("h")).select("h")
-    others = plain.join(F.broadcast(chosen), "h", "left_semi").select(F.lit(UNKNOWN).alias("family"), "line").distinct()
+    others = every.join(F.broadcast(chosen), "h", "left_semi").select(F.lit(UNKNOWN).alias("family"), "line").distinct()
     got = [(r["family"], r["g"]) for r in known.select("family", _grams(_words(F.col("line"))).alias("g")).collect()]
     vocabulary = sorted({g for family, gs in got if family != UNKNOWN for g in gs})
     inside = F.array_intersect(_grams(_words(F.col("line"))), F.array(*[F.lit(v) for v in vocabulary]))
@@ -308,6 +320,7 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
         slots[zlib.crc32(v.encode()) % SLOTS].append({"gram": v, "weights": [float(round(z, 6)) for z in w]})
     # One literal, as JSON: a column per weight would take seconds to plan.
     table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<gram string, weights array<double>>>>")
+    vocabulary = F.split(F.lit(" ".join(sorted({word for v in model.weights for word in v.split()}))), " ")
     zero = F.array(*[F.lit(0.0) for _ in model.families])
     bias = F.array(*[F.lit(float(z)) for z in model.bias])
     names = F.array(*[F.lit(f) for f in model.families])
@@ -321,13 +334,16 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
         total = F.aggregate("_known", zero, lambda acc, g: F.zip_with(acc, g["weights"], lambda a, b: a + b))
         norm = F.sqrt(F.greatest(F.size("_known"), F.lit(1)).cast("double"))
         logits = F.zip_with(total, bias, lambda a, b: (a / norm + b) / F.lit(model.temperature))
-        scored = rows.withColumn("_known", F.flatten(F.transform(_grams(F.col(words)), entries))).withColumn("_z", logits)
+        # Most words are in no gram; those that are, once a line, decide which pairs are built.
+        known = F.transform(_grams_among(F.col(words), F.col("_among")), entries)
+        scored = rows.withColumn("_among", F.array_intersect(vocabulary, F.col(words)))
+        scored = scored.withColumn("_known", F.flatten(known)).withColumn("_z", logits)
         scored = scored.withColumn("_p", F.transform("_z", lambda v: F.exp(v - F.array_max("_z"))))
         scored = scored.withColumn("_best", F.array_max(F.arrays_zip(F.col("_p").alias("p"), names.alias("family"))))
         p = F.col("_best.p") / F.aggregate("_p", F.lit(0.0), lambda a, b: a + b)
         named = F.when(p >= LEAST_PROBABILITY, F.col("_best.family")).otherwise(F.lit(UNKNOWN))
         out = F.struct(named.alias("family"), p.alias("probability"), _share(F.col("_best.family"), F.col(words)).alias("template_share"))
-        return scored.withColumn(name, out).drop("_known", "_z", "_p", "_best")
+        return scored.withColumn(name, out).drop("_among", "_known", "_z", "_p", "_best")
 
     rows = judged(lines(docs, model, id_col, text_col), "words", "line")
     # Only lines of no family are read on, by the words of the line and those after it.
