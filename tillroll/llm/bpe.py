@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ _BYTES = "ISO-8859-1"
 LONG = 256  # bytes of a word from which on all pairs of one rank are merged in a step
 LOT = 8 << 20  # bytes of texts packed at a time
 PART = 4 << 20  # bytes of texts cut or put together at a time
-LEVEL = 9  # of compression
+LEVEL = 6  # of compression
 
 
 @lru_cache(4)
@@ -103,6 +104,10 @@ class RankTable:
                 free[slot], codes[slot] = 0, code
         self.codes, self.offsets = Numbers(codes), Numbers(offsets)
         self.of_byte = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+        # Words start as bytes, whose pairs are numbered without gaps.
+        self.none = max(top + 1, 1)
+        pairs = (bytes([a, b]) for a in range(256) for b in range(256))
+        self.of_pair = Numbers([self.none, *(ranks.get(pair, self.none) for pair in pairs)])
         longest = max(map(len, pieces)) + 1
         starts = [0]
         for piece in pieces:
@@ -125,6 +130,11 @@ class RankTable:
         pair = (left.cast("bigint") + 1) * self.PAIR + right + 1
         return F.coalesce(_let(pair, found).cast("int"), F.lit(_NO_RANK))
 
+    def byte_rank(self, left: Column, right: Column) -> Column:
+        """The rank of two bytes; _NO_RANK as above."""
+        found = self.of_pair.at(F.coalesce(left * 256 + right + 1, F.lit(0)))
+        return _let(found.cast("int"), lambda rank: F.when(rank < self.none, rank).otherwise(F.lit(_NO_RANK)))
+
     def bytes_of(self, token: Column) -> Column:
         """The bytes of an id, as characters of ISO-8859-1."""
 
@@ -140,14 +150,15 @@ def encode_word(word: Column, table: RankTable) -> Column:
     part the rank of its pair with the next one, and the lowest of these ranks."""
     as_bytes = F.decode(F.encode(word, "UTF-8"), _BYTES)
     chars = F.filter(F.split(as_bytes, ""), lambda b: b != "")
-    parts = F.transform(chars, lambda b: F.get(table.of_byte, F.ascii(b)))
+    spelled = F.transform(chars, F.ascii)
 
     def state_of(p: Column, r: Column) -> Column:
         return _let(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.coalesce(F.array_min(x), F.lit(_NO_RANK)).alias("least")))
 
-    def with_ranks(p: Column) -> Column:
+    def with_ranks(b: Column) -> Column:
         """A part past the end is null and so has no rank."""
-        return state_of(p, F.transform(p, lambda x, i: table.rank(x, F.get(p, i + 1))))
+        parts = F.transform(b, lambda x: F.get(table.of_byte, x))
+        return state_of(parts, F.transform(b, lambda x, i: table.byte_rank(x, F.get(b, i + 1))))
 
     def merge_first(state: Column) -> Column:
         """The first pair with the lowest rank becomes one part; only the ranks of its two new
@@ -155,14 +166,12 @@ def encode_word(word: Column, table: RankTable) -> Column:
         p, r, joined = state["p"], state["r"], state["least"]
 
         def at(m: Column) -> Column:
-            def new_rank(x: Column, i: Column) -> Column:
-                first = F.when(i == m, joined).otherwise(F.get(p, i))
-                second = F.when(i == m, F.get(p, m + 2)).otherwise(joined)
-                return F.when((i == m) | (i == m - 1), table.rank(first, second)).otherwise(x)
-
-            left = F.filter(p, lambda x, i: i != m + 1)
-            ranks = F.filter(r, lambda x, i: i != m + 1)
-            return state_of(F.transform(left, lambda x, i: F.when(i == m, joined).otherwise(x)), F.transform(ranks, new_rank))
+            # The parts and ranks before and after the pair are copied as they are.
+            rest = F.size(p)
+            parts = F.concat(F.slice(p, F.lit(1), m), F.array(joined), F.slice(p, m + 3, rest))
+            before = F.when(m > 0, F.array(table.rank(F.get(p, m - 1), joined))).otherwise(F.array().cast("array<int>"))
+            kept = F.slice(r, F.lit(1), F.greatest(m - 1, F.lit(0)))
+            return state_of(parts, F.concat(kept, before, F.array(table.rank(joined, F.get(p, m + 2))), F.slice(r, m + 3, rest)))
 
         return _let(F.array_position(r, joined).cast("int") - 1, at)
 
@@ -198,7 +207,7 @@ def encode_word(word: Column, table: RankTable) -> Column:
     merged = lambda state: F.when(F.octet_length(word) > LONG, merge_all(state)).otherwise(merge_first(state))
     step = lambda state, _: F.when(state["least"] < _NO_RANK, merged(state)).otherwise(state)
     rounds = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    return F.aggregate(rounds, _let(parts, with_ranks), step, lambda s: s["p"])
+    return F.aggregate(rounds, _let(spelled, with_ranks), step, lambda s: s["p"])
 
 
 def decode_ids(ids: Column, table: RankTable) -> Column:
@@ -211,6 +220,46 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def _escaped(char: str) -> str:
+    return f"\\U{ord(char):08x}"
+
+
+@lru_cache(4)
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    r"""split_pattern() for texts of the first 65,536 code points, for `re`, which is twice as fast:
+    \p{L}, \p{N} and blanks are spelled out. None if the pattern has other classes or options."""
+    first = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    # White_Space first: what is neither letter nor number ends in it most often.
+    spelled = {c: "".join(f"{_escaped(r[0])}-{_escaped(r[-1])}" for r in regex.findall(f"{c}+", first)) for c in (r"\p{White_Space}", r"\p{L}", r"\p{N}")}
+    short = {r"\s": spelled[r"\p{White_Space}"], r"\p{L}": spelled[r"\p{L}"], r"\p{N}": spelled[r"\p{N}"]}
+    out, inside = [], False
+    for piece in re.findall(r"\\p\{\w+\}|\\.|\(\?!|\(\?.|.", pattern, re.DOTALL):
+        if piece in short:
+            out.append(short[piece] if inside else f"[{short[piece]}]")
+        elif piece == r"\S" and not inside:
+            out.append(f"[^{short[chr(92) + 's']}]")
+        elif len(piece) > 1 and piece != "(?!" or inside and piece in "[&~|-":
+            return None
+        else:
+            inside = piece == "[" or inside and piece != "]"
+            out.append(piece)
+    return re.compile("".join(out))
+
+
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """text -> its matches of the pattern."""
+    whole, plain = split_pattern(pattern), plain_pattern(pattern)
+    if plain is None or plain.groups:
+        return whole.findall
+
+    def cut(text: str) -> list[str]:
+        # Code points beyond the first 65,536 take four bytes here.
+        low = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return (plain if low else whole).findall(text)
+
+    return cut
+
+
 def _decimal(lists: pa.Array) -> pa.Array:
     """Every list of ids as decimal numbers with spaces between them."""
     numbers = pc.cast(pc.add(pc.cast(lists.flatten(), pa.int32()), _SHORT), pa.string())
@@ -218,9 +267,9 @@ def _decimal(lists: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, numbers), " ")
 
 
-def _cut(texts: list[str], cut: regex.Pattern) -> tuple[pa.Array, pa.Array]:
+def _cut(texts: list[str], cut: Callable[[str], list[str]]) -> tuple[pa.Array, pa.Array]:
     """Per text its words, joined, and their lengths: a byte each, after as many 255 as fit."""
-    found = [cut.findall(t) for t in texts]
+    found = [cut(t) for t in texts]
     ends = np.cumsum([0, *map(len, found)])
     words = pa.array(itertools.chain.from_iterable(found), pa.string(), size=int(ends[-1]))
     lengths = pc.binary_length(words).to_numpy()
@@ -237,9 +286,7 @@ def _pack(pattern: str) -> Callable:
     """Rows with a block to (block, blob): what a task has for a block, compressed, some LOT bytes
     of all blocks at a time. Texts are cut into words here, once."""
 
-    cut = split_pattern(pattern)
-
-    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
         step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
         parts = [_cut(rows.column("text").slice(a, step).to_pylist(), cut) for a in range(0, rows.num_rows, step)]
@@ -254,15 +301,15 @@ def _pack(pattern: str) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, cut = [], 0, cutter(pattern)
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size > LOT:
-                yield from packed(held)
+                yield from packed(held, cut)
                 held, size = [], 0
         if size:
-            yield from packed(held)
+            yield from packed(held, cut)
         del held
         trim()
 
