@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillroll.llm.blocks import block_of, even_blocks, pack, unpack
-from tillroll.llm.bytes import chunks, mix, padded, utf8, xxhash64
+from tillroll.llm.bytes import chunks, mix, padded, trim, utf8, xxhash64
 from tillroll.sources.shared import stage
 
 MATCH = 50
@@ -37,6 +37,8 @@ GRAM = 24
 SIDE = MATCH - GRAM
 # Entries that are sorted together: a map task's pre-aggregation, a new batch of a family.
 BATCH = 400_000
+# Bytes of texts that are hashed at a time; the arrays over them take about a hundred times that.
+PART = 1 << 18
 _A, _B, _C, _D, _E = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 # Rows of a round: packed entries of a bucket, or packed (document, key) pairs of a block of
 # documents, settled or open.
@@ -202,6 +204,7 @@ class Deal:
 
     def scan(self, batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
         """Feed what arrives to the family of this task; gives its settled and open pairs."""
+        trim()
         family, held, size, done = IndexFamily(), [], 0, []
 
         def feed() -> None:
@@ -268,10 +271,11 @@ def repeated_strings(docs: DataFrame, deal: Deal) -> DataFrame:
     """Settled and open contexts, packed by block, from (doc_id long, text, ...)."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Entries]:
+        trim()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids, null = _ids(batch.column(0))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PART):
                 s = Suffixes(data, offsets[i : j + 1])
                 at = s.anchors()
                 row = i + s.row(at)
@@ -291,7 +295,7 @@ def open_strings(texts: DataFrame, found: DataFrame, deal: Deal) -> DataFrame:
         data, offsets = utf8(left.column("text"))
         ids, null = _ids(left.column("doc_id"))
         touched = np.isin(ids, opened.docs) & ~null
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, PART):
             if not touched[i:j].any():
                 continue
             s = Suffixes(data, offsets[i : j + 1])
@@ -307,6 +311,7 @@ def open_strings(texts: DataFrame, found: DataFrame, deal: Deal) -> DataFrame:
                 yield np.zeros(len(place), np.uint64), s.strings(place), ids[i + s.row(place)]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         opened = Pairs(right, OPEN)
         rows = list(deal.entries(entries(left, opened), 1, STRINGS)) if len(opened.docs) else []
         return pa.Table.from_batches(rows, _ROUND_SCHEMA)
@@ -344,12 +349,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    trim()
     contexts, strings = Pairs(right, SETTLED), Pairs(right, STRINGS)
     data, offsets = utf8(left.column("text"))
     ids, null = _ids(left.column("doc_id"))
     in_contexts, in_strings = np.isin(ids, contexts.docs) & ~null, np.isin(ids, strings.docs) & ~null
     kept, spans = [], []
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, PART):
         at = offsets[i : j + 1]
         if not (in_contexts[i:j] | in_strings[i:j]).any():
             kept += [data[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
