@@ -238,18 +238,17 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
     return re.compile("".join(out))
 
 
-def cutter(pattern: str) -> Callable[[str], list[str]]:
-    """text -> its matches of the pattern."""
-    whole, plain = split_pattern(pattern), plain_pattern(pattern)
-    if plain is None or plain.groups:
-        return whole.findall
+class Cutter:
+    """Finds what split_pattern() finds, by plain_pattern() where it may."""
 
-    def cut(text: str) -> list[str]:
+    def __init__(self, pattern: str):
+        self.whole, plain = split_pattern(pattern), plain_pattern(pattern)
+        self.plain = self.whole if plain is None or plain.groups else plain
+
+    def findall(self, text: str) -> list[str]:
         # Code points beyond the first 65,536 take four bytes here.
         low = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
-        return (plain if low else whole).findall(text)
-
-    return cut
+        return (self.plain if low else self.whole).findall(text)
 
 
 def _decimal(lists: pa.Array) -> pa.Array:
@@ -259,9 +258,9 @@ def _decimal(lists: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, numbers), " ")
 
 
-def _cut(texts: list[str], cut: Callable[[str], list[str]]) -> tuple[pa.Array, pa.Array]:
+def _cut(texts: list[str], cut: regex.Pattern | Cutter) -> tuple[pa.Array, pa.Array]:
     """Per text its words, joined, and their lengths: a byte each, after as many 255 as fit."""
-    found = [cut(t) for t in texts]
+    found = [cut.findall(t) for t in texts]
     ends = np.cumsum([0, *map(len, found)])
     words = pa.array(itertools.chain.from_iterable(found), pa.string(), size=int(ends[-1]))
     lengths = pc.binary_length(words).to_numpy()
@@ -278,7 +277,7 @@ def _pack(pattern: str) -> Callable:
     """Rows with a block to (block, blob): what a task has for a block, compressed, some LOT bytes
     of all blocks at a time. Texts are cut into words here, once."""
 
-    def packed(held: list[pa.RecordBatch], cut: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[pa.RecordBatch], cut: Cutter) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
         step = max(1, int(rows.num_rows * PART / max(rows.nbytes, 1)))
         parts = [_cut(rows.column("text").slice(a, step).to_pylist(), cut) for a in range(0, rows.num_rows, step)]
@@ -293,7 +292,7 @@ def _pack(pattern: str) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, cut = [], 0, cutter(pattern)
+        held, size, cut = [], 0, Cutter(pattern)
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
