@@ -1,12 +1,13 @@
 """Marking, against a plain model on random batches and on the written examples."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import duplicates
-from tillroll.operators.settling import blocked_rows
+from tillroll.operators.settling import blocked_rows, key_members
 from tillroll.operators.skew import join_salted
 from tillroll.sources.shared import stage
 
@@ -176,3 +177,42 @@ def test_across_runs(spark):
         "b": "a", "c": "a", "d": None, "e": None, "g": "f",
     }
     assert duplicates.new_keys(second).count() == 2
+
+
+def disk(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_settling_leaves_only_what_its_result_reads(spark):
+    """Of the staged tables the rows and what their pairs are told are left; all others are gone."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "tillroll"
+    rows = frame(spark, chain(200))
+    before = set(folder.iterdir())
+    got = duplicates.mark_duplicates_any(rows)
+    left = {p.name.rsplit("-", 1)[0]: disk(p) for p in set(folder.iterdir()) - before}
+    assert set(left) == {"keyed", "told"}
+    assert got.count() == 200
+
+
+def test_hot_keys_of_many_pairs(spark):
+    """One hash with many fields and one fingerprint with many hashes, above their share."""
+    rows = [(f"n{i:04d}", "hot" if i % 3 else f"h{i}", "v" if i % 3 == 0 or i % 7 == 0 else f"v{i % 40}", "d", 1.0) for i in range(150)]
+    got = duplicates.mark_duplicates_any(frame(spark, rows), least_rows=20).collect()
+    assert {r.source_file: r.duplicate_of for r in got} == model(rows)
+
+
+def test_members_of_keys(spark):
+    """Window and sorting name the same row before and the same first row."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "a", "b", f"x{i}"]), rng.choice([None, "p", f"y{i // 2}"])) for i in rng.sample(range(500), 500)]
+    want = set()
+    for side, at in enumerate((1, 2)):
+        groups = {}
+        for r in sorted(rows):
+            if r[at] is not None:
+                groups.setdefault(r[at], []).append(r[0])
+        for g in (g for g in groups.values() if len(g) > 1):
+            want |= {(row, side, before, g[0]) for row, before in zip(g, [None, *g])}
+    table = stage(spark.createDataFrame(rows, "row long, h string, f string"), "rows")
+    for least_rows in (1, 1_000):
+        assert {tuple(r) for r in key_members(table, least_rows=least_rows).collect()} == want
