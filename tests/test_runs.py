@@ -2,19 +2,21 @@
 
 import json
 import random
+import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.operators import extract, report, reuse, review, uploads
+from tillroll.operators import duplicates, extract, report, reuse, review, uploads
 from tillroll.options import Options
 from tillroll.operators.extract import read_receipts
 from tillroll.plans.engines import register_engine
 from tillroll.plans.batch import extract_batch, process_batch, process_responses
 from tillroll.sources import files
-from tillroll.sources.shared import shared_dir
+from tillroll.sources.shared import shared_dir, stage
 from tillroll.sources.store import ReviewStore, write_report
 
 
@@ -348,3 +350,46 @@ def test_vision_runs_use_the_cache(spark, store):
     assert rows == {"x": ("V", [reuse.FROM_CACHE]), "y": ("W", [])}
     process_batch(responses([("z", "h1", 1, 200, body(vendor="Z", total=5))]), store, 3, Options(engine="ai"))
     assert store.read_run("receipts", 3).head().vendor == "Z" and store.read("cache").count() == 2
+
+
+def test_stored_json_is_parsed_once(spark):
+    """Not for the filter and once more for what passes it."""
+    good = '{"source_file": "a", "total": 1.5, "line_items": [], "warnings": ["w"]}'
+    stored = stage(spark.createDataFrame([("h1", good), ("h2", "{broken"), ("h3", None)], "content_hash string, json string"), "json")
+    parsed = reuse.from_json(stored)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [(r.content_hash, r.source_file, r.total, r.warnings) for r in parsed.collect()] == [("h1", "a", 1.5, ["w"])]
+
+
+def test_uploads_are_not_kept_twice(spark, tmp_path, monkeypatch):
+    """While receipts are written, one table of uploads is left, and at the end none."""
+    folder, seen = Path(shared_dir(spark).removeprefix("file:")) / "tillroll", []
+    uploads_of = lambda: {p.name for p in folder.glob("uploads-*")}
+    before = uploads_of()
+
+    def staged(df, name, *args, **kwargs):
+        seen.append(len(uploads_of() - before))
+        return stage(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(duplicates, "stage", staged)
+    at = datetime(2026, 1, 5)
+    rows = [("a.txt", "Shop\nTOTAL  $1.00", at, 1), ("a.txt", "Shop\nTOTAL  $2.00", at, 2), ("b.txt", "Cafe\nTOTAL  $3.00", at, 1)]
+    arrived = spark.createDataFrame(rows, "source_file string, text string, arrived_at timestamp, seq bigint")
+    store = ReviewStore(spark, str(tmp_path / "s"))
+    process_batch(arrived, store, 1, last_uploads=True)
+    assert {r.source_file: r.total for r in store.read("receipts").collect()} == {"a.txt": 2.0, "b.txt": 3.0}
+    assert set(seen) == {1} and uploads_of() == before
+
+
+def test_shuffles_of_a_staged_table_are_given_back(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before = kept()
+    staged = stage(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while kept() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not kept() - before
+    assert staged.count() == 7

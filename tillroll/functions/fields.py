@@ -37,7 +37,9 @@ def money_lines(cut: Column, options: Options) -> Column:
     without money have no say in totals, tax or items, whatever they hold."""
 
     def scan(line: Column) -> Column:
-        parts = money.cut_parts(line)
+        return let(money.cut_parts(line), lambda parts: labelled(line, parts))
+
+    def labelled(line: Column, parts: Column) -> Column:
         # Marks lie around symbols and numbers, so they split a label only if it has letters
         # that are symbols. Otherwise the money has no say: without it most lines are plain ASCII,
         # which is lower-cased as bytes.
@@ -90,8 +92,9 @@ def vendor(cut: Column) -> Column:
         name = F.when(usable, money.unmark(line))
         return let(name, lambda n: F.when(~let(F.lower(n), is_noise), n))
 
-    top = F.transform(F.slice(cut, 1, VENDOR_LINES), name_or_null)
-    return F.get(F.array_compact(top), F.lit(0))
+    # Mostly the first line is it, and the others need not be looked at.
+    others = F.transform(F.slice(cut, 2, VENDOR_LINES - 1), name_or_null)
+    return F.coalesce(name_or_null(F.get(cut, F.lit(0))), F.get(F.array_compact(others), F.lit(0)))
 
 
 def line_items(priced: Column) -> Column:

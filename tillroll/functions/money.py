@@ -45,7 +45,11 @@ def currency(text: Column, options: Options) -> Column:
 
 def parse_amount(raw: Column) -> Column:
     """Digits with commas and a point, blanks before them -> number."""
-    return ascii_digits(raw, without=", \xa0\n").try_cast("double")
+    plain = raw
+    for left_out in ", \n":
+        plain = F.replace(plain, F.lit(left_out), F.lit(""))
+    is_ascii = F.octet_length(raw) == F.char_length(raw)
+    return F.when(is_ascii, plain).otherwise(ascii_digits(raw, without=", \xa0\n")).try_cast("double")
 
 
 def amounts(text: Column, options: Options) -> Column:
@@ -84,12 +88,13 @@ def has_money(cut_line: Column) -> Column:
 
 
 def cut_parts(cut_line: Column) -> Column:
-    return F.split(cut_line, _CUT)
+    """Four parts, the last of which is all that stands behind the money."""
+    return F.split(cut_line, _CUT, 4)
 
 
 def beside_money(parts: Column) -> Column:
     """What stands before and after the money of a cut line, kept apart."""
-    return F.concat(F.get(parts, F.lit(0)), F.lit("\n"), F.array_join(F.slice(parts, F.lit(4), F.size(parts)), "\n"))
+    return F.concat(F.get(parts, F.lit(0)), F.lit("\n"), F.coalesce(F.get(parts, F.lit(3)), F.lit("")))
 
 
 def unmark(marked: Column) -> Column:
@@ -112,6 +117,11 @@ def round_money(value: Column) -> Column:
 
 
 def _rounded(x: Column) -> Column:
+    """What dividing whole cents gives is rounded already: 100 * x lies nearest to these cents."""
+    return F.when(F.rint(x * 100.0) / 100.0 == x, x).otherwise(_nearest_cents(x))
+
+
+def _nearest_cents(x: Column) -> Column:
     shifted = x * 134217729.0  # 2**27 + 1 splits x in two halves of 26 bits
     high = shifted - (shifted - x)
     product = x * 100.0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.operators.extract import as_receipts
+from tillroll.operators.extract import as_receipts, evaluate_once
 from tillroll.operators.skew import LEAST_ROWS, join_salted
 
 # Fixed value: warning text.
@@ -79,10 +79,11 @@ def to_json(receipts: DataFrame) -> DataFrame:
 
 
 def from_json(stored: DataFrame) -> DataFrame:
-    """Receipts out of stored JSON; texts that are no such object are left out."""
-    parsed = stored.select(
-        "content_hash",
-        F.from_json("json", _STORED_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"),
+    """Receipts out of stored JSON; texts that are no such object are left out. A text is parsed
+    once, not for the filter and again for what passes it."""
+    parsed = evaluate_once(
+        stored.select("content_hash", "json"),
+        r=F.from_json("json", _STORED_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}),
     )
     usable = parsed.where(F.col("r").isNotNull() & F.col("r._bad").isNull())
     return usable.select("content_hash", *[f"r.{c}" for c in STORED])
