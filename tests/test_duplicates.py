@@ -216,3 +216,15 @@ def test_members_of_keys(spark):
     table = stage(spark.createDataFrame(rows, "row long, h string, f string"), "rows")
     for least_rows in (1, 1_000):
         assert {tuple(r) for r in key_members(table, least_rows=least_rows).collect()} == want
+
+
+def test_across_runs_writes_a_written_table_not_again(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "tillroll"
+    rows = frame(spark, EXAMPLES)
+    seen = spark.createDataFrame([("hh5", "0", 1), ("hh5", "00", 0)], "key string, source_file string, run_id bigint")
+    before = set(folder.iterdir())
+    got = duplicates.across_runs(rows, seen, staged=True)
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"told"}
+    want = duplicates.across_runs(rows, seen)
+    assert {tuple(r[:1]) + (r.duplicate_of,) for r in got.collect()} == {tuple(r[:1]) + (r.duplicate_of,) for r in want.collect()}
+    assert {r.source_file: r.duplicate_of for r in got.collect()}["f"] == "00"
