@@ -60,9 +60,10 @@ def process_batch(
         if {"arrived_at", "seq"} <= set(arrived.columns) and "body" not in arrived.columns:
             arrived = latest_upload(arrived)
             if last_uploads:
-                arrived = stage(arrived, "uploads")
-                before = store.lookup("uploads", F.col("source_file"), arrived, before=run_id)
-                arrived = stage(not_outdated(arrived, before), "uploads")
+                with staging(store.spark):
+                    latest = stage(arrived, "uploads")
+                    before = store.lookup("uploads", F.col("source_file"), latest, before=run_id)
+                    arrived = stage(not_outdated(latest, before), "uploads", outlives=True)
                 run.write("uploads", arrived.select("source_file", "arrived_at", "seq"))
             arrived = arrived.drop("arrived_at", "seq")
         if options.engine in CACHED_ENGINES:
@@ -70,9 +71,10 @@ def process_batch(
             marked = _from_responses(files, arrived.where("seq is not null"), run, options)
         elif across_runs and options.deduplicate:
             receipts = build_engine(options)(arrived, options)
-            receipts = stage(receipts, "receipts")
-            earlier = store.lookup("key_index", F.explode(F.array(*row_keys().values())), receipts, before=run_id)
-            marked = stage(duplicates.across_runs(receipts, earlier), "marked")
+            with staging(store.spark):
+                receipts = stage(receipts, "receipts")
+                earlier = store.lookup("key_index", F.explode(F.array(*row_keys().values())), receipts, before=run_id)
+                marked = stage(duplicates.across_runs(receipts, earlier, staged=True), "marked", outlives=True)
             run.write("key_index", duplicates.new_keys(marked))
         else:
             marked = extract_batch(arrived, options)

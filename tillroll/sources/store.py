@@ -25,6 +25,7 @@ from tillroll import schemas
 from tillroll.operators.report import report_rows
 from tillroll.options import OUTPUT_FORMATS, Options
 from tillroll.sources.commits import CommitLog, Files
+from tillroll.sources.shared import shuffles_given_back
 
 TABLES = {
     "receipts": schemas.RECEIPTS + ", reason string, run_id bigint",
@@ -155,9 +156,11 @@ class ReviewStore:
             # Files of a bucket, by many tasks where there are many rows.
             keyed = rows.withColumn("bucket", bucket_of(F.col(BUCKETED[table])))
             dealt = keyed.repartition("bucket", F.pmod(F.xxhash64(BUCKETED[table]), F.lit(64)))
-            dealt.write.partitionBy("bucket").parquet(self.path(folder))
+            rows, parts = dealt, ["bucket"]
         else:
-            rows.write.parquet(self.path(folder))
+            parts = []
+        with shuffles_given_back(rows.sparkSession):
+            rows.write.partitionBy(*parts).option("compression", "zstd").parquet(self.path(folder))
         item = {"folder": folder, "first": first, "last": last, "dead": [], "tier": tier}
         if table in BUCKETED:
             names = self._files.names("data", table, name)

@@ -16,7 +16,7 @@ from tillroll.operators.normalize import TAX_OVER_TOTAL, normalize
 from tillroll.options import Options
 from tillroll.plans.batch import extract_batch, process_batch
 from tillroll.sources.commits import Files
-from tillroll.sources.shared import shared_dir, stage
+from tillroll.sources.shared import shared_dir, shuffles_given_back, stage
 from tillroll.sources.store import ReviewStore, Run
 from tillroll.streaming.watch import watch
 from workload import inputs
@@ -600,7 +600,8 @@ def stored_runs(spark, sf_dir):
 
 
 def _arrive(texts: DataFrame, folder: str) -> None:
-    texts.write.mode("append").parquet(folder)
+    with shuffles_given_back(texts.sparkSession):
+        texts.write.mode("append").option("compression", "zstd").parquet(folder)
 
 
 def _watch_once(spark: SparkSession, inbox: str, store: ReviewStore, root: str, schema) -> None:
